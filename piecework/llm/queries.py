@@ -7,25 +7,44 @@ from pyspark.sql import functions as F
 
 from piecework.llm.common import documents, labels
 from piecework.llm.exact_dedup import exact_dedup, fresh_index
+from piecework.llm.packing import pack_documents
 from piecework.llm.quality_rules import quality_rules
 from piecework.llm.secret_scan import secret_digest
+from piecework.llm.token_counts import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file; it has the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), fresh_index(spark)).drop("keep_chars")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("class_jsd", "word_jsd")
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
