@@ -10,6 +10,7 @@ from piecework.llm.exact_dedup import exact_dedup, fresh_index
 from piecework.llm.packing import pack_documents
 from piecework.llm.quality_rules import quality_rules
 from piecework.llm.secret_scan import secret_digest
+from piecework.llm.substring_dedup import substring_digest
 from piecework.llm.token_counts import token_counts
 
 
@@ -28,6 +29,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir))
 
@@ -43,6 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
