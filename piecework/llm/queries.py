@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from piecework.llm.common import documents, labels
 from piecework.llm.exact_dedup import exact_dedup, fresh_index
+from piecework.llm.ngram_join import ngram_classes
 from piecework.llm.packing import pack_documents
 from piecework.llm.quality_rules import quality_rules
 from piecework.llm.secret_scan import secret_digest
@@ -41,6 +42,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(documents(spark, sf_dir), n=3, most=90, of=100)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("class_jsd", "word_jsd")
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
