@@ -4,7 +4,8 @@ A document is the set of hashes of its distinct word n-grams; documents with equ
 start. Two sets that are similar enough share a token among the first of each in any order that all sets use.
 Every order here puts tokens last that are common somewhere in the corpus, and the others by a hash of its own,
 so shared passages cause few candidates. The first order's prefixes are joined; a candidate pair must then
-share prefix tokens under each further order too before the sets themselves are compared.
+share prefix tokens under each further order too before the sets themselves are compared. Two cheap bounds
+that are exact go before: the places of the first shared token, and how far parity bits of the sets differ.
 
 Within a large group of near copies all pairs would share prefix tokens. As the result is components, pairs
 are asked for in rounds: first each document against one central document of its token, then only pairs that
@@ -27,49 +28,84 @@ from piecework.llm.hashing import blocks, join, mix, word_hashes
 
 #: Tokens found in this many sets of one block of documents go last in all orders.
 COMMON_SETS = 4
+#: Words with this share of a block's words, and as many occurrences, are frequent; tokens of such words alone go after others.
+FREQUENT_SHARE, FREQUENT_WORDS = 3e-6, 4
 #: Tokens a task gathers into a block.
 GATHER = 4_000_000
 ORDERS = 3
+PARITIES = 4
 #: Rounds against central documents before all pairs between components are asked for.
 PIVOT_ROUNDS = 2
 
 
-def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text; fewer words are one n-gram, no word none."""
+def shingle_sets(texts: pa.Array, n: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-gram hashes of all texts, sorted within each text; how many each has; and the hashes of all words.
+
+    Fewer than n words are one n-gram, no word none. The lowest bit of a hash says whether all words of the
+    n-gram are in the bitmap `frequent`; it is 0 without one.
+    """
     words, counts = word_hashes(texts, lower=True)
-    grams = words
+    at = np.concatenate([[0], np.cumsum(counts)])
+    often = np.zeros(len(words), bool) if frequent is None else hits(frequent, words)
+
+    def gram(first: np.ndarray, k: int) -> np.ndarray:
+        h, all_often = words[first], often[first]
+        for i in range(1, k):
+            h, all_often = join(h, words[first + i]), all_often & often[first + i]
+        h = h if k == n else mix(h + np.uint64(k))
+        return (h & ~np.uint64(1)) | all_often.astype(np.uint64)
+
+    owner = np.repeat(np.arange(len(counts)), counts)
+    first = np.flatnonzero(np.arange(len(words)) + n <= at[1:][owner]) if len(words) else owner
+    tokens, owner = gram(first, n), owner[first]
     for k in range(1, n):
-        grams = join(grams[:-1], words[k:]) if len(words) > k else grams[:0]
-    sets, at = [], 0
-    for c in counts.tolist():
-        if c >= n:
-            # np.unique by hand: sorted hashes without repeats.
-            x = np.sort(grams[at : at + c - n + 1])
-            sets.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
-        elif c:
-            h = words[at]
-            for k in range(1, c):
-                h = join(h[None], words[at + k : at + k + 1])[0]
-            sets.append(mix(np.array([h], np.uint64) + np.uint64(c)))
-        else:
-            sets.append(words[:0])
-        at += c
-    return sets
-
-
-def set_node(tokens: np.ndarray) -> int:
-    """A hash of a set."""
-    return int(mix(np.array([mix(tokens).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
-
-
-def prefix(tokens: np.ndarray, common: np.ndarray, order: int, most: int, of: int) -> np.ndarray:
-    """The tokens of a set that come first in an order; a set as similar as most/of shares at least one."""
-    size = len(tokens) - -(-most * len(tokens) // of) + 1
-    rank = mix(tokens ^ np.uint64(0x51ED270B * (order + 1))) >> np.uint64(1)
-    rank |= common.astype(np.uint64) << np.uint64(63)
-    if size >= len(tokens):
-        return tokens
-    return tokens[np.argpartition(rank, size - 1)[:size]]
+        if len(short := np.flatnonzero(counts == k)):
+            tokens, owner = np.concatenate([tokens, gram(at[short], k)]), np.concatenate([owner, short])
+    if len(owner) > len(first):
+        order = np.argsort(owner, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+    edges = np.searchsorted(owner, np.arange(len(counts) + 1)).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        tokens[a:b].sort()
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+    return tokens[new], np.bincount(owner[new], minlength=len(counts)), words
+
+
+def set_nodes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens >> np.uint64(1)), dtype=np.uint64)])
+    end = np.cumsum(sizes)
+    return mix(total[end] - total[end - sizes] + sizes.astype(np.uint64)).view(np.int64)
+
+
+def ranks(tokens: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
+    """The place of tokens in an order: rare ones, then those of frequent words, then common ones; within these by a hash."""
+    level = np.where(common, np.uint64(2), tokens & np.uint64(1))
+    return (mix((tokens >> np.uint64(1)) ^ np.uint64(0x51ED270B * (order + 1))) >> np.uint64(2)) | (level << np.uint64(62))
+
+
+def prefix_size(size: int, most: int, of: int) -> int:
+    """So many of the first tokens of a set meet those of any set as similar as most/of, in any order."""
+    return size - -(-most * size // of) + 1
+
+
+def first_tokens(tokens: np.ndarray, rank: np.ndarray, size: int) -> np.ndarray:
+    """The `size` tokens that come first, in order."""
+    if size < len(tokens):
+        few = np.argpartition(rank, size - 1)[:size]
+        tokens, rank = tokens[few], rank[few]
+    return tokens[np.argsort(rank)]
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether odd numbers of tokens fall into each of 64 * PARITIES slots, as PARITIES integers.
+
+    Tokens that two sets share cancel out, so sets differ in at least as many tokens as these have differing bits.
+    """
+    slot = mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * PARITIES)
+    odd = np.bincount(slot.astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, most: int, of: int) -> bool:
@@ -88,61 +124,75 @@ class NgramJoin:
         self.n, self.most, self.of = n, most, of
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.spark = docs.sparkSession
-        scanned = cut(self.texts.mapInArrow(self._scan(), "doc_id long, node long, size long, common boolean"), "shingle-sets")
+        scanned = cut(self.texts.mapInArrow(self._scan(), "kind int, doc_id long, node long, size long"), "shingle-sets")
         #: doc_id, node (null for empty sets), size
-        self.members = scanned.where("NOT common").select("doc_id", "node", "size")
-        common = scanned.where("common").select("node").distinct()
-        self.common = self.spark.sparkContext.broadcast(collect_bitmap(common, "node", 24))
+        self.members = scanned.where("kind = 0").select("doc_id", "node", "size")
+        once = lambda kind: scanned.where(F.col("kind") == kind).select("node").distinct()
+        self.common = self.spark.sparkContext.broadcast(collect_bitmap(once(1), F.expr("shiftrightunsigned(node, 1)"), 24))
+        self.frequent = self.spark.sparkContext.broadcast(collect_bitmap(once(2), "node", 24))
 
     def _scan(self):  # noqa: ANN202
+        """Rows of three kinds: a document's set; a common token (in node); a frequent word (in node)."""
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows(ids, nodes, sizes, common: bool) -> pa.RecordBatch:  # noqa: ANN001
-                columns = [ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([common] * len(nodes), pa.bool_())]
-                return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "common"])
-
-            def settle() -> pa.RecordBatch:
-                tokens, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-                tokens = tokens[count >= COMMON_SETS].view(np.int64)
-                held.clear()
+            def rows(kind: int, ids: pa.Array | None, nodes: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+                ids = pa.nulls(len(nodes), pa.int64()) if ids is None else ids
+                columns = [pa.array(np.full(len(nodes), kind, np.int32)), ids, nodes, pa.array(sizes)]
+                return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "node", "size"])
+
+            def settle() -> Iterator[pa.RecordBatch]:
+                for kind, found in ((1, held), (2, read)):
+                    if found:
+                        x, count = np.unique(np.concatenate(found), return_counts=True)
+                        least = COMMON_SETS if kind == 1 else max(FREQUENT_WORDS, FREQUENT_SHARE * count.sum())
+                        x, count = x[count >= least], count[count >= least]
+                        yield rows(kind, None, pa.array(x.view(np.int64)), count)
+                    found.clear()
                 seen.clear()
-                return rows(pa.nulls(len(tokens), pa.int64()), tokens, count[count >= COMMON_SETS], True)
 
             held: list[np.ndarray] = []
+            read: list[np.ndarray] = []
             seen: set[int] = set()
+            total = 0
             for batch in blocks(batches, "text"):
-                sets = shingle_sets(batch["text"], n)
-                nodes = [set_node(s) if len(s) else None for s in sets]
-                for s, node in zip(sets, nodes, strict=True):
-                    if node is not None and node not in seen:
-                        seen.add(node)
-                        held.append(s)
-                yield rows(batch["doc_id"], nodes, [len(s) for s in sets], False)
-                if sum(map(len, held)) >= GATHER:
-                    yield settle()
-            yield settle()
+                tokens, sizes, words = shingle_sets(batch["text"], n)
+                nodes = set_nodes(tokens, sizes)
+                # A set counts once in a block.
+                new = [not (x in seen or seen.add(x)) for x in nodes.tolist()]
+                held.append(tokens[np.repeat(np.array(new, bool), sizes)])
+                read.append(words)
+                yield rows(0, batch["doc_id"], pa.array(nodes, mask=sizes == 0), sizes)
+                total += len(words)
+                if total >= GATHER:
+                    yield from settle()
+                    total = 0
+            yield from settle()
 
         return run
 
     def _each_set(self, schema: str, names: list[str], make, wanted: np.ndarray | None = None) -> DataFrame:  # noqa: ANN001
-        """Rows that `make(node, tokens, common)` gives for the sets of the documents; a set once in a task, if it can."""
-        n, shared = self.n, self.common
+        """Rows that `make(node, tokens, ranks of each order, common)` gives for each set; a set once in a task, if it can."""
+        n, shared, frequent = self.n, self.common, self.frequent
         wanted = None if wanted is None else self.spark.sparkContext.broadcast(wanted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in blocks(batches, "text"):
+                tokens, sizes, _ = shingle_sets(batch["text"], n, frequent.value)
+                nodes = set_nodes(tokens, sizes)
+                take = sizes > 0 if wanted is None else (sizes > 0) & hits(wanted.value, nodes)
+                common = hits(shared.value, tokens >> np.uint64(1))
+                end = np.cumsum(sizes)
                 parts = []
-                for tokens in shingle_sets(batch["text"], n):
-                    if not len(tokens) or (node := set_node(tokens)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    if wanted is None or hits(wanted.value, np.array([node]))[0]:
-                        parts.append(make(node, tokens, hits(shared.value, tokens)))
+                for i in np.flatnonzero(take).tolist():
+                    if (node := int(nodes[i])) not in seen:
+                        if len(seen) < 1_000_000:
+                            seen.add(node)
+                        own = slice(end[i] - sizes[i], end[i])
+                        parts.append(make(node, tokens[own], common[own]))
                 if parts:
-                    yield pa.Table.from_batches([pa.RecordBatch.from_arrays(list(p), names) for p in parts]).combine_chunks().to_batches()[0]
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names)
 
         return self.texts.mapInArrow(run, schema)
 
@@ -151,25 +201,29 @@ class NgramJoin:
         kept = None if wanted_tokens is None else self.spark.sparkContext.broadcast(wanted_tokens)
 
         def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple:
-            first = prefix(tokens, common, 0, most, of)
+            first = first_tokens(tokens, ranks(tokens, common, 0), prefix_size(len(tokens), most, of))
+            whole = lambda x, t: pa.array(np.full(len(first), x, t))
+            place = np.arange(len(first), dtype=np.int32)
             if kept is not None:
-                first = first[hits(kept.value, first)]
-            k = len(first)
-            whole = lambda x, t: pa.array(np.full(k, x, t))
-            return pa.array(first.view(np.int64)), whole(node, np.int64), whole(len(tokens), np.int32), whole(1 - common.mean(), np.float32)
+                place = np.flatnonzero(hits(kept.value, first >> np.uint64(1))).astype(np.int32)
+                first = first[place]
+            return pa.array(first.view(np.int64)), pa.array(place), whole(node, np.int64), whole(len(tokens), np.int32), whole(1 - common.mean(), np.float32)
 
-        return self._each_set("token long, node long, size int, rare float", ["token", "node", "size", "rare"], make)
+        return self._each_set("token long, place int, node long, size int, rare float", ["token", "place", "node", "size", "rare"], make)
 
     def _sets(self, wanted: np.ndarray) -> DataFrame:
         most, of = self.most, self.of
 
         def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple:
-            first = [prefix(tokens, common, k, most, of).tobytes() for k in range(1, ORDERS)]
+            size = prefix_size(len(tokens), most, of)
+            first = [first_tokens(tokens, ranks(tokens, common, k), size).tobytes() for k in range(1, ORDERS)]
             whole = pa.array([tokens.tobytes()], pa.binary())
-            return pa.array([node], pa.int64()), *(pa.array([x], pa.binary()) for x in first), whole
+            odd = (pa.array([x], pa.int64()) for x in parities(tokens).tolist())
+            return pa.array([node], pa.int64()), *odd, *(pa.array([x], pa.binary()) for x in first), whole
 
-        names = ["node", *(f"prefix{k}" for k in range(1, ORDERS)), "tokens"]
-        schema = "node long, " + ", ".join(f"{x} binary" for x in names[1:])
+        odd = [f"odd{k}" for k in range(PARITIES)]
+        names = ["node", *odd, *(f"prefix{k}" for k in range(1, ORDERS)), "tokens"]
+        schema = ", ".join(f"{x} {'long' if x in ('node', *odd) else 'binary'}" for x in names)
         return self._each_set(schema, names, make, wanted).dropDuplicates(["node"])
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,35 +260,40 @@ class NgramJoin:
     def components(self) -> DataFrame:
         """node, component for the nodes that link with another."""
         keys = self._prefixes().groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-        rows = cut(self._prefixes(collect_bitmap(keys, "token")).dropDuplicates(["token", "node"]), "prefixes")
+        found = self._prefixes(collect_bitmap(keys, F.expr("shiftrightunsigned(token, 1)"))).dropDuplicates(["token", "node"])
+        rows = cut(found.join(found.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "prefixes")
         sets = cut(self._sets(collect_bitmap(rows.select("node"), "node", 24)), "sets")
-        fits = lambda p, q: (self.of * F.least(p, q) >= self.most * F.greatest(p, q))
         found = contract(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
         tested = None
-        step = 0
-        while True:
-            placed = rows.join(found, "node", "left").select("token", "node", "size", "rare", F.coalesce("component", "node").alias("component"))
+        for step in range(PIVOT_ROUNDS + 1):
+            placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            tokens = placed.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
+            placed = cut(placed.join(tokens.select("token"), "token", "left_semi"), "placed")
+            both = (F.col("x.size") + F.col("y.size")).cast("long")
+            # The first shared token of a pair bounds what the sets share by what stands behind it in either.
+            shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+            fits = (self.of + self.most) * shared >= self.most * both
             if step < PIVOT_ROUNDS:
                 # A token's central document: the one with the least that others lack; then one by another choice.
                 rank = F.col("rare") if step == 0 else F.pmod(F.xxhash64("component"), F.lit(1 << 20)).cast("float")
-                pivots = placed.groupBy("token").agg(
-                    F.min(F.struct(rank.alias("rank"), "node", "size", "component")).alias("p"), F.count(F.lit(1)).alias("n")
-                )
-                other = pivots.where("n > 1").select("token", "p.node", "p.size", "p.component")
+                other = placed.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "component", "place")).alias("p"))
+                other = other.select("token", "p.node", "p.size", "p.component", "p.place")
                 apart = F.col("x.component") != F.col("y.component")
             else:
+                odd = [f"odd{k}" for k in range(PARITIES)]
+                placed = placed.join(sets.select("node", *odd), "node")
                 other, apart = placed, F.col("x.component") < F.col("y.component")
-            pairs = placed.alias("x").join(other.alias("y"), "token").where(apart & fits(F.col("x.size"), F.col("y.size")))
+                differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in odd), F.lit(0))
+                fits &= (self.of + self.most) * differ <= (self.of - self.most) * both
+            pairs = placed.alias("x").join(other.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & fits)
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = cut(pairs, "candidates")
             links = cut(self._verified(pairs, sets), "links")
             found = contract(links, found)
-            if step >= PIVOT_ROUNDS:
-                return found
             tested = pairs if tested is None else tested.union(pairs)
-            step += 1
+        return found
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, most: int = 80, of: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
