@@ -34,8 +34,9 @@ FREQUENT_SHARE, FREQUENT_WORDS = 3e-6, 4
 GATHER = 4_000_000
 ORDERS = 3
 PARITIES = 4
+ODD = [f"odd{k}" for k in range(PARITIES)]
 #: Rounds against central documents before all pairs between components are asked for.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 
 
 def shingle_sets(texts: pa.Array, n: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,14 +99,15 @@ def first_tokens(tokens: np.ndarray, rank: np.ndarray, size: int) -> np.ndarray:
     return tokens[np.argsort(rank)]
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """Whether odd numbers of tokens fall into each of 64 * PARITIES slots, as PARITIES integers.
+def parities(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set, whether odd numbers of tokens fall into each of 64 * PARITIES slots, as PARITIES integers.
 
     Tokens that two sets share cancel out, so sets differ in at least as many tokens as these have differing bits.
     """
-    slot = mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * PARITIES)
-    odd = np.bincount(slot.astype(np.int64), minlength=64 * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    slots = 64 * PARITIES
+    slot = (mix((tokens >> np.uint64(1)) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(slots)).astype(np.int64)
+    odd = np.bincount(slot + slots * np.repeat(np.arange(len(sizes)), sizes), minlength=slots * len(sizes)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sizes), PARITIES)
 
 
 def similar(a: np.ndarray, b: np.ndarray, most: int, of: int) -> bool:
@@ -124,9 +126,10 @@ class NgramJoin:
         self.n, self.most, self.of = n, most, of
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.spark = docs.sparkSession
-        scanned = cut(self.texts.mapInArrow(self._scan(), "kind int, doc_id long, node long, size long"), "shingle-sets")
-        #: doc_id, node (null for empty sets), size
-        self.members = scanned.where("kind = 0").select("doc_id", "node", "size")
+        odd = "".join(f", {x} long" for x in ODD)
+        scanned = cut(self.texts.mapInArrow(self._scan(), f"kind int, doc_id long, node long, size long{odd}"), "shingle-sets")
+        #: doc_id, node (null for empty sets), size, parities
+        self.members = scanned.where("kind = 0").drop("kind")
         once = lambda kind: scanned.where(F.col("kind") == kind).select("node").distinct()
         self.common = self.spark.sparkContext.broadcast(collect_bitmap(once(1), F.expr("shiftrightunsigned(node, 1)"), 24))
         self.frequent = self.spark.sparkContext.broadcast(collect_bitmap(once(2), "node", 24))
@@ -136,10 +139,11 @@ class NgramJoin:
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows(kind: int, ids: pa.Array | None, nodes: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
-                ids = pa.nulls(len(nodes), pa.int64()) if ids is None else ids
-                columns = [pa.array(np.full(len(nodes), kind, np.int32)), ids, nodes, pa.array(sizes)]
-                return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "node", "size"])
+            def rows(kind: int, nodes: pa.Array, sizes: np.ndarray, ids: pa.Array | None = None, odd: np.ndarray | None = None) -> pa.RecordBatch:
+                none = pa.nulls(len(nodes), pa.int64())
+                more = [none] * PARITIES if odd is None else [pa.array(np.ascontiguousarray(x)) for x in odd.T]
+                columns = [pa.array(np.full(len(nodes), kind, np.int32)), none if ids is None else ids, nodes, pa.array(sizes), *more]
+                return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "node", "size", *ODD])
 
             def settle() -> Iterator[pa.RecordBatch]:
                 for kind, found in ((1, held), (2, read)):
@@ -147,7 +151,7 @@ class NgramJoin:
                         x, count = np.unique(np.concatenate(found), return_counts=True)
                         least = COMMON_SETS if kind == 1 else max(FREQUENT_WORDS, FREQUENT_SHARE * count.sum())
                         x, count = x[count >= least], count[count >= least]
-                        yield rows(kind, None, pa.array(x.view(np.int64)), count)
+                        yield rows(kind, pa.array(x.view(np.int64)), count)
                     found.clear()
                 seen.clear()
 
@@ -162,7 +166,7 @@ class NgramJoin:
                 new = [not (x in seen or seen.add(x)) for x in nodes.tolist()]
                 held.append(tokens[np.repeat(np.array(new, bool), sizes)])
                 read.append(words)
-                yield rows(0, batch["doc_id"], pa.array(nodes, mask=sizes == 0), sizes)
+                yield rows(0, pa.array(nodes, mask=sizes == 0), sizes, batch["doc_id"], parities(tokens, sizes))
                 total += len(words)
                 if total >= GATHER:
                     yield from settle()
@@ -218,12 +222,10 @@ class NgramJoin:
             size = prefix_size(len(tokens), most, of)
             first = [first_tokens(tokens, ranks(tokens, common, k), size).tobytes() for k in range(1, ORDERS)]
             whole = pa.array([tokens.tobytes()], pa.binary())
-            odd = (pa.array([x], pa.int64()) for x in parities(tokens).tolist())
-            return pa.array([node], pa.int64()), *odd, *(pa.array([x], pa.binary()) for x in first), whole
+            return pa.array([node], pa.int64()), *(pa.array([x], pa.binary()) for x in first), whole
 
-        odd = [f"odd{k}" for k in range(PARITIES)]
-        names = ["node", *odd, *(f"prefix{k}" for k in range(1, ORDERS)), "tokens"]
-        schema = ", ".join(f"{x} {'long' if x in ('node', *odd) else 'binary'}" for x in names)
+        names = ["node", *(f"prefix{k}" for k in range(1, ORDERS)), "tokens"]
+        schema = "node long, " + ", ".join(f"{x} binary" for x in names[1:])
         return self._each_set(schema, names, make, wanted).dropDuplicates(["node"])
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,8 +263,10 @@ class NgramJoin:
         """node, component for the nodes that link with another."""
         keys = self._prefixes().groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
         found = self._prefixes(collect_bitmap(keys, F.expr("shiftrightunsigned(token, 1)"))).dropDuplicates(["token", "node"])
+        found = cut(found, "prefixes")
         rows = cut(found.join(found.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "prefixes")
-        sets = cut(self._sets(collect_bitmap(rows.select("node"), "node", 24)), "sets")
+        odd = self.members.where("node IS NOT NULL").groupBy("node").agg(*(F.first(x).alias(x) for x in ODD))
+        odd = cut(odd.join(rows.select("node").distinct(), "node", "left_semi"), "parities")
         found = contract(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
         tested = None
         for step in range(PIVOT_ROUNDS + 1):
@@ -273,24 +277,23 @@ class NgramJoin:
             # The first shared token of a pair bounds what the sets share by what stands behind it in either.
             shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
             fits = (self.of + self.most) * shared >= self.most * both
+            differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in ODD), F.lit(0))
+            fits &= (self.of + self.most) * differ <= (self.of - self.most) * both
+            placed = placed.join(odd, "node")
             if step < PIVOT_ROUNDS:
-                # A token's central document: the one with the least that others lack; then one by another choice.
-                rank = F.col("rare") if step == 0 else F.pmod(F.xxhash64("component"), F.lit(1 << 20)).cast("float")
-                other = placed.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "component", "place")).alias("p"))
-                other = other.select("token", "p.node", "p.size", "p.component", "p.place")
+                # A token's central document: the one with the least that others lack.
+                other = placed.groupBy("token").agg(F.min(F.struct("rare", "node", "size", "component", "place", *ODD)).alias("p"))
+                other = other.select("token", "p.node", "p.size", "p.component", "p.place", *(f"p.{x}" for x in ODD))
                 apart = F.col("x.component") != F.col("y.component")
             else:
-                odd = [f"odd{k}" for k in range(PARITIES)]
-                placed = placed.join(sets.select("node", *odd), "node")
                 other, apart = placed, F.col("x.component") < F.col("y.component")
-                differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in odd), F.lit(0))
-                fits &= (self.of + self.most) * differ <= (self.of - self.most) * both
             pairs = placed.alias("x").join(other.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & fits)
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = cut(pairs, "candidates")
-            links = cut(self._verified(pairs, sets), "links")
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+            links = cut(self._verified(pairs, cut(self._sets(collect_bitmap(wanted, "node", 24)), "sets")), "links")
             found = contract(links, found)
             tested = pairs if tested is None else tested.union(pairs)
         return found
