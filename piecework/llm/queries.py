@@ -9,10 +9,12 @@ from piecework.llm.common import documents, labels
 from piecework.llm.exact_dedup import exact_dedup, fresh_index
 from piecework.llm.ngram_join import ngram_classes
 from piecework.llm.packing import pack_documents
+from piecework.llm.ppm import ppm_digest
 from piecework.llm.quality_rules import quality_rules
 from piecework.llm.secret_scan import secret_digest
 from piecework.llm.substring_dedup import substring_digest
 from piecework.llm.token_counts import token_counts
+from piecework.llm.toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +28,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), fresh_index(spark)).drop("keep_chars")
 
 
+def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_digest(documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -46,17 +52,23 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(documents(spark, sf_dir), n=3, most=90, of=100)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("class_jsd", "word_jsd")
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_ppm_scores": op2_ppm_scores,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
