@@ -1,12 +1,64 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's docs.
+
+toxicity drops what it predicts toxic; exact dedup keeps one row of equal texts; n-gram Jaccard join keeps one
+document of each group of near copies (the longest, then the smallest id); mixing takes documents as often as
+their fitted rates say; best-fit packing places what is left into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from piecework.llm.common import cut, documents, labels, text_or_empty
+from piecework.llm.exact_dedup import fresh_index, without_copies
+from piecework.llm.mixing import label_domains, mix, repeats
+from piecework.llm.ngram_join import ngram_classes
+from piecework.llm.packing import pack_documents
+from piecework.llm.queries import vocabulary
+from piecework.llm.toxicity import fit_toxicity, held_out
+
+#: Target weights of the mixing stage. Toxic documents are gone by then.
+TARGETS = {"good": 0.88, "poor": 0.12}
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(docs, labels(spark, sf_dir).where(~held_out(5)))
+    return model.score(docs).where("_score < 0.5").select(*docs.columns)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_copies(docs, fresh_index(spark))
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = cut(ngram_classes(docs), "near-classes")
+    sizes = docs.select("doc_id", F.length(text_or_empty("text")).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("best")
+    # Only documents of groups of two or more can go; all others stay whatever their id.
+    grouped = classes.join(sizes, "doc_id").groupBy("component_id").agg(best, F.count(F.lit(1)).alias("members")).where("members > 1")
+    losers = classes.join(grouped, "component_id").where("NOT (doc_id <=> best.doc_id)").select("doc_id").distinct()
+    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    domains = label_domains(labels(spark, sf_dir)).where(F.col("domain").isin(list(TARGETS)))
+    rated = mix(docs, domains, TARGETS).withColumn("_repeats", repeats()).where("_repeats > 0")
+    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
-from piecework.llm.common import cut, documents
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", ngram_join_stage),
+    ("mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Tokenizer, trees and fitted rates have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from piecework.llm.common import documents, labels
 from piecework.llm.exact_dedup import exact_dedup, fresh_index
+from piecework.llm.mixing import mixing_rates
 from piecework.llm.ngram_join import ngram_classes
 from piecework.llm.packing import pack_documents
 from piecework.llm.ppm import ppm_digest
@@ -36,6 +37,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+#: Target weights of the domains of the labelled table.
+TARGETS = {"good": 0.85, "poor": 0.12, "toxic": 0.03}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(documents(spark, sf_dir), labels(spark, sf_dir), TARGETS)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(documents(spark, sf_dir))
 
@@ -64,6 +73,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ppm_scores": op2_ppm_scores,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
