@@ -110,15 +110,6 @@ def parities(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sizes), PARITIES)
 
 
-def similar(a: np.ndarray, b: np.ndarray, most: int, of: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return of * both >= most * (len(a) + len(b) - both)
-
-
-def _share(a: np.ndarray, b: np.ndarray) -> bool:
-    return bool(np.isin(a, b).any())
-
-
 class NgramJoin:
     """The links of `docs` (doc_id, text) at a Jaccard similarity of most/of over word n-grams."""
 
@@ -218,46 +209,32 @@ class NgramJoin:
     def _sets(self, wanted: np.ndarray) -> DataFrame:
         most, of = self.most, self.of
 
+        def one(x: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.view(np.int64)))
+
         def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple:
             size = prefix_size(len(tokens), most, of)
-            first = [first_tokens(tokens, ranks(tokens, common, k), size).tobytes() for k in range(1, ORDERS)]
-            whole = pa.array([tokens.tobytes()], pa.binary())
-            return pa.array([node], pa.int64()), *(pa.array([x], pa.binary()) for x in first), whole
+            first = (first_tokens(tokens, ranks(tokens, common, k), size) for k in range(1, ORDERS))
+            return pa.array([node], pa.int64()), *map(one, first), one(tokens)
 
         names = ["node", *(f"prefix{k}" for k in range(1, ORDERS)), "tokens"]
-        schema = "node long, " + ", ".join(f"{x} binary" for x in names[1:])
+        schema = "node long, " + ", ".join(f"{x} array<long>" for x in names[1:])
         return self._each_set(schema, names, make, wanted).dropDuplicates(["node"])
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: by the filters of the further orders, then by the sets."""
-        most, of = self.most, self.of
-        names = [f"prefix{k}" for k in range(1, ORDERS)]
+        """The pairs (a, b) that link: by the filters of the further orders, then by the sets, row by row in the JVM."""
 
         def both(pairs: DataFrame, columns: list[str]) -> DataFrame:
             for side in "ab":
                 pairs = pairs.join(sets.select(F.col("node").alias(side), *(F.col(c).alias(c + side) for c in columns)), side)
             return pairs
 
-        def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for name in names:
-                    for i in np.flatnonzero(keep):
-                        x, y = (np.frombuffer(batch[name + side][i].as_py(), np.uint64) for side in "ab")
-                        keep[i] = _share(x, y)
-                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
-
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                one, two = batch["tokensa"], batch["tokensb"]
-                keep = [
-                    similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), most, of)
-                    for x, y in zip(one, two, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        near = both(pairs, names).mapInArrow(filtered, "a long, b long")
-        return both(near, ["tokens"]).mapInArrow(compared, "a long, b long")
+        near = both(pairs, [f"prefix{k}" for k in range(1, ORDERS)])
+        for k in range(1, ORDERS):
+            near = near.where(F.arrays_overlap(f"prefix{k}a", f"prefix{k}b"))
+        shared = F.size(F.array_intersect("tokensa", "tokensb")).cast("long")
+        sizes = F.size("tokensa").cast("long") + F.size("tokensb")
+        return both(near.select("a", "b"), ["tokens"]).where((self.of + self.most) * shared >= self.most * sizes).select("a", "b")
 
     def components(self) -> DataFrame:
         """node, component for the nodes that link with another."""
