@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piecework.llm.common import cut, documents, labels, text_or_empty
+from piecework.llm.common import cut, documents, labels, packed, text_or_empty
 from piecework.llm.exact_dedup import fresh_index, without_copies
 from piecework.llm.mixing import label_domains, mix, repeats
 from piecework.llm.ngram_join import ngram_classes
@@ -24,7 +24,7 @@ TARGETS = {"good": 0.88, "poor": 0.12}
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, labels(spark, sf_dir).where(~held_out(5)))
-    return model.score(docs).where("_score < 0.5").select(*docs.columns)
+    return model.score(packed(docs)).where("_score < 0.5").select("_row.*")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     domains = label_domains(labels(spark, sf_dir)).where(F.col("domain").isin(list(TARGETS)))
-    rated = mix(docs, domains, TARGETS).withColumn("_repeats", repeats()).where("_repeats > 0")
-    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).select(*docs.columns)
+    rated = mix(packed(docs), domains, TARGETS).withColumn("_repeats", repeats()).where("_repeats > 0")
+    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
