@@ -56,3 +56,8 @@ def text_or_empty(column: str) -> Column:
 def lower_ascii(column: Column) -> Column:
     """Lower-cases A-Z only, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _row, the whole row: helper columns then cannot clash with columns of `docs`; `_row.*` unpacks."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
