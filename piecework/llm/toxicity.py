@@ -29,6 +29,8 @@ TERMS, LEAST_TEXTS, LEAST_ODDS = 5_000, 4, 2.0
 #: Leading letters that are looked up beside the whole word, as insults are inflected.
 STEMS = (4, 5)
 NEAR = 4
+#: Words that a task remembers, and their letters, before it starts anew.
+MEMO, LETTERS = 400_000, 20_000_000
 # Second-person words of the languages at hand.
 SECOND = set("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros su tus".split())
 # Digits and signs that stand for letters.
@@ -48,29 +50,61 @@ def terms(word: str) -> str:
     return word if word.isalpha() else word.translate(_LEET)
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+class Words(dict):
+    """What the features ask of words, by word as it is written, as bits; the upper-case letters stand above these.
+
+    Words are looked at once; when they or their letters are many, it starts anew.
+    """
+
+    HIT, STEM, SECOND, ODD, UPPER, BITS = 1, 2, 4, 8, 16, 5
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.letters = lexicon, 0
+        self.stems = {x[:-1] for x in lexicon if x.endswith("~")}
+
+    def __missing__(self, raw: str) -> int:
+        alpha, word = raw.isalpha(), raw.lower()
+        if not alpha:
+            word = terms(word)
+        code = self.HIT * (word in self.lexicon) | self.SECOND * (word in SECOND)
+        if any([word[:k] in self.stems for k in STEMS]):
+            code |= self.STEM
+        if not alpha and _INSIDE.search(raw):
+            code |= self.ODD
+        if not raw.islower():
+            code |= self.UPPER * raw.isupper() | sum(map(str.isupper, raw)) << self.BITS
+        self[raw] = code
+        self.letters += len(raw)
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The bits of `words`, in order."""
+        if len(self) > MEMO or self.letters > LETTERS:
+            self.clear()
+            self.letters = 0
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def features(text: str, known: Words) -> list[float]:
     raw = text.split()
     n = len(raw)
     if not n:
         return [0.0] * len(FEATURES)
-    words = [terms(w) for w in text.lower().split()]
-    where = [i for i, w in enumerate(words) if w in lexicon]
-    weights = [lexicon[words[i]] for i in where]
-    stems = [i for i, w in enumerate(words) if any(f"{w[:k]}~" in lexicon for k in STEMS)]
-    second = [i for i, w in enumerate(words) if w in SECOND]
-    odd = [i for i, w in enumerate(raw) if not w.isalpha() and _INSIDE.search(w)]
-    found = np.array(sorted({*where, *stems}))
+    bits = known.of(raw)
+    hit, stem, second, odd, upper = ((bits & x).astype(bool) for x in (Words.HIT, Words.STEM, Words.SECOND, Words.ODD, Words.UPPER))
+    weights = [known.lexicon[terms(raw[i].lower())] for i in np.flatnonzero(hit).tolist()]
+    found, at = np.flatnonzero(hit | stem), np.flatnonzero(second)
     near = 0
-    if len(found) and second:
-        at = np.array(second)
+    if len(found) and len(at):
         k = np.searchsorted(found, at - NEAR)
         near = int(((k < len(found)) & (found[np.minimum(k, len(found) - 1)] <= at + NEAR)).sum())
     marks = sum(map(text.count, "!?*#$%&@"))
+    stems = int(stem.sum())
     return [
-        math.log1p(len(where)), len(where) / n, math.log1p(sum(weights)), max(weights, default=0.0),
-        math.log1p(len(stems)), len(stems) / n, math.log1p(near), len(second) / n,
-        sum(map(str.isupper, text)) / len(text), sum(map(str.isupper, raw)) / n, text.count("!") / n, len(_REPEATED.findall(text)) / n,
-        marks / len(text), len(odd) / n, math.log1p(len({*odd} & {*where, *stems})), math.log1p(n),
+        math.log1p(len(weights)), len(weights) / n, math.log1p(sum(weights)), max(weights, default=0.0),
+        math.log1p(stems), stems / n, math.log1p(near), len(at) / n,
+        int((bits >> Words.BITS).sum()) / len(text), int(upper.sum()) / n, text.count("!") / n, len(_REPEATED.findall(text)) / n,
+        marks / len(text), int(odd.sum()) / n, math.log1p(int((odd & (hit | stem)).sum())), math.log1p(n),
     ]
 
 
@@ -79,8 +113,9 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(shared.value)
         for batch in batches:
-            found = [features(x.as_py() or "", shared.value) for x in batch[text_col]]
+            found = [features(x.as_py() or "", known) for x in batch[text_col]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, "_features"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_features", T.ArrayType(T.DoubleType()))])
