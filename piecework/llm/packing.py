@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from piecework.llm.common import cut
+from piecework.llm.hashing import blocks
 
 SEQUENCE = 2048
 #: Pieces packed together. A group wastes about one sequence, so larger groups pack no better to speak of.
 GROUP = 25_000
-#: Chunks whose ids a worker remembers before it starts anew.
-MEMO = 300_000
+#: Chunks whose ids a worker remembers before it starts anew, and the longest that it remembers.
+MEMO, LONG = 1_500_000, 100
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -42,16 +43,21 @@ class ChunkIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def of(self, text: str) -> bytes:
-        parts = chunks(text)
-        missing = list({x for x in parts if x not in self})
-        if missing:
-            if len(self) > MEMO:
-                self.clear()
-                missing = list(set(parts))
-            for x, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self[x] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, parts))
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; chunks not seen before go through the tokenizer together."""
+        parts = [chunks(x) for x in texts]
+        missing = {x for own in parts for x in own if x not in self}
+        if len(self) + len(missing) > MEMO:
+            self.clear()
+            missing = {x for own in parts for x in own}
+        new = list(missing)
+        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self[x] = np.array(e.ids, "<u4").tobytes()
+        found = [b"".join(map(self.__getitem__, own)) for own in parts]
+        for x in new:
+            if len(x) > LONG:
+                del self[x]
+        return found
 
 
 _WORKER: dict[str, ChunkIds] = {}
@@ -68,10 +74,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _WORKER.setdefault(tokenizer, ChunkIds(tokenizer))
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                data = ids.of(text.as_py() or "") + b"\0\0\0\0"
+            for doc, data in zip(batch["doc_id"].to_pylist(), ids.of([x or "" for x in batch["text"].to_pylist()]), strict=True):
+                data += b"\0\0\0\0"
                 for k, (s, n) in enumerate(cut_pieces(len(data) // 4, most)):
                     rows.append((doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])))
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
