@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from piecework.llm.common import cut
+from piecework.llm.common import cut, task_count
 from piecework.llm.hashing import blocks, word_hashes
 from piecework.llm.toxicity import held_out
 
 #: Bytes of context.
 ORDER = 5
-#: Nodes of the trie that are broadcast for each context length: the most frequent ones, which bounds it to 12 bytes each.
+#: Byte strings whose scores are broadcast: the most frequent ones, 16 bytes each; the scores of all others come by a join.
 NODES = 1 << 20
+#: Bytes of context by which counts are dealt to tasks. Contexts shorter than this are broadcast, 2**(8 * NEAR) strings at most.
+NEAR = 2
 #: Words whose counts are broadcast; the counts of all others come by a join.
 WORDS = 1 << 19
 #: Distinct byte strings a task gathers before it sends their counts.
@@ -135,12 +137,12 @@ def _gather(texts: DataFrame, make, schema: str) -> DataFrame:  # noqa: ANN001
     return texts.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _most(table: DataFrame, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
+def _most(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The rows with the highest n, at most `most`: keys in order, counts, and the least n that is in."""
-    total = 0
+    total, least = 0, 1
     for r in table.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
         if total + r["count"] > most:
-            least = max(least, r["n"] + 1)
+            least = r["n"] + 1
             break
         total += r["count"]
     found = table.where(F.col("n") >= least).select("key", "n").toArrow()
@@ -149,16 +151,39 @@ def _most(table: DataFrame, most: int, least: int = 1) -> tuple[np.ndarray, np.n
     return keys[order], n[order], least
 
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of `texts` (a column text). Nodes of longer contexts need counts no smaller than those of shorter ones."""
-    grams = cut(_gather(texts, lambda x: strings(*streams(x), order), "key long, n long"), "byte-strings")
-    tables, least = [], 1
-    for k in range(order + 1):
-        mask = F.lit((1 << (8 * (k + 1))) - 1)
-        level = grams.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
-        keys, n, least = _most(cut(level, f"byte-strings-{k}"), nodes, least)
-        tables.append((keys, n))
-    return Trie(tables)
+def _level(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the last k + 1 bytes of byte strings."""
+    keys, inverse = np.unique(keys & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
+    return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
+
+
+def gram_scores(grams: DataFrame, wanted: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """key, value: the log10 probability of the last byte of `wanted` (key), or of the `grams` (key, n) with n >= `least`.
+
+    All counts take part. Contexts of NEAR bytes or more that can matter to a string end in the same NEAR bytes
+    as its own, as do the symbols seen there, so a task that gets all strings of these bytes has their part of the trie.
+    """
+    spark = grams.sparkSession
+    short = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * NEAR)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = short["key"].to_numpy().view(np.uint64), short["n"].to_numpy()
+    above = spark.sparkContext.broadcast([_level(keys, counts, k) for k in range(NEAR)])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("key", "n", "asked")) for batch in batches]
+        if not held:
+            return
+        key, n, asked = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        key = key.view(np.uint64)
+        trie = Trie([*above.value, *(_level(key[n > 0], n[n > 0], k) for k in range(NEAR, ORDER + 1))])
+        found = np.unique(key[asked])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(trie.log10(found))], ["key", "value"])
+
+    rows = grams.select("key", "n", (F.col("n") >= least if wanted is None else F.lit(False)).alias("asked"))
+    if wanted is not None:
+        rows = rows.union(wanted.select("key", F.lit(0).cast("long"), F.lit(True)).distinct())
+    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * NEAR)) - 1))
+    return rows.repartition(task_count(spark), near).mapInArrow(values, "key long, value double")
 
 
 def ppm_scores(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +197,10 @@ def ppm_scores(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     trained = trained.select(F.col("text").cast("string").alias("text"))
     # The written copy fixes the row numbers that the base score of rare words comes back to.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    trie = spark.sparkContext.broadcast(train(trained))
+    grams = cut(_gather(trained, lambda x: strings(*streams(x)), "key long, n long"), "byte-strings")
+    frequent = gram_scores(grams, least=_most(grams, NODES)[2]).toArrow()
+    order = np.argsort(frequent["key"].to_numpy())
+    scores = spark.sparkContext.broadcast((frequent["key"].to_numpy().view(np.uint64)[order], frequent["value"].to_numpy()[order]))
     words = cut(_gather(trained, lambda x: word_hashes(x, lower=True)[0], "key long, n long"), "word-counts")
     ends = trained.count()
     known_tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -185,8 +213,14 @@ def ppm_scores(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
         keys, counts = common.value
         for batch in blocks(batches, "text"):
             data, sizes = streams(batch["text"])
-            grams, inverse = np.unique(strings(data, sizes), return_inverse=True)
-            each = np.add.reduceat(trie.value.log10(grams)[inverse], np.cumsum(sizes) - sizes)
+            distinct, inverse = np.unique(strings(data, sizes), return_inverse=True)
+            place, scored = Trie._at(scores.value[0], distinct)
+            value = np.zeros(len(distinct))
+            value[scored] = scores.value[1][place[scored]]
+            starts = np.cumsum(sizes) - sizes
+            each = np.add.reduceat(value[inverse], starts)
+            left = np.flatnonzero(~scored[inverse])
+            open_ = pa.ListArray.from_arrays(np.searchsorted(left, np.append(starts, len(data))).astype(np.int32), pa.array(distinct[inverse[left]].view(np.int64)))
             h, n = word_hashes(batch["text"], lower=True)
             owner = np.repeat(np.arange(len(n)), n)
             at, found = Trie._at(keys, h)
@@ -198,19 +232,22 @@ def ppm_scores(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
             rare, times = np.unique(np.stack([owner[~found].astype(np.uint64), h[~found]]), axis=1, return_counts=True) if (~found).any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
             edges = np.searchsorted(rare[0], np.arange(len(n) + 1).astype(np.uint64)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(edges, pa.array(x.view(np.int64))) for x in (rare[1], times)]
-            columns = [batch["doc_id"], pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(each), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+            columns = [batch["doc_id"], pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(each), *lists, open_]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "open"])
 
-    schema = "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
+    schema = "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, open array<long>"
     rows = cut(texts.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = rows.select("row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("times").alias("k"))).alias("x")).select("row", "x.key", "x.k")
     c = F.coalesce("n", F.lit(0))
-    answers = asked.join(words.where(F.col("n") > 0), "key", "left").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10((c + 0.1) / F.lit(floor))).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("seen")
+    answers = asked.join(words.where(F.col("n") > 0), "key", "left").select(
+        "row", (F.col("k") * F.log10((c + 0.1) / F.lit(floor))).alias("base_more"), F.when(c > 0, F.col("k")).otherwise(0).alias("seen"), F.lit(0.0).alias("more")
     )
+    open_ = rows.select("row", F.explode("open").alias("key"))
+    values = open_.join(gram_scores(grams, open_.select("key")), "key").select("row", F.lit(0.0), F.lit(0).cast("long"), "value")
+    answers = answers.union(values).groupBy("row").agg(*(F.sum(k).alias(k) for k in ("base_more", "seen", "more")))
     return rows.join(answers, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

@@ -152,6 +152,17 @@ def test_ppm_by_brute_force(spark, docs, odd, none):
     assert ppm.ppm_digest(none).count() == 0
 
 
+def test_ppm_counts_all_strings_however_many(spark):
+    """More distinct strings than are broadcast, all but a few of them seen once."""
+    rng = np.random.default_rng(11)
+    trained = ["".join(map(chr, row)) for row in rng.integers(97, 123, (66, 20_000))]
+    assert sum(map(len, trained)) > ppm.NODES
+    asked = [trained[0][:3000], "the end", trained[1][500:900] + " é " + trained[2][:50], ""]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ppm.ppm_scores(frame(asked), frame(trained)).collect()}
+    assert np.allclose([got[k] for k in range(len(asked))], brute_ppm(trained, asked), atol=1e-6)
+
+
 # ---- 3 packing ----
 
 
