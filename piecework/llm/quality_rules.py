@@ -15,8 +15,12 @@ from piecework.llm.common import cut, text_or_empty
 WINDOW = 8
 #: Base rule: fewer words fail, and more repeats than this share (in hundredths) of the words.
 LEAST_WORDS, MOST_REPEATS = 20, 30
-#: Documents with fewer words, or fewer common words, are not judged by that histogram.
-GUARD_WORDS, GUARD_COMMON = 40, 20
+#: Documents with fewer words are not judged by histograms.
+GUARD_WORDS = 40
+#: With fewer common words only their share of all words is judged, not which ones they are.
+GUARD_COMMON = 20
+#: The least distance of a text without common words by which distances of shares are scaled.
+LEAST_SCALE = 0.02
 #: Most Jensen-Shannon divergence (bits, 0 to 1) from the language's reference.
 MOST_CLASS_JSD, MOST_WORD_JSD = 0.12, 0.5
 # Common words of English, German, French and Spanish.
@@ -59,7 +63,7 @@ def covered_words(hashes: Column, window: int = WINDOW) -> Column:
 
 
 def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts, and classes and common, the two histograms."""
+    """doc_id, lang, the base counts, and classes and common, the two histograms; the last bin of common counts all other words."""
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     copies = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     rows = docs.select(
@@ -97,7 +101,7 @@ def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "n_dup_lines",
         covered_words(F.col("hashes")).alias("n_repeat_words"),
         F.array(*(classes[k].cast("long") for k in CLASSES)).alias("classes"),
-        F.array(*(share(k).cast("long") for k in range(len(COMMON)))).alias("common"),
+        F.array(*(share(k).cast("long") for k in range(len(COMMON))), (F.size("words") - F.length("coded")).cast("long")).alias("common"),
     )
 
 
@@ -105,12 +109,12 @@ def references(statistics: DataFrame) -> DataFrame:
     """For each language the sums of its documents' histograms: lang, class_ref, word_ref."""
     sums = statistics.groupBy("lang").agg(
         *(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))),
-        *(F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(len(COMMON))),
+        *(F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(len(COMMON) + 1)),
     )
     return sums.select(
         "lang",
         F.array(*(f"c{k}" for k in range(len(CLASSES)))).alias("class_ref"),
-        F.array(*(f"w{k}" for k in range(len(COMMON)))).alias("word_ref"),
+        F.array(*(f"w{k}" for k in range(len(COMMON) + 1))).alias("word_ref"),
     )
 
 
@@ -132,6 +136,20 @@ def divergence(p: Column, q: Column) -> Column:
     return F.get(once, F.lit(0))
 
 
+def word_distance(p: Column, q: Column) -> Column:
+    """How far the words of a text are from a reference, 0 to 1: the greater of two distances.
+
+    One is the divergence of the shares of common and other words, scaled so that a text without common words has
+    1; the other is that of the common words among themselves, for texts with enough of them.
+    """
+    listed = lambda a: F.slice(a, 1, len(COMMON))
+    total = lambda a: F.aggregate(listed(a), F.lit(0).cast("long"), lambda s, x: s + x)
+    shares = lambda a: F.array(total(a), F.get(a, F.lit(len(COMMON))))
+    none = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    scaled = divergence(shares(p), shares(q)) / F.greatest(divergence(none, shares(q)), F.lit(LEAST_SCALE))
+    return F.greatest(F.least(scaled, F.lit(1.0)), F.when(total(p) >= GUARD_COMMON, divergence(listed(p), listed(q))))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> DataFrame:
     """One row for each row of `docs`: the base counts, base_failed, class_jsd, word_jsd, kept.
 
@@ -146,11 +164,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # unless there are too many languages for Spark's own broadcast limit.
     refs = cut(references(stats), "quality-references") if refs is None else refs
     rows = stats.join(refs, "lang", "left")
-    common = F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x)
     rows = rows.select(
         *stats.columns,
         F.when((F.col("n_words") >= GUARD_WORDS), divergence(F.col("classes"), F.col("class_ref"))).alias("class_jsd"),
-        F.when((F.col("n_words") >= GUARD_WORDS) & (common >= GUARD_COMMON), divergence(F.col("common"), F.col("word_ref"))).alias("word_jsd"),
+        F.when((F.col("n_words") >= GUARD_WORDS), word_distance(F.col("common"), F.col("word_ref"))).alias("word_jsd"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
     near = (F.coalesce("class_jsd", F.lit(0.0)) <= MOST_CLASS_JSD) & (F.coalesce("word_jsd", F.lit(0.0)) <= MOST_WORD_JSD)

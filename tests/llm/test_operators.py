@@ -400,6 +400,26 @@ def test_quality_by_brute_force(docs, odd, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def prose(rng, common, n=300, share=0.25):
+    """Made-up words with a share of common ones, in no order."""
+    made = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n)]
+    return " ".join(str(rng.choice(common)) if rng.random() < share else w for w in made)
+
+
+def verdicts(spark, rows):
+    found = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    return {r.doc_id: r.kept for r in found}
+
+
+def test_long_texts_without_common_words_go(spark):
+    rng = np.random.default_rng(4)
+    english = quality_rules.COMMON[:7]
+    rows = [(k, "en", prose(rng, english)) for k in range(40)]
+    rows += [(100, "en", prose(rng, english, 3000, 0)), (101, "en", prose(rng, english, 3000, 0.006)), (102, "en", prose(rng, english, 60))]
+    kept = verdicts(spark, rows)
+    assert not kept[100] and not kept[101] and all(kept[k] for k in (*range(40), 102))
+
+
 def test_divergence(spark):
     p, q = np.array([3, 0, 5, 2]), np.array([1, 4, 0, 5])
     row = spark.createDataFrame([(p.tolist(), q.tolist(), [0, 0, 0, 0])], "p array<long>, q array<long>, z array<long>")
