@@ -21,6 +21,8 @@ GUARD_WORDS = 40
 GUARD_COMMON = 20
 #: The least distance of a text without common words by which distances of shares are scaled.
 LEAST_SCALE = 0.02
+#: Other texts a language's reference needs.
+LEAST_TEXTS = 10
 #: Most Jensen-Shannon divergence (bits, 0 to 1) from the language's reference.
 MOST_CLASS_JSD, MOST_WORD_JSD = 0.12, 0.5
 # Common words of English, German, French and Spanish.
@@ -63,7 +65,7 @@ def covered_words(hashes: Column, window: int = WINDOW) -> Column:
 
 
 def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts, and classes and common, the two histograms; the last bin of common counts all other words."""
+    """doc_id, lang, text_hash, the base counts, and classes and common, the two histograms; the last bin of common counts all other words."""
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     copies = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     rows = docs.select(
@@ -74,6 +76,7 @@ def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select(
         "doc_id",
         "lang",
+        F.xxhash64("t").alias("text_hash"),
         F.length("t").cast("long").alias("n"),
         # Lower-case letters go first: the other counts then work on a fraction of the text.
         F.regexp_replace("t", "[a-z]+", "").alias("rest"),
@@ -95,6 +98,7 @@ def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select(
         "doc_id",
         "lang",
+        "text_hash",
         F.size("words").cast("long").alias("n_words"),
         (F.col("n") - F.col("white")).alias("word_chars"),
         F.col("symbol").alias("n_symbols"),
@@ -105,14 +109,21 @@ def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
+
+
 def references(statistics: DataFrame) -> DataFrame:
-    """For each language the sums of its documents' histograms: lang, class_ref, word_ref."""
+    """For each language the sums over its distinct texts that pass the base rules: lang, texts, class_ref, word_ref."""
+    statistics = statistics.where(~base_failed()).dropDuplicates(["lang", "text_hash"])
     sums = statistics.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("texts"),
         *(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))),
         *(F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(len(COMMON) + 1)),
     )
     return sums.select(
         "lang",
+        "texts",
         F.array(*(f"c{k}" for k in range(len(CLASSES)))).alias("class_ref"),
         F.array(*(f"w{k}" for k in range(len(COMMON) + 1))).alias("word_ref"),
     )
@@ -155,21 +166,32 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document is kept if the base rules pass and neither histogram is further from its language's reference
     than the limit; too short documents are not judged by histograms. `refs` (lang, class_ref, word_ref) gives
-    references from elsewhere; without it they are summed over all documents of a language. Null texts count
-    as empty (they fail for want of words), null languages are one language of their own, other columns are
-    not read.
+    references from elsewhere. Without it they are summed over the distinct texts of a language that pass the base
+    rules, less the judged text itself, so copies of a text do not move what it is compared with. Where fewer than
+    LEAST_TEXTS others are left, the nearest of all languages with so many texts is taken; without any the text is
+    not judged. Null texts count as empty (they fail for want of words), null languages are one language of their
+    own, other columns are not read.
     """
     stats = cut(quality_statistics(docs, id_col, text_col, lang_col), "quality-statistics")
+    classes, common, judged = F.col("classes"), F.col("common"), F.col("n_words") >= GUARD_WORDS
     # References are one row a language; a language may hold most rows, so the join must not shuffle by it
     # unless there are too many languages for Spark's own broadcast limit.
-    refs = cut(references(stats), "quality-references") if refs is None else refs
-    rows = stats.join(refs, "lang", "left")
-    rows = rows.select(
-        *stats.columns,
-        F.when((F.col("n_words") >= GUARD_WORDS), divergence(F.col("classes"), F.col("class_ref"))).alias("class_jsd"),
-        F.when((F.col("n_words") >= GUARD_WORDS), word_distance(F.col("common"), F.col("word_ref"))).alias("word_jsd"),
-    )
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words"))
+    if refs is not None:
+        rows = stats.join(refs, "lang", "left")
+        class_jsd, word_jsd = divergence(classes, F.col("class_ref")), word_distance(common, F.col("word_ref"))
+    else:
+        refs = cut(references(stats), "quality-references")
+        every = refs.where(F.col("texts") >= LEAST_TEXTS).agg(F.collect_list(F.struct("lang", "class_ref", "word_ref")).alias("every"))
+        rows = stats.join(refs, "lang", "left").crossJoin(F.broadcast(every))
+        less = lambda ref, own: F.when(base_failed(), F.col(ref)).otherwise(F.zip_with(ref, own, lambda x, y: x - y))
+        others = F.coalesce("texts", F.lit(0)) - F.when(base_failed(), 0).otherwise(1)
+        # Its own language has too few others: with this text it may just reach LEAST_TEXTS.
+        strange = F.filter("every", lambda r: r["lang"] != F.col("lang"))
+        nearest = lambda distance: F.array_min(F.transform(strange, distance))
+        class_jsd = F.when(others >= LEAST_TEXTS, divergence(classes, less("class_ref", classes))).otherwise(nearest(lambda r: divergence(classes, r["class_ref"])))
+        word_jsd = F.when(others >= LEAST_TEXTS, word_distance(common, less("word_ref", common))).otherwise(nearest(lambda r: word_distance(common, r["word_ref"])))
+    rows = rows.select(*stats.columns, F.when(judged, class_jsd).alias("class_jsd"), F.when(judged, word_jsd).alias("word_jsd"))
+    failed = base_failed()
     near = (F.coalesce("class_jsd", F.lit(0.0)) <= MOST_CLASS_JSD) & (F.coalesce("word_jsd", F.lit(0.0)) <= MOST_WORD_JSD)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

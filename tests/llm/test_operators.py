@@ -420,6 +420,20 @@ def test_long_texts_without_common_words_go(spark):
     assert not kept[100] and not kept[101] and all(kept[k] for k in (*range(40), 102))
 
 
+def test_copies_do_not_move_their_reference(spark):
+    rng = np.random.default_rng(6)
+    english, german = quality_rules.COMMON[:7], quality_rules.COMMON[7:15]
+    rows = [(k, "en", prose(rng, english)) for k in range(30)]
+    wrong, right, junk = prose(rng, german), prose(rng, english), prose(rng, ["zzz"])
+    for copies in (1, 60):
+        kept = verdicts(spark, rows + [(100 + k, "en", wrong) for k in range(copies)])
+        assert not any(kept[100 + k] for k in range(copies)) and all(kept[k] for k in range(30))
+    # A language with one text: judged by the nearest of the others.
+    kept = verdicts(spark, [*rows, (100, "xx", junk), (101, "yy", right), (102, None, right)])
+    assert not kept[100] and kept[101] and kept[102]
+    assert verdicts(spark, [(1, "xx", right)]) == {1: True}
+
+
 def test_divergence(spark):
     p, q = np.array([3, 0, 5, 2]), np.array([1, 4, 0, 5])
     row = spark.createDataFrame([(p.tolist(), q.tolist(), [0, 0, 0, 0])], "p array<long>, q array<long>, z array<long>")
