@@ -30,7 +30,9 @@ WINDOW = 20
 ANCHOR = 4
 #: Suffixes a task gathers before it settles repeats among them and sends the rest.
 GATHER = 2_000_000
-SPANS = "doc_id long, start int, stop int"
+SPANS = "row long, start int, stop int"
+#: Texts without an id come after all others.
+LAST = (1 << 63) - 1
 
 
 def _windows(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,16 +76,22 @@ def _spans(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray,
     return doc[at], start[at], start[last] + window
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Word spans (doc_id, start, stop) that windows cover whose words also start earlier; they may overlap.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, row: a written copy, which fixes the row numbers that tell repeated and null ids apart."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return cut(texts.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+
 
-    Earlier is a smaller id, or an earlier start in the same document. Words are compared unchanged.
-    `window` is 8 to 16 or at least 17 and at most 20 words.
+def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Word spans (row, start, stop) of `numbered` texts that windows cover whose words also start earlier; they may overlap.
+
+    Earlier is a smaller id, a smaller row number of the same id, or an earlier start in the same row. Words are
+    compared unchanged. `window` is 8 to 16 or at least 17 and at most 20 words.
     """
     if not 8 <= window <= 20:
         raise ValueError("window must be 8 to 20 words")
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    spark = rows.sparkSession
+    texts = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "row", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -100,28 +108,28 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         def settle() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            key, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((start, doc, key))
-            key, doc, start = key[order], doc[order], start[order]
+            order = np.lexsort((start, row, doc, key))
+            key, doc, row, start = key[order], doc[order], row[order], start[order]
             later = np.zeros(len(key), bool)
             later[1:] = key[1:] == key[:-1]
-            yield rows(key[~later], doc[~later], start[~later], start[~later])
-            doc, start = doc[later], start[later]
-            order = np.lexsort((start, doc))
-            doc, start, stop = _spans(doc[order], start[order], window)
+            yield leaf(key[~later], doc[~later], row[~later], start[~later], start[~later])
+            row, start = row[later], start[later]
+            order = np.lexsort((start, row))
+            row, start, stop = _spans(row[order], start[order], window)
             # Spans settled here travel with the leaves, spread by their own hash.
-            yield rows(join(doc.view(np.uint64), start.astype(np.uint64)).view(np.int64), doc, start, stop)
+            yield leaf(join(row.view(np.uint64), start.astype(np.uint64)).view(np.int64), row, row, start, stop)
 
-        def rows(key, doc, start, stop) -> pa.RecordBatch:  # noqa: ANN001
-            columns = [pa.array(key), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "stop"])
+        def leaf(key, doc, row, start, stop) -> pa.RecordBatch:  # noqa: ANN001
+            columns = [pa.array(key), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "row", "start", "stop"])
 
         n = 0
         for batch in blocks(batches, "text"):
             owner, start, whole, anchor, _ = _windows(batch["text"], window)
             keep = hits(shared.value, anchor)
-            held.append((whole[keep].view(np.int64), batch["doc_id"].to_numpy()[owner[keep]], start[keep]))
+            held.append((whole[keep].view(np.int64), batch["doc_id"].to_numpy()[owner[keep]], batch["row"].to_numpy()[owner[keep]], start[keep]))
             n += int(keep.sum())
             if n >= GATHER:
                 yield from settle()
@@ -131,33 +139,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            key, doc, start, stop = (batch[k].to_numpy() for k in ("key", "doc_id", "start", "stop"))
+            key, row, start, stop = (batch[k].to_numpy() for k in ("key", "row", "start", "stop"))
             settled = stop > start
-            k, d, s = key[~settled], doc[~settled], start[~settled]
+            k, d, s = key[~settled], row[~settled], start[~settled]
             later = np.zeros(len(k), bool)
             if len(k):
                 later[1:] = k[1:] == k[:-1]
                 later[0] = k[0] == last
                 last = k[-1]
-            d = np.concatenate([d[later], doc[settled]])
+            d = np.concatenate([d[later], row[settled]])
             s, e = np.concatenate([s[later], start[settled]]), np.concatenate([s[later] + window, stop[settled]])
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc_id", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["row", "start", "stop"])
 
-    leaves = texts.mapInArrow(suffixes, "key long, doc_id long, start int, stop int")
-    leaves = leaves.repartition(task_count(spark), "key").sortWithinPartitions("key", "doc_id", "start")
+    leaves = texts.mapInArrow(suffixes, "key long, doc_id long, row long, start int, stop int")
+    leaves = leaves.repartition(task_count(spark), "key").sortWithinPartitions("key", "doc_id", "row", "start")
     return leaves.mapInArrow(subtrees, SPANS)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed word spans, merged and in order), kept_text: one row a document.
 
-    Null texts have no words; a null id is judged as if no other document existed; repeated ids are taken as
-    one document's parts in no order, so ids should be unique; other columns are not read.
+    Null texts have no words; null ids come after all others; rows of one id are texts of their own, in the
+    order of a written copy; other columns are not read.
     """
     # A document's spans are few once touching ones are merged, however often its words repeat.
-    starts = repeated_spans(docs, window, id_col, text_col)
-    marked = starts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("found"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = numbered(docs, id_col, text_col)
+    marked = repeated_spans(texts, window).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("found"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -184,7 +191,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept_text string"
-    joined = texts.join(cut(marked, "repeated-spans"), "doc_id", "left").select("doc_id", "text", "found")
+    joined = texts.join(cut(marked, "repeated-spans"), "row", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(rewrite, schema)
 
 

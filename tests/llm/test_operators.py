@@ -264,6 +264,15 @@ def test_substring_dedup_by_brute_force(docs, odd, none):
     assert substring_dedup(odd).count() == len(ODD) and substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_tells_rows_of_one_id_apart(spark):
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    twice = own("p", 30)
+    rows = [(1, own("a", 60)), (1, own("a", 60)), (2, own("b", 25)), (2, own("c", 90) + " " + own("a", 40)), (None, twice + " x " + twice), (None, own("a", 30))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup(frame).collect())
+    assert got == sorted([(1, 60, 0), (1, 60, 60), (2, 25, 0), (2, 130, 40), (-1, 61, 30), (-1, 30, 30)])
+
+
 # ---- 6 secrets ----
 
 KINDS = {
