@@ -1,7 +1,6 @@
-"""Substring dedup over word suffixes, partitioned by prefixes of variable length.
+"""Substring dedup by hashes of windows of a fixed number of words, in place of a partitioned suffix tree.
 
-The suffix tree of the corpus is never held whole. Its nodes are addressed by the hash of their path, and only
-the part that can hold a repeat of `window` words is built, level by level:
+No tree is built and prefixes have two fixed lengths, the anchor and the window; hashes are not verified:
 
 1. Short prefixes. Of every `window` consecutive words one anchor, a run of `ANCHOR` words chosen by least hash,
    stands for the suffix; equal windows have equal anchors. Anchors are counted; a subtree whose prefix occurs
