@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -17,50 +17,42 @@ from piecework.llm.hashing import blocks
 SEQUENCE = 2048
 #: Pieces packed together. A group wastes about one sequence, so larger groups pack no better to speak of.
 GROUP = 25_000
-#: Chunks whose ids a worker remembers before it starts anew, and the longest that it remembers.
-MEMO, LONG = 1_500_000, 100
+#: Strings of the vocabulary that stand for one id wherever they are in a text.
+SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
-# A pre-token of this vocabulary never reaches over a space that has no white space beside it, so texts may be
-# cut there, and the ids of a chunk do not depend on what stands around it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s | \s|\A | \Z")
+class Ids:
+    """Ids of texts by a byte-level vocabulary, as a call of its tokenizers file gives them.
 
+    They come from the same vocabulary as ranks, which takes a fraction of the time; texts it refuses (a million
+    of white space in a row, say) go through the tokenizers file. No text or chunk is remembered.
+    """
 
-def chunks(text: str) -> list[str]:
-    if _ODD.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
+    def __init__(self, tokenizer: str, ranks: str, special: dict[str, int]):
+        import tiktoken
+        from public_tokenizers import PATTERN
 
-class ChunkIds(dict):
-    """Ids of chunks as little-endian 32-bit bytes, from a tokenizer; remembers at most `MEMO` chunks."""
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranked = tiktoken.Encoding("piecework", pat_str=PATTERN, mergeable_ranks=table, special_tokens=special)
+        self.path, self.tokenizer = tokenizer, None
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def of(self, text: str) -> np.ndarray:
+        try:
+            return self.ranked.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return self.plain(text)
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def plain(self, text: str) -> np.ndarray:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; chunks not seen before go through the tokenizer together."""
-        parts = [chunks(x) for x in texts]
-        missing = {x for own in parts for x in own if x not in self}
-        if len(self) + len(missing) > MEMO:
-            self.clear()
-            missing = {x for own in parts for x in own}
-        new = list(missing)
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[x] = np.array(e.ids, "<u4").tobytes()
-        found = [b"".join(map(self.__getitem__, own)) for own in parts]
-        for x in new:
-            if len(x) > LONG:
-                del self[x]
-        return found
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-_WORKER: dict[str, ChunkIds] = {}
+_WORKER: dict[tuple, Ids] = {}
 
 
 def cut_pieces(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -69,15 +61,18 @@ def cut_pieces(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
     return [(0, min(first, n)), *((s, most) for s in range(first, n, most))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, ranks: str, id_col: str = "doc_id", text_col: str = "text", most: int = SEQUENCE) -> DataFrame:
     """The pieces of each document: its ids by the tokenizer, then id 0, cut if longer than `most`."""
+    key = (tokenizer, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _WORKER.setdefault(tokenizer, ChunkIds(tokenizer))
+        if key not in _WORKER:
+            _WORKER[key] = Ids(tokenizer, ranks, SPECIAL)
+        ids = _WORKER[key]
         for batch in blocks(batches, "text"):
             rows: list[tuple] = []
-            for doc, data in zip(batch["doc_id"].to_pylist(), ids.of([x or "" for x in batch["text"].to_pylist()]), strict=True):
-                data += b"\0\0\0\0"
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                data = np.append(ids.of(text.as_py() or ""), 0).astype("<u4").tobytes()
                 for k, (s, n) in enumerate(cut_pieces(len(data) // 4, most)):
                     rows.append((doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)])))
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -147,11 +142,12 @@ def best_fit(lengths: np.ndarray, most: int = SEQUENCE) -> tuple[np.ndarray, np.
 def pack(found: DataFrame, most: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces (see `pieces`), which are read twice.
 
-    Pieces are dealt by a hash into groups of about `group`, each packed on its own by best fit decreasing; as
-    the groups are alike and hold thousands of sequences, what the split costs is under one sequence a group.
+    Pieces are dealt one by one, by their place in the written table, into groups of about `group`, whatever their
+    ids; each group is packed on its own by best fit decreasing. As the groups are alike and hold thousands of
+    sequences, what the split costs is under one sequence a group (tests hold it against one packing of all).
     """
     groups = max(1, round(found.count() / group))
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = found.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
@@ -163,10 +159,11 @@ def pack(found: DataFrame, most: int = SEQUENCE, group: int = GROUP) -> DataFram
     return dealt.groupBy("_group").applyInArrow(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, most: int = SEQUENCE, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, most: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Tokenises and packs: one row for each piece with its place (see PACKED).
 
     Null texts count as empty and take one id; null and repeated ids are packed like any row; an empty table
-    gives an empty result; other columns are not read. `tokenizer` is the path of a tokenizers file.
+    gives an empty result; other columns are not read. `tokenizer` is the path of a tokenizers file, `ranks` that
+    of the same vocabulary as ranks.
     """
-    return pack(cut(pieces(docs, tokenizer, most=most), "pieces"), most, group)
+    return pack(cut(pieces(docs, tokenizer, ranks, most=most), "pieces"), most, group)

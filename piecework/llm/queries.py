@@ -34,7 +34,7 @@ def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 #: Target weights of the domains of the labelled table.

@@ -15,7 +15,8 @@ from piecework.llm import mixing, ppm, quality_rules, secret_scan
 from piecework.llm import queries as Q
 from piecework.llm.exact_dedup import exact_dedup, fresh_index, without_copies
 from piecework.llm.ngram_join import ngram_classes
-from piecework.llm.packing import best_fit, chunks, pack_documents
+from piecework.llm.common import cut
+from piecework.llm.packing import SPECIAL, Ids, best_fit, pack, pack_documents
 from piecework.llm.substring_dedup import substring_dedup
 from piecework.llm.token_counts import SPACE, Vocabulary, token_counts
 from piecework.llm.toxicity import toxicity
@@ -169,10 +170,10 @@ def test_ppm_counts_all_strings_however_many(spark):
 def test_packing_by_brute_force(spark, docs, odd, none):
     from tokenizers import Tokenizer
 
-    path = Q.vocabulary("byte_bpe_50k.json")
-    tokenizer = Tokenizer.from_file(path)
+    paths = Q.vocabulary("byte_bpe_50k.json"), Q.vocabulary("byte_bpe_50k.tiktoken")
+    tokenizer = Tokenizer.from_file(paths[0])
     for frame in (docs, odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
-        rows = pack_documents(frame, path).collect()
+        rows = pack_documents(frame, *paths).collect()
         ids = {d: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for d, t in texts_of(frame)}
         bins: dict[int, list] = {}
         parts: dict[int, list] = {}
@@ -193,9 +194,40 @@ def test_packing_by_brute_force(spark, docs, odd, none):
                 assert (piece, start) == (k, at) and (k == 0 or length == 2048)
                 at += length
             assert at == len(ids[d])
-        assert len(bins) <= math.ceil(1.02 * sum(map(len, ids.values())) / 2048) + 1
-    assert pack_documents(odd, path).groupBy("doc_id").count().where("doc_id = 4").first()["count"] == 2
-    assert pack_documents(none, path).count() == 0
+        # Best fit over all pieces at once opens as many.
+        assert len(bins) == 1 + max(best_fit(np.array(sorted((r.length for r in rows), reverse=True)))[0])
+    assert pack_documents(odd, *paths).groupBy("doc_id").count().where("doc_id = 4").first()["count"] == 2
+    assert pack_documents(none, *paths).count() == 0
+
+
+def test_groups_pack_as_well_as_one(spark):
+    rng = np.random.default_rng(9)
+    lengths = np.minimum(2048, rng.lognormal(5.5, 1.2, 30_000).astype(int) + 1)
+    # A third of all rows without an id, a third under one id.
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(len(lengths))]
+    rows = [(d, 0, 0, int(n), 1) for d, n in zip(ids, lengths, strict=True)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    packed = pack(cut(found, "pieces"), group=5_000)
+    groups = packed.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert len(groups) == 6 and max(r["count"] for r in groups) < 5_100
+    used = packed.select("sequence_id").distinct().count()
+    assert used <= 1 + max(best_fit(np.array(sorted(lengths, reverse=True)))[0]) + len(groups)
+
+
+def test_ids_equal_those_of_the_tokenizers_file(spark):
+    from tokenizers import Tokenizer
+
+    paths = Q.vocabulary("byte_bpe_50k.json"), Q.vocabulary("byte_bpe_50k.tiktoken")
+    plain, ids = Tokenizer.from_file(paths[0]), Ids(*paths, SPECIAL)
+    rng = np.random.default_rng(8)
+    parts = [" ", "  ", "\n", "\t", "a", "B", "é", "1", "٣", "_", "'s", "'", "!", "<|endoftext|>", "\u00a0", "\u0301", "😀", "日", "\x1c", "\x85", "\u200b", "ll", "'re"]
+    texts = ["", "<|endoftext|>", "a<|endoftext|> b <|endoftext|", "x" * 50_000, " " * 200_000 + "x", "\x00\x7f"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(1_000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(1_500).collect()]
+    for x in texts:
+        assert ids.of(x).tolist() == plain.encode(x, add_special_tokens=False).ids == ids.plain(x).tolist()
+    much = " " * 3_000_000 + "x"
+    assert ids.of(much).tolist() == plain.encode(much, add_special_tokens=False).ids
 
 
 def test_best_fit_takes_the_tightest_bin():
@@ -213,11 +245,6 @@ def test_best_fit_takes_the_tightest_bin():
         left[b] -= n
 
 
-def test_chunks_join_to_the_text():
-    for text in ("a b  c\n d", " x", "x ", "", "a  b", "  "):
-        assert "".join(chunks(text)) == text
-
-
 # ---- 4 mixing ----
 
 
