@@ -1,4 +1,4 @@
-"""Bitmaps of fixed size over hashes: a broadcast filter with no false negatives, whatever the data."""
+"""Bitmaps of bounded size over hashes: a broadcast filter with no false negatives, whatever the data."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2**27 bits are 16 MB, the most a broadcast of this kind takes.
-BITS = 27
+#: Bits for each key, and the most bits of a bitmap: 2**30 are 128 MB. Beyond it filters let more pass; results stay.
+SHARE, MOST = 16, 30
 
 
-def collect_bitmap(keys: DataFrame, column: str | Column, bits: int = BITS) -> np.ndarray:
-    """A bit for the low `bits` bits of each key; parts of 4 KB are built in the cluster, at most 2**bits / 8 bytes come here."""
+def collect_bitmap(keys: DataFrame, column: str | Column) -> np.ndarray:
+    """A bit for the low bits of each key of a (written) table; parts of 4 KB are built in the cluster.
+
+    The number of bits goes by that of the keys; at most 2**MOST / 8 bytes come here.
+    """
+    bits = min(MOST, max(16, (SHARE * keys.count()).bit_length()))
     key = F.col(column) if isinstance(column, str) else column
     slot = key.bitwiseAND(F.lit((1 << bits) - 1)).cast("long") + 1
     parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))

@@ -3,13 +3,15 @@
 A document is the set of hashes of its distinct word n-grams; documents with equal sets are one node from the
 start. Two sets that are similar enough share a token among the first of each in any order that all sets use.
 Every order here puts tokens last that are common somewhere in the corpus, and the others by a hash of its own,
-so shared passages cause few candidates. The first order's prefixes are joined; a candidate pair must then
-share prefix tokens under each further order too before the sets themselves are compared. Two cheap bounds
-that are exact go before: the places of the first shared token, and how far parity bits of the sets differ.
-
-Within a large group of near copies all pairs would share prefix tokens. As the result is components, pairs
-are asked for in rounds: first each document against one central document of its token, then only pairs that
-lie in different components so far, until none is left. So no link between components is lost.
+so shared passages cause few candidates. A candidate pair must share prefix tokens under each order before the
+sets themselves are read and compared. Two cheap bounds that are exact go before: the places of the first shared
+token, and how far parity bits of the sets differ.
+
+Within a large group of near copies all pairs would share prefix tokens. As the result is components, pairs are
+asked for in two rounds. First each document meets one central document, that of most of its tokens. Then all
+pairs that lie in different components are asked for, by the tokens of the first order but for those that many
+documents share; documents with such tokens by those of the second order, and again of the third. A pair that
+links shares a token in each order, so none is lost, and no document is listed more often than its prefixes are long.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ COMMON_SETS = 4
 #: Words with this share of a block's words, and as many occurrences, are frequent; tokens of such words alone go after others.
 FREQUENT_SHARE, FREQUENT_WORDS = 3e-6, 4
 #: Tokens a task gathers into a block.
-GATHER = 4_000_000
+GATHER = 1_000_000
 ORDERS = 3
 PARITIES = 4
 ODD = [f"odd{k}" for k in range(PARITIES)]
-#: Rounds against central documents before all pairs between components are asked for.
-PIVOT_ROUNDS = 1
+#: Tokens in more prefixes than this are left to the next order, except in the last.
+HOT = 64
 
 
 def shingle_sets(texts: pa.Array, n: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,6 +112,16 @@ def parities(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sizes), PARITIES)
 
 
+def first_seen(nodes: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which nodes are neither in `seen` (sorted) nor earlier in `nodes`, and `seen` with them."""
+    new = np.zeros(len(nodes), bool)
+    new[np.unique(nodes, return_index=True)[1]] = True
+    if len(seen):
+        at = np.minimum(np.searchsorted(seen, nodes), len(seen) - 1)
+        new &= seen[at] != nodes
+    return new, np.sort(np.concatenate([seen, nodes[new]]))
+
+
 class NgramJoin:
     """The links of `docs` (doc_id, text) at a Jaccard similarity of most/of over word n-grams."""
 
@@ -117,24 +129,21 @@ class NgramJoin:
         self.n, self.most, self.of = n, most, of
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.spark = docs.sparkSession
-        odd = "".join(f", {x} long" for x in ODD)
-        scanned = cut(self.texts.mapInArrow(self._scan(), f"kind int, doc_id long, node long, size long{odd}"), "shingle-sets")
-        #: doc_id, node (null for empty sets), size, parities
+        scanned = cut(self.texts.mapInArrow(self._scan(), "kind int, doc_id long, node long, size long"), "shingle-sets")
+        #: doc_id, node (null for empty sets), size
         self.members = scanned.where("kind = 0").drop("kind")
-        once = lambda kind: scanned.where(F.col("kind") == kind).select("node").distinct()
-        self.common = self.spark.sparkContext.broadcast(collect_bitmap(once(1), F.expr("shiftrightunsigned(node, 1)"), 24))
-        self.frequent = self.spark.sparkContext.broadcast(collect_bitmap(once(2), "node", 24))
+        often = cut(scanned.where("kind > 0").select("kind", "node").distinct(), "often")
+        self.common = self.spark.sparkContext.broadcast(collect_bitmap(often.where("kind = 1"), F.expr("shiftrightunsigned(node, 1)")))
+        self.frequent = self.spark.sparkContext.broadcast(collect_bitmap(often.where("kind = 2"), "node"))
 
     def _scan(self):  # noqa: ANN202
         """Rows of three kinds: a document's set; a common token (in node); a frequent word (in node)."""
         n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows(kind: int, nodes: pa.Array, sizes: np.ndarray, ids: pa.Array | None = None, odd: np.ndarray | None = None) -> pa.RecordBatch:
-                none = pa.nulls(len(nodes), pa.int64())
-                more = [none] * PARITIES if odd is None else [pa.array(np.ascontiguousarray(x)) for x in odd.T]
-                columns = [pa.array(np.full(len(nodes), kind, np.int32)), none if ids is None else ids, nodes, pa.array(sizes), *more]
-                return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "node", "size", *ODD])
+            def rows(kind: int, nodes: pa.Array, sizes: np.ndarray, ids: pa.Array | None = None) -> pa.RecordBatch:
+                ids = pa.nulls(len(nodes), pa.int64()) if ids is None else ids
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), kind, np.int32)), ids, nodes, pa.array(sizes)], ["kind", "doc_id", "node", "size"])
 
             def settle() -> Iterator[pa.RecordBatch]:
                 for kind, found in ((1, held), (2, read)):
@@ -144,136 +153,173 @@ class NgramJoin:
                         x, count = x[count >= least], count[count >= least]
                         yield rows(kind, pa.array(x.view(np.int64)), count)
                     found.clear()
-                seen.clear()
 
             held: list[np.ndarray] = []
             read: list[np.ndarray] = []
-            seen: set[int] = set()
+            seen = np.zeros(0, np.int64)
             total = 0
             for batch in blocks(batches, "text"):
                 tokens, sizes, words = shingle_sets(batch["text"], n)
                 nodes = set_nodes(tokens, sizes)
                 # A set counts once in a block.
-                new = [not (x in seen or seen.add(x)) for x in nodes.tolist()]
-                held.append(tokens[np.repeat(np.array(new, bool), sizes)])
+                new, seen = first_seen(nodes, seen)
+                held.append(tokens[np.repeat(new, sizes)])
                 read.append(words)
-                yield rows(0, pa.array(nodes, mask=sizes == 0), sizes, batch["doc_id"], parities(tokens, sizes))
+                yield rows(0, pa.array(nodes, mask=sizes == 0), sizes, batch["doc_id"])
                 total += len(words)
                 if total >= GATHER:
                     yield from settle()
-                    total = 0
+                    seen, total = seen[:0], 0
             yield from settle()
 
         return run
 
     def _each_set(self, schema: str, names: list[str], make, wanted: np.ndarray | None = None) -> DataFrame:  # noqa: ANN001
-        """Rows that `make(node, tokens, ranks of each order, common)` gives for each set; a set once in a task, if it can."""
+        """Rows that `make(node, tokens, common)` gives for each set, once in a task; of `wanted` nodes if given."""
         n, shared, frequent = self.n, self.common, self.frequent
         wanted = None if wanted is None else self.spark.sparkContext.broadcast(wanted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
+            seen = np.zeros(0, np.int64)
             for batch in blocks(batches, "text"):
                 tokens, sizes, _ = shingle_sets(batch["text"], n, frequent.value)
                 nodes = set_nodes(tokens, sizes)
                 take = sizes > 0 if wanted is None else (sizes > 0) & hits(wanted.value, nodes)
+                new, seen = first_seen(nodes, seen)
                 common = hits(shared.value, tokens >> np.uint64(1))
                 end = np.cumsum(sizes)
                 parts = []
-                for i in np.flatnonzero(take).tolist():
-                    if (node := int(nodes[i])) not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(node)
-                        own = slice(end[i] - sizes[i], end[i])
-                        parts.append(make(node, tokens[own], common[own]))
+                for i in np.flatnonzero(take & new).tolist():
+                    own = slice(end[i] - sizes[i], end[i])
+                    if (found := make(int(nodes[i]), tokens[own], common[own])) is not None:
+                        parts.append(found)
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names)
 
         return self.texts.mapInArrow(run, schema)
 
-    def _prefixes(self, wanted_tokens: np.ndarray | None = None) -> DataFrame:
-        most, of = self.most, self.of
-        kept = None if wanted_tokens is None else self.spark.sparkContext.broadcast(wanted_tokens)
+    def _tokens(self) -> DataFrame:
+        """token, node of the first order's prefixes."""
+
+        first_of = _First(self.most, self.of)
 
         def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple:
-            first = first_tokens(tokens, ranks(tokens, common, 0), prefix_size(len(tokens), most, of))
-            whole = lambda x, t: pa.array(np.full(len(first), x, t))
-            place = np.arange(len(first), dtype=np.int32)
-            if kept is not None:
-                place = np.flatnonzero(hits(kept.value, first >> np.uint64(1))).astype(np.int32)
-                first = first[place]
-            return pa.array(first.view(np.int64)), pa.array(place), whole(node, np.int64), whole(len(tokens), np.int32), whole(1 - common.mean(), np.float32)
+            first = first_of(tokens, common, 0)
+            return pa.array(first.view(np.int64)), pa.array(np.full(len(first), node))
 
-        return self._each_set("token long, place int, node long, size int, rare float", ["token", "place", "node", "size", "rare"], make)
+        return self._each_set("token long, node long", ["token", "node"], make)
 
-    def _sets(self, wanted: np.ndarray) -> DataFrame:
-        most, of = self.most, self.of
+    def _prefixes(self, shared: np.ndarray) -> DataFrame:
+        """A row for each set with `shared` tokens in its first prefix: these and their places, the other prefixes, parities."""
+        kept, first_of = self.spark.sparkContext.broadcast(shared), _First(self.most, self.of)
 
-        def one(x: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.view(np.int64)))
+        def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple | None:
+            first = first_of(tokens, common, 0)
+            place = np.flatnonzero(hits(kept.value, first >> np.uint64(1)))
+            if not len(place):
+                return None
+            numbers = [pa.array([node]), pa.array([len(tokens)], pa.int32()), pa.array([1 - common.mean()], pa.float32())]
+            more = (_one(first_of(tokens, common, k)) for k in range(1, ORDERS))
+            odd = (pa.array([int(x)], pa.int64()) for x in parities(tokens, np.array([len(tokens)]))[0])
+            return *numbers, _one(first[place]), _one(place.astype(np.int64)), *more, *odd
 
-        def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple:
-            size = prefix_size(len(tokens), most, of)
-            first = (first_tokens(tokens, ranks(tokens, common, k), size) for k in range(1, ORDERS))
-            return pa.array([node], pa.int64()), *map(one, first), one(tokens)
+        lists = ["prefix0", "places", *(f"prefix{k}" for k in range(1, ORDERS))]
+        schema = ", ".join(["node long, size int, rare float", *(f"{x} array<long>" for x in lists), *(f"{x} long" for x in ODD)])
+        return self._each_set(schema, ["node", "size", "rare", *lists, *ODD], make).dropDuplicates(["node"])
 
-        names = ["node", *(f"prefix{k}" for k in range(1, ORDERS)), "tokens"]
-        schema = "node long, " + ", ".join(f"{x} array<long>" for x in names[1:])
-        return self._each_set(schema, names, make, wanted).dropDuplicates(["node"])
+    def _sets(self, wanted: np.ndarray) -> DataFrame:
+        make = lambda node, tokens, common: (pa.array([node]), _one(tokens))  # noqa: ARG005, E731
+        return self._each_set("node long, tokens array<long>", ["node", "tokens"], make, wanted).dropDuplicates(["node"])
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link: by the filters of the further orders, then by the sets, row by row in the JVM."""
+    def _links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: by size and parities, by each further order, then by the sets, row by row in the JVM."""
 
-        def both(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        def both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
             for side in "ab":
-                pairs = pairs.join(sets.select(F.col("node").alias(side), *(F.col(c).alias(c + side) for c in columns)), side)
+                pairs = pairs.join(facts.select([F.col(c).alias(side if c == "node" else c + side) for c in facts.columns]), side)
             return pairs
 
-        near = both(pairs, [f"prefix{k}" for k in range(1, ORDERS)])
+        sizes = F.col("sizea").cast("long") + F.col("sizeb")
+        differ = sum((F.bit_count(F.col(f"{k}a").bitwiseXOR(F.col(f"{k}b"))) for k in ODD), F.lit(0))
+        alike = (self.of + self.most) * F.least("sizea", "sizeb") >= self.most * sizes
+        alike &= (self.of + self.most) * differ <= (self.of - self.most) * sizes
+        near = both(pairs, nodes.select("node", "size", *ODD)).where(alike).select("a", "b")
+        near = both(near, nodes.select("node", *(f"prefix{k}" for k in range(1, ORDERS))))
         for k in range(1, ORDERS):
             near = near.where(F.arrays_overlap(f"prefix{k}a", f"prefix{k}b"))
+        near = cut(near.select("a", "b"), "near")
+        wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        if wanted.isEmpty():
+            return near
+        sets = cut(self._sets(collect_bitmap(wanted, "node")), "sets")
+        # The sets of the b side, central documents, are few in the first round.
+        sets_b = sets.join(cut(near.select(F.col("b").alias("node")).distinct(), "wanted"), "node", "left_semi")
         shared = F.size(F.array_intersect("tokensa", "tokensb")).cast("long")
         sizes = F.size("tokensa").cast("long") + F.size("tokensb")
-        return both(near.select("a", "b"), ["tokens"]).where((self.of + self.most) * shared >= self.most * sizes).select("a", "b")
+        found = near.join(sets.toDF("a", "tokensa"), "a").join(cut(sets_b, "sets").toDF("b", "tokensb"), "b")
+        return cut(found.where((self.of + self.most) * shared >= self.most * sizes).select("a", "b"), "links")
+
+    def _against_centres(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each node and the central node of most of its tokens: the one with the least that others lack."""
+        centres = cut(rows.groupBy("token").agg(F.min(F.struct("rare", "node", "size", "place")).alias("c")), "centres")
+        met = rows.join(centres, "token").where(F.col("node") != F.col("c.node"))
+        # The first shared token of a pair bounds what the sets share by what stands behind it in either.
+        shared = F.least(F.col("size") - F.col("place"), F.col("c.size") - F.col("c.place"))
+        met = met.where((self.of + self.most) * shared >= self.most * (F.col("size") + F.col("c.size")))
+        met = met.groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        return met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b")
+
+    def _apart(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
+        """All pairs (a, b) of nodes in different components that share a token in each order's prefixes, if no hot one."""
+        placed = cut(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        pairs = None
+        for k in range(ORDERS):
+            rows = placed.select("node", "size", "component", F.explode(f"prefix{k}").alias("token"))
+            rows = rows.groupBy("token", "node", "size").agg(F.min("component").alias("component"))
+            tokens = rows.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n"))
+            tokens = cut(tokens.where("p <> q").select("token", "n"), "tokens-apart")
+            rows = cut(rows.join(tokens, "token"), "rows-apart")
+            few = rows if k == ORDERS - 1 else rows.where(F.col("n") <= HOT)
+            # Sizes too far apart cannot link: a node meets those of its own class of sizes and of the next.
+            size_class = F.floor(F.log("size") / float(-np.log(self.most / self.of)) + 1e-9).cast("int") if self.most < self.of else F.col("size")
+            few = few.withColumn("class", size_class)
+            other = few.select("token", "node", "size", "component", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "class")]
+            far = (F.col("x.component") != F.col("y.component")) & (self.of * F.least("x.size", "y.size") >= self.most * F.greatest("x.size", "y.size"))
+            met = few.alias("x").join(other.alias("y"), [*same, far])
+            met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            pairs = met if pairs is None else pairs.union(met)
+            if k < ORDERS - 1:
+                hot = cut(rows.where(F.col("n") > HOT).select("node").distinct(), "hot")
+                if hot.isEmpty():
+                    break
+                placed = cut(placed.join(hot, "node", "left_semi"), "placed")
+        return cut(pairs.distinct(), "pairs-apart")
 
     def components(self) -> DataFrame:
         """node, component for the nodes that link with another."""
-        keys = self._prefixes().groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-        found = self._prefixes(collect_bitmap(keys, F.expr("shiftrightunsigned(token, 1)"))).dropDuplicates(["token", "node"])
-        found = cut(found, "prefixes")
-        rows = cut(found.join(found.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "prefixes")
-        odd = self.members.where("node IS NOT NULL").groupBy("node").agg(*(F.first(x).alias(x) for x in ODD))
-        odd = cut(odd.join(rows.select("node").distinct(), "node", "left_semi"), "parities")
-        found = contract(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-        tested = None
-        for step in range(PIVOT_ROUNDS + 1):
-            placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            tokens = placed.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-            placed = cut(placed.join(tokens.select("token"), "token", "left_semi"), "placed")
-            both = (F.col("x.size") + F.col("y.size")).cast("long")
-            # The first shared token of a pair bounds what the sets share by what stands behind it in either.
-            shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-            fits = (self.of + self.most) * shared >= self.most * both
-            differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in ODD), F.lit(0))
-            fits &= (self.of + self.most) * differ <= (self.of - self.most) * both
-            placed = placed.join(odd, "node")
-            if step < PIVOT_ROUNDS:
-                # A token's central document: the one with the least that others lack.
-                other = placed.groupBy("token").agg(F.min(F.struct("rare", "node", "size", "component", "place", *ODD)).alias("p"))
-                other = other.select("token", "p.node", "p.size", "p.component", "p.place", *(f"p.{x}" for x in ODD))
-                apart = F.col("x.component") != F.col("y.component")
-            else:
-                other, apart = placed, F.col("x.component") < F.col("y.component")
-            pairs = placed.alias("x").join(other.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & fits)
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = cut(pairs, "candidates")
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-            links = cut(self._verified(pairs, cut(self._sets(collect_bitmap(wanted, "node", 24)), "sets")), "links")
-            found = contract(links, found)
-            tested = pairs if tested is None else tested.union(pairs)
-        return found
+        tokens = self._tokens().groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+        shared = collect_bitmap(cut(tokens.select("token"), "shared-tokens"), F.expr("shiftrightunsigned(token, 1)"))
+        nodes = cut(self._prefixes(shared), "prefixes")
+        rows = nodes.select("node", "size", "rare", F.explode(F.arrays_zip("prefix0", "places")).alias("t"))
+        rows = rows.select("node", "size", "rare", F.col("t.prefix0").alias("token"), F.col("t.places").cast("int").alias("place"))
+        found = contract(self._links(cut(self._against_centres(rows), "pairs"), nodes))
+        return contract(self._links(self._apart(nodes, found), nodes), found)
+
+
+class _First:
+    """The first tokens of a set in an order, as many as `prefix_size` says."""
+
+    def __init__(self, most: int, of: int):
+        self.most, self.of = most, of
+
+    def __call__(self, tokens: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
+        return first_tokens(tokens, ranks(tokens, common, order), prefix_size(len(tokens), self.most, self.of))
+
+
+def _one(x: np.ndarray) -> pa.Array:
+    """An array of one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.view(np.int64)))
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, most: int = 80, of: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,6 +333,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, most: int = 80, of: int = 100, id
     joined = NgramJoin(docs, n, most, of, id_col, text_col)
     members = joined.members.join(joined.components(), "node", "left")
     members = cut(members.select("doc_id", "size", F.coalesce("component", "node").alias("component")), "members")
-    names = members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below is one of plain tables, whose skewed partitions Spark splits.
+    names = cut(members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-names")
     named = members.join(names, "component", "left")
     return named.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -99,7 +99,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n > 1)], ["key", "more"])
 
     counted = texts.mapInArrow(anchors, "key long, more boolean").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
-    shared = spark.sparkContext.broadcast(collect_bitmap(counted.where("more OR n > 1"), "key"))
+    repeated = cut(counted.where("more OR n > 1").select("key"), "repeated-anchors")
+    shared = spark.sparkContext.broadcast(collect_bitmap(repeated, "key"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []

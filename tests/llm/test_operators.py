@@ -397,9 +397,31 @@ def test_ngram_classes_by_brute_force(docs, odd, n, most):
 
 
 def test_ngram_classes_odd(odd, none):
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_classes(odd).collect()}
+    # Blank texts stand alone; 1 and both rows of 4 are alike, as are 5 and 6, 9 and 10; the text without an id is its own.
+    assert {(2, 0, 2), (3, 0, 3), (12, 0, 12), (1, 1, 1), (4, 1, 1), (9, 1, 9), (10, 1, 9), (None, 1, None)} <= got
+    assert {(d, c) for d, _, c in got if d in (5, 6)} == {(5, 5), (6, 5)}
     assert ngram_classes(odd).count() == len(ODD) and ngram_classes(none).count() == 0
 
 
+def test_many_documents_under_one_token(spark, monkeypatch):
+    """2,000 documents share a passage, and so hot tokens, without linking; among them are groups that do link."""
+    from piecework.llm import ngram_join
+
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = own(40)
+    rows = [(k, " ".join(own(6) + passage)) for k in range(2_000)]
+    for k in range(0, 2_000, 100):
+        words = rows[k][1].split()
+        rows += [(10_000 + 10 * k + j, " ".join(words + own(j))) for j in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # With no token common, the passage stands among the first of every order, so all documents meet under hot tokens.
+    monkeypatch.setattr(ngram_join, "COMMON_SETS", 10**9)
+    want = brute_classes(rows, 3, 90, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_classes(frame, 3, 90).collect()} == want
+
+
 # ---- 9 toxicity ----
 
 
