@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits for each key, and the most bits of a bitmap: 2**30 are 128 MB. Beyond it filters let more pass; results stay.
-SHARE, MOST = 16, 30
+SHARE, MOST = 64, 30
 
 
 def collect_bitmap(keys: DataFrame, column: str | Column) -> np.ndarray:

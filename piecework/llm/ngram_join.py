@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piecework.llm.bitmap import collect_bitmap, hits
@@ -35,8 +35,8 @@ FREQUENT_SHARE, FREQUENT_WORDS = 3e-6, 4
 #: Tokens a task gathers into a block.
 GATHER = 1_000_000
 ORDERS = 3
-PARITIES = 4
-ODD = [f"odd{k}" for k in range(PARITIES)]
+#: Bytes of text whose prefixes or sets a task makes at a time.
+BLOCK = 1 << 21
 #: Tokens in more prefixes than this are left to the next order, except in the last.
 HOT = 64
 
@@ -101,15 +101,32 @@ def first_tokens(tokens: np.ndarray, rank: np.ndarray, size: int) -> np.ndarray:
     return tokens[np.argsort(rank)]
 
 
-def parities(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each set, whether odd numbers of tokens fall into each of 64 * PARITIES slots, as PARITIES integers.
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether odd numbers of a set's tokens fall into each slot, as integers of 64 slots; slots are a power of 2, one a token or more.
 
     Tokens that two sets share cancel out, so sets differ in at least as many tokens as these have differing bits.
+    Folding the halves over each other gives the parities for half the slots.
     """
-    slots = 64 * PARITIES
-    slot = (mix((tokens >> np.uint64(1)) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(slots)).astype(np.int64)
-    odd = np.bincount(slot + slots * np.repeat(np.arange(len(sizes)), sizes), minlength=slots * len(sizes)) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sizes), PARITIES)
+    slots = max(256, 1 << (len(tokens) - 1).bit_length())
+    slot = (mix((tokens >> np.uint64(1)) ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(slots - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=slots) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many bits the parities in columns `a` and `b` differ, the longer folded to the length of the shorter.
+
+    Sets so unlike in size that one folding is not enough count as 0 here; the sizes tell them apart.
+    """
+
+    def bits(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+
+    def folded(x: str) -> Column:
+        half = F.size(x) / 2
+        return F.zip_with(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")), lambda u, v: u.bitwiseXOR(v))
+
+    na, nb = F.size(a), F.size(b)
+    return F.when(na == nb, bits(F.col(a), F.col(b))).when(na == 2 * nb, bits(folded(a), F.col(b))).when(nb == 2 * na, bits(F.col(a), folded(b))).otherwise(F.lit(0))
 
 
 def first_seen(nodes: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,62 +191,75 @@ class NgramJoin:
 
         return run
 
-    def _each_set(self, schema: str, names: list[str], make, wanted: np.ndarray | None = None) -> DataFrame:  # noqa: ANN001
-        """Rows that `make(node, tokens, common)` gives for each set, once in a task; of `wanted` nodes if given."""
+    def _each_set(self, schema: str, make, orders: int, wanted: np.ndarray | None = None) -> DataFrame:  # noqa: ANN001
+        """Rows that `make(node, tokens, common, ranks in each of so many orders)` gives for each set, once in a task.
+
+        `make` gives one value or array for each column of `schema`, or None; only sets of `wanted` nodes are asked for, if given.
+        """
         n, shared, frequent = self.n, self.common, self.frequent
         wanted = None if wanted is None else self.spark.sparkContext.broadcast(wanted)
+        names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+
+        def column(kind: str, values: tuple) -> pa.Array:
+            if kind.startswith("array"):
+                offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+            return pa.array(values, {"long": pa.int64(), "int": pa.int32(), "float": pa.float32()}[kind])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(0, np.int64)
-            for batch in blocks(batches, "text"):
+            for batch in blocks(batches, "text", BLOCK):
                 tokens, sizes, _ = shingle_sets(batch["text"], n, frequent.value)
                 nodes = set_nodes(tokens, sizes)
                 take = sizes > 0 if wanted is None else (sizes > 0) & hits(wanted.value, nodes)
                 new, seen = first_seen(nodes, seen)
+                if not (take & new).any():
+                    continue
                 common = hits(shared.value, tokens >> np.uint64(1))
+                placed = [ranks(tokens, common, k) for k in range(orders)]
                 end = np.cumsum(sizes)
-                parts = []
+                rows = []
                 for i in np.flatnonzero(take & new).tolist():
                     own = slice(end[i] - sizes[i], end[i])
-                    if (found := make(int(nodes[i]), tokens[own], common[own])) is not None:
-                        parts.append(found)
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names)
+                    if (found := make(int(nodes[i]), tokens[own], common[own], [x[own] for x in placed])) is not None:
+                        rows.append(found)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([column(k, v) for k, v in zip(kinds, zip(*rows, strict=True), strict=True)], list(names))
 
         return self.texts.mapInArrow(run, schema)
 
     def _tokens(self) -> DataFrame:
-        """token, node of the first order's prefixes."""
-
-        first_of = _First(self.most, self.of)
+        """tokens of the first order's prefixes, with node: a row for each set."""
+        most, of = self.most, self.of
 
-        def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple:
-            first = first_of(tokens, common, 0)
-            return pa.array(first.view(np.int64)), pa.array(np.full(len(first), node))
+        def make(node: int, tokens: np.ndarray, common: np.ndarray, placed: list[np.ndarray]) -> tuple:  # noqa: ARG001
+            return node, first_tokens(tokens, placed[0], prefix_size(len(tokens), most, of)).view(np.int64)
 
-        return self._each_set("token long, node long", ["token", "node"], make)
+        return self._each_set("node long, tokens array<long>", make, 1).select("node", F.explode("tokens").alias("token"))
 
     def _prefixes(self, shared: np.ndarray) -> DataFrame:
-        """A row for each set with `shared` tokens in its first prefix: these and their places, the other prefixes, parities."""
-        kept, first_of = self.spark.sparkContext.broadcast(shared), _First(self.most, self.of)
+        """A row for each set with `shared` tokens in its first prefix: these and their places, the other prefixes, parities.
+
+        Of the other prefixes 32 bits of each token are kept: two that share a token share these.
+        """
+        kept, most, of = self.spark.sparkContext.broadcast(shared), self.most, self.of
 
-        def make(node: int, tokens: np.ndarray, common: np.ndarray) -> tuple | None:
-            first = first_of(tokens, common, 0)
+        def make(node: int, tokens: np.ndarray, common: np.ndarray, placed: list[np.ndarray]) -> tuple | None:
+            size = prefix_size(len(tokens), most, of)
+            first = first_tokens(tokens, placed[0], size)
             place = np.flatnonzero(hits(kept.value, first >> np.uint64(1)))
             if not len(place):
                 return None
-            numbers = [pa.array([node]), pa.array([len(tokens)], pa.int32()), pa.array([1 - common.mean()], pa.float32())]
-            more = (_one(first_of(tokens, common, k)) for k in range(1, ORDERS))
-            odd = (pa.array([int(x)], pa.int64()) for x in parities(tokens, np.array([len(tokens)]))[0])
-            return *numbers, _one(first[place]), _one(place.astype(np.int64)), *more, *odd
+            more = ((first_tokens(tokens, x, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in placed[1:])
+            return node, len(tokens), 1 - common.mean(), first[place].view(np.int64), place.astype(np.int32), *more, parities(tokens)
 
-        lists = ["prefix0", "places", *(f"prefix{k}" for k in range(1, ORDERS))]
-        schema = ", ".join(["node long, size int, rare float", *(f"{x} array<long>" for x in lists), *(f"{x} long" for x in ODD)])
-        return self._each_set(schema, ["node", "size", "rare", *lists, *ODD], make).dropDuplicates(["node"])
+        more = "".join(f", prefix{k} array<int>" for k in range(1, ORDERS))
+        schema = f"node long, size int, rare float, prefix0 array<long>, places array<int>{more}, odd array<long>"
+        return self._each_set(schema, make, ORDERS).dropDuplicates(["node"])
 
     def _sets(self, wanted: np.ndarray) -> DataFrame:
-        make = lambda node, tokens, common: (pa.array([node]), _one(tokens))  # noqa: ARG005, E731
-        return self._each_set("node long, tokens array<long>", ["node", "tokens"], make, wanted).dropDuplicates(["node"])
+        make = lambda node, tokens, common, placed: (node, tokens.view(np.int64))  # noqa: ARG005, E731
+        return self._each_set("node long, tokens array<long>", make, 0, wanted).dropDuplicates(["node"])
 
     def _links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: by size and parities, by each further order, then by the sets, row by row in the JVM."""
@@ -240,10 +270,9 @@ class NgramJoin:
             return pairs
 
         sizes = F.col("sizea").cast("long") + F.col("sizeb")
-        differ = sum((F.bit_count(F.col(f"{k}a").bitwiseXOR(F.col(f"{k}b"))) for k in ODD), F.lit(0))
         alike = (self.of + self.most) * F.least("sizea", "sizeb") >= self.most * sizes
-        alike &= (self.of + self.most) * differ <= (self.of - self.most) * sizes
-        near = both(pairs, nodes.select("node", "size", *ODD)).where(alike).select("a", "b")
+        alike &= (self.of + self.most) * differing("odda", "oddb") <= (self.of - self.most) * sizes
+        near = both(pairs, nodes.select("node", "size", "odd")).where(alike).select("a", "b")
         near = both(near, nodes.select("node", *(f"prefix{k}" for k in range(1, ORDERS))))
         for k in range(1, ORDERS):
             near = near.where(F.arrays_overlap(f"prefix{k}a", f"prefix{k}b"))
@@ -271,11 +300,13 @@ class NgramJoin:
 
     def _apart(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
         """All pairs (a, b) of nodes in different components that share a token in each order's prefixes, if no hot one."""
-        placed = cut(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        pairs = None
+        pairs = hot = None
         for k in range(ORDERS):
-            rows = placed.select("node", "size", "component", F.explode(f"prefix{k}").alias("token"))
-            rows = rows.groupBy("token", "node", "size").agg(F.min("component").alias("component"))
+            rows = nodes.select("node", "size", f"prefix{k}")
+            rows = (rows if hot is None else rows.join(hot, "node", "left_semi")).join(found, "node", "left")
+            rows = rows.select("node", "size", F.coalesce("component", "node").alias("component"), F.explode(F.col(f"prefix{k}").cast("array<long>")).alias("token"))
+            # An order's 32 bits of two tokens of a set may be the same.
+            rows = rows.dropDuplicates(["token", "node"]) if k else rows
             tokens = rows.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n"))
             tokens = cut(tokens.where("p <> q").select("token", "n"), "tokens-apart")
             rows = cut(rows.join(tokens, "token"), "rows-apart")
@@ -293,7 +324,6 @@ class NgramJoin:
                 hot = cut(rows.where(F.col("n") > HOT).select("node").distinct(), "hot")
                 if hot.isEmpty():
                     break
-                placed = cut(placed.join(hot, "node", "left_semi"), "placed")
         return cut(pairs.distinct(), "pairs-apart")
 
     def components(self) -> DataFrame:
@@ -307,21 +337,6 @@ class NgramJoin:
         return contract(self._links(self._apart(nodes, found), nodes), found)
 
 
-class _First:
-    """The first tokens of a set in an order, as many as `prefix_size` says."""
-
-    def __init__(self, most: int, of: int):
-        self.most, self.of = most, of
-
-    def __call__(self, tokens: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
-        return first_tokens(tokens, ranks(tokens, common, order), prefix_size(len(tokens), self.most, self.of))
-
-
-def _one(x: np.ndarray) -> pa.Array:
-    """An array of one list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.view(np.int64)))
-
-
 def ngram_classes(docs: DataFrame, n: int = 5, most: int = 80, of: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of `docs`.
 
