@@ -23,31 +23,54 @@ TARGETS = {"good": 0.88, "poor": 0.12}
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the rows whose text is predicted toxic.
+
+    Null texts count as empty and are scored; null and repeated ids are rows like any other; without labels to
+    learn from nothing goes; an empty table stays empty.
+    """
     model = fit_toxicity(docs, labels(spark, sf_dir).where(~held_out(5)))
     return model.score(packed(docs)).where("_score < 0.5").select("_row.*")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of texts that are equal without white space: the longest, then the least id, null ids last.
+
+    Null texts count as empty, so one of all blank texts stays; of rows that repeat id and text one stays.
+    """
     return without_copies(docs, fresh_index(spark))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = cut(ngram_classes(docs), "near-classes")
-    sizes = docs.select("doc_id", F.length(text_or_empty("text")).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("best")
-    # Only documents of groups of two or more can go; all others stay whatever their id.
-    grouped = classes.join(sizes, "doc_id").groupBy("component_id").agg(best, F.count(F.lit(1)).alias("members")).where("members > 1")
-    losers = classes.join(grouped, "component_id").where("NOT (doc_id <=> best.doc_id)").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies: the longest, then the least id, null ids last, then any.
+
+    Rows are told apart by a number of their own, so rows of one id, or of none, stay or go each by its text.
+    Null and blank texts are near to nothing and stay.
+    """
+    # A written copy fixes the row numbers.
+    rows = cut(packed(docs).withColumn("_number", F.monotonically_increasing_id()), "numbered-rows").withColumnRenamed("_number", "row")
+    classes = cut(ngram_classes(rows.select("row", "text"), id_col="row"), "near-classes").withColumnRenamed("doc_id", "row")
+    sizes = rows.select("row", F.struct((-F.length(text_or_empty("text"))).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("rank"))
+    # Only rows of groups of two or more can go.
+    groups = classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("component_id")
+    grouped = cut(classes.join(groups, "component_id").join(sizes, "row").select("row", "component_id", "rank"), "near-groups")
+    best = grouped.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+    losers = grouped.select("row").join(best, "row", "left_anti")
+    return rows.join(losers, "row", "left_anti").select("_row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each row as often as its rate says, none or several times, so that expected tokens of domains meet TARGETS.
+
+    Null and blank texts have no tokens and the rate 1 of their posterior's domain mix; null and repeated ids are
+    rows like any other (rows of one id are rounded alike); an empty table stays empty.
+    """
     domains = label_domains(labels(spark, sf_dir)).where(F.col("domain").isin(list(TARGETS)))
     rated = mix(packed(docs), domains, TARGETS).withColumn("_repeats", repeats()).where("_repeats > 0")
     return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places the pieces of all rows into sequences; rows that mixing took several times are packed as often (see `pack_documents`)."""
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
@@ -58,7 +81,7 @@ STAGES = [
     ("mixing", mixing_stage),
     ("best-fit packing", packing_stage),
 ]
-#: Tokenizer, trees and fitted rates have no SQL form; tests hold each stage against a brute-force version.
+#: Tokenizer, trees and fitted rates have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
