@@ -301,23 +301,31 @@ class NgramJoin:
     def _apart(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
         """All pairs (a, b) of nodes in different components that share a token in each order's prefixes, if no hot one."""
         pairs = hot = None
+        bulk = self.of + self.most
+        # Sizes too far apart cannot link: a node meets those of its own class of sizes and of the next.
+        size_class = F.floor(F.log("size") / float(-np.log(self.most / self.of)) + 1e-9).cast("int") if self.most < self.of else F.col("size")
+        sizes = (F.col("x.size") + F.col("y.size")).cast("long")
+        # What stands behind the first shared token bounds what is shared; parities tell most others apart before a pair is made.
+        fits = (F.col("x.component") != F.col("y.component")) & (bulk * F.least("x.size", "y.size") >= self.most * sizes)
+        fits &= bulk * F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= self.most * sizes
+        fits &= bulk * differing("x.odd", "y.odd") <= (self.of - self.most) * sizes
         for k in range(ORDERS):
-            rows = nodes.select("node", "size", f"prefix{k}")
-            rows = (rows if hot is None else rows.join(hot, "node", "left_semi")).join(found, "node", "left")
-            rows = rows.select("node", "size", F.coalesce("component", "node").alias("component"), F.explode(F.col(f"prefix{k}").cast("array<long>")).alias("token"))
-            # An order's 32 bits of two tokens of a set may be the same.
-            rows = rows.dropDuplicates(["token", "node"]) if k else rows
-            tokens = rows.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("n"))
-            tokens = cut(tokens.where("p <> q").select("token", "n"), "tokens-apart")
-            rows = cut(rows.join(tokens, "token"), "rows-apart")
+            own = nodes if hot is None else nodes.join(hot, "node", "left_semi")
+            listed = F.explode(F.arrays_zip(F.col("prefix0").alias("token"), F.col("places").alias("place"))) if k == 0 else F.posexplode(f"prefix{k}")
+            rows = own.select("node", "size", listed.alias("t") if k == 0 else listed.alias("place", "token"))
+            rows = rows.select("node", "size", "t.token", "t.place") if k == 0 else rows.withColumn("token", F.col("token").cast("long"))
+            rows = rows.join(found, "node", "left").select("node", "size", "token", "place", F.coalesce("component", "node").alias("component"))
+            ends = F.min("component").alias("p"), F.max("component").alias("q")
+            tokens = rows.groupBy("token").agg(*ends, F.count(F.lit(1)).alias("n"), F.expr("try_sum(shiftright(xxhash64(node), 16))").alias("listed"))
+            tokens = cut(tokens.where("p <> q").select("token", "n", F.xxhash64("n", "listed").alias("list")), "tokens-apart")
+            rows = rows.join(tokens, "token")
+            # Tokens that list the same nodes are as one, at the place of the first.
+            rows = cut(rows.groupBy("list", "n", "node", "size", "component").agg(F.min("place").alias("place")), "rows-apart")
             few = rows if k == ORDERS - 1 else rows.where(F.col("n") <= HOT)
-            # Sizes too far apart cannot link: a node meets those of its own class of sizes and of the next.
-            size_class = F.floor(F.log("size") / float(-np.log(self.most / self.of)) + 1e-9).cast("int") if self.most < self.of else F.col("size")
-            few = few.withColumn("class", size_class)
-            other = few.select("token", "node", "size", "component", F.explode(F.array("class", F.col("class") + 1)).alias("class"))
-            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "class")]
-            far = (F.col("x.component") != F.col("y.component")) & (self.of * F.least("x.size", "y.size") >= self.most * F.greatest("x.size", "y.size"))
-            met = few.alias("x").join(other.alias("y"), [*same, far])
+            few = cut(few.join(nodes.select("node", "odd"), "node").withColumn("class", size_class), "rows-apart")
+            other = few.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
+            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("list", "class")]
+            met = few.alias("x").join(other.alias("y"), [*same, fits])
             met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
             pairs = met if pairs is None else pairs.union(met)
             if k < ORDERS - 1:
