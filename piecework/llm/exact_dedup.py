@@ -20,6 +20,10 @@ def normalised(text: str) -> Column:
     return F.translate(text_or_empty(text), WHITE, "")
 
 
+#: A digest that more than one in so many rows have is hot; so there are fewer hot digests than this.
+HOT = 10_000
+
+
 class DigestIndex:
     """Digests seen so far, with the id that stands for each, at `path` in a store all executors share.
 
@@ -42,7 +46,10 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append(self, candidates: DataFrame) -> None:
-        """Adds those of `candidates` (digest, keep_id, keep_chars; one row a digest) that are not there yet."""
+        """Adds those of `candidates` (digest, keep_id, keep_chars; one row a digest) that are not there yet.
+
+        One writer at a time: two batches appended at once may both add a digest.
+        """
         new = candidates.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         new = new.select("digest", "keep_id", "keep_chars").repartition(self.buckets, "digest")
         # Spark refuses to overwrite what it reads but may append: the anti-join has read the old files only.
@@ -73,9 +80,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         "digest-groups",
     )
     index.append(groups)
-    classes = groups.select("digest", "group_size").join(index.read().hint("merge"), "digest")
-    # A digest may hold a third of all rows: a plain sort-merge join, whose skewed partitions Spark splits.
-    return digests.join(classes.hint("merge"), "digest").select(
+    classes = cut(groups.select("digest", "group_size").join(index.read().hint("merge"), "digest"), "digest-classes")
+    # A digest may hold a third of all rows. Classes of hot digests are fewer than HOT, so they are broadcast and
+    # their rows stay where they are; all others are joined by a sort-merge join, in which no digest has many rows.
+    hot = F.col("group_size") > digests.count() / HOT
+    few = classes.where(hot).select("digest", F.struct("group_size", "keep_id", "keep_chars").alias("class"))
+    marked = digests.join(F.broadcast(few), "digest", "left")
+    here = marked.where("class IS NOT NULL").select("digest", "doc_id", "n", "class.*")
+    rest = marked.where("class IS NULL").drop("class").join(classes.where(~hot).hint("merge"), "digest")
+    return here.unionByName(rest).select(
         "doc_id",
         "keep_id",
         "group_size",
