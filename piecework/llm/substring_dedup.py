@@ -1,15 +1,22 @@
-"""Substring dedup by hashes of windows of a fixed number of words, in place of a partitioned suffix tree.
-
-No tree is built and prefixes have two fixed lengths, the anchor and the window; hashes are not verified:
-
-1. Short prefixes. Of every `window` consecutive words one anchor, a run of `ANCHOR` words chosen by least hash,
-   stands for the suffix; equal windows have equal anchors. Anchors are counted; a subtree whose prefix occurs
-   once is a single leaf and goes. What remains is kept as a bitmap of fixed size.
-2. Long prefixes. Suffixes below the others are extended to `window` words, and dealt to tasks by that prefix,
-   so that subtrees are small and alike. A task first settles the repeats among its own suffixes and sends the
-   earliest leaf of each node only: a passage found everywhere arrives once from each task.
-3. Subtrees. Each task sorts its leaves and reads them as they come: a node of depth `window` with more than
-   one leaf is a repeat, its earliest leaf stays. Leaves next to each other in a document merge to maximal spans.
+"""Substring dedup by suffix trees, dealt by prefixes of variable length.
+
+Every word starts a suffix; what lies `window` words below the root decides. Suffixes are read as a prefix and
+the symbols of the words behind it:
+
+1. Filter. Of every `window` consecutive words one anchor, a run of `ANCHOR` words chosen by least hash, is
+   counted; equal windows have equal anchors. A suffix whose anchor occurs once shares no path of `window` words.
+2. Prefixes. A suffix belongs to the group of its first 4 words. Where so many suffixes begin alike that the group
+   would be too large, it is split by the first 8 words, and so on to 12 and 16 and, at last, all `window` words.
+   Which prefixes are too large is counted over all texts: no group but those of whole windows holds more than a
+   fixed share of all suffixes. A task settles the repeats of whole windows among its own suffixes before it
+   sends them, so that a passage found everywhere arrives once from each task.
+3. Subtrees. Spark sorts each group's suffixes by path. The length of the common prefix of neighbours is the depth
+   of the internal node that joins them; runs joined at `window` words or deeper are the leaves of a deep node. Of
+   such a run the earliest leaf stays. Spans of leaves that touch merge to the maximal repeats.
+
+A suffix travels as the hash of its group's prefix, its path (a byte for every two words behind the first four)
+and a 64-bit hash of all `window` words, which alone tells a deep node: windows of different words share it with a
+chance of about 2**-64 a pair. The depths of shallower nodes may come out too large by a chance of 1 in 256.
 """
 
 from __future__ import annotations
@@ -27,42 +34,65 @@ from piecework.llm.hashing import blocks, join, word_hashes
 
 WINDOW = 20
 ANCHOR = 4
+#: Lengths of prefixes that suffixes are dealt by, before the whole window.
+LENGTHS = (4, 8, 12, 16)
 #: Suffixes a task gathers before it settles repeats among them and sends the rest.
 GATHER = 2_000_000
+#: A prefix that begins so many of GATHER suffixes is reported; one with twice this share of all suffixes is split.
+LARGE = 64
 SPANS = "row long, start int, stop int"
 #: Texts without an id come after all others.
 LAST = (1 << 63) - 1
 
 
-def _windows(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of a text array: text number, start, window hash, anchor hash, whether the anchor's place is new."""
-    words, counts = word_hashes(texts)
-    if len(words) < window:
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64), none.view(bool)[:0]
-    two = join(words[:-1], words[1:])
-    four = join(two[:-2], two[2:])
-    eight = join(four[:-4], four[4:])
-    sixteen = join(eight[:-8], eight[8:])
-    n = len(words) - window + 1
-    whole = join(sixteen[:n], four[window - 4 :][:n]) if window > 16 else join(eight[:n], eight[window - 8 :][:n])
-    # The least of the anchors in each window, by doubling.
-    span, least = 1, four
-    while 2 * span <= window - ANCHOR + 1:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    rest = window - ANCHOR + 1 - span
-    least = np.minimum(least[:n], least[rest:][:n])
-    # An anchor stands at its leftmost place. Once the window moves past it, the same hash means another place.
-    fresh = np.ones(n, bool)
-    fresh[1:] = (least[1:] != least[:-1]) | (four[: n - 1] == least[:-1])
-    first = np.concatenate([[0], np.cumsum(counts)])
-    owner = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(n)
-    inside = owner[:n] == owner[window - 1 :]
-    at = at[inside]
-    start = at - first[owner[at]]
-    return owner[at], start, whole[inside], least[inside], fresh[inside] | (start == 0)
+class Windows:
+    """The windows of a text array: `owner` (text number) and `start`, and by `prefix` and `path` what they read."""
+
+    def __init__(self, texts: pa.Array, window: int):
+        words, counts = word_hashes(texts)
+        self.window, self.n = window, max(0, len(words) - window + 1)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        owner = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(self.n)
+        self.at = at[owner[: self.n] == owner[window - 1 :]] if self.n else at
+        self.owner = owner[self.at]
+        self.start = self.at - first[self.owner]
+        self.words = words
+        if self.n:
+            self.two = join(words[:-1], words[1:])
+            self.four = join(self.two[:-2], self.two[2:])
+
+    def prefix(self, length: int) -> np.ndarray:
+        """A hash of the first words of each window; `length` is a multiple of 4 or the window."""
+        if not self.n:
+            return np.zeros(0, np.uint64)
+        h = self.four[self.at]
+        for k in range(4, length - 3, 4):
+            h = join(h, self.four[self.at + k])
+        return join(h, self.four[self.at + length - 4]) if length % 4 else h
+
+    def path(self) -> np.ndarray:
+        """The words behind the first four, a byte for every two, the first in the highest byte of an integer."""
+        out = np.zeros(len(self.at), np.uint64)
+        for i in range((self.window - 4) // 2):
+            out |= (self.two[self.at + 4 + 2 * i] >> np.uint64(56)) << np.uint64(56 - 8 * i)
+        return out.view(np.int64)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchor of each window, and whether it stands at another place than that of the window before."""
+        if not self.n:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        # The least of the runs in each window, by doubling.
+        span, least = 1, self.four
+        while 2 * span <= self.window - ANCHOR + 1:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        rest = self.window - ANCHOR + 1 - span
+        least = np.minimum(least[: self.n], least[rest:][: self.n])
+        # An anchor stands at its leftmost place. Once the window moves past it, the same hash means another place.
+        fresh = np.ones(self.n, bool)
+        fresh[1:] = (least[1:] != least[:-1]) | (self.four[: self.n - 1] == least[:-1])
+        return least[self.at], fresh[self.at] | (self.start == 0)
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,32 +105,96 @@ def _spans(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray,
     return doc[at], start[at], start[last] + window
 
 
+def common_symbols(path: np.ndarray) -> np.ndarray:
+    """How many of the 8 symbols of each path, from the first, are as in the path before it (the first of all: 0)."""
+    differ = (path[1:] ^ path[:-1]).view(np.uint64)
+    out = np.full(len(path), 8)
+    out[:1] = 0
+    for k in range(7, -1, -1):
+        out[1:][(differ >> np.uint64(56 - 8 * k)) & np.uint64(0xFF) != 0] = k
+    return out
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, row: a written copy, which fixes the row numbers that tell repeated and null ids apart."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return cut(texts.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
 
 
+def _counts(texts: DataFrame, window: int) -> DataFrame:
+    """kind, key, n, more: anchors (kind 0; more: twice in a block of texts), prefixes that begin many suffixes of a
+    block (kind: their length), and the number of all suffixes (kind -1)."""
+    lengths = [k for k in LENGTHS if k < window]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {k: [] for k in lengths}
+
+        def rows(kind: int, keys: np.ndarray, n: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(more)]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "key", "n", "more"])
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for k, found in held.items():
+                if found:
+                    keys, n = np.unique(np.concatenate(found), return_counts=True)
+                    found.clear()
+                    yield rows(k, keys[n >= LARGE], n[n >= LARGE], np.zeros(int((n >= LARGE).sum()), bool))
+
+        size = total = 0
+        for batch in blocks(batches, "text"):
+            w = Windows(batch["text"], window)
+            anchor, fresh = w.anchors()
+            keys, n = np.unique(anchor[fresh], return_counts=True)
+            yield rows(0, keys, n, n > 1)
+            for k in lengths:
+                held[k].append(w.prefix(k))
+            size, total = size + len(w.at), total + len(w.at)
+            # Each length holds as many hashes, so blocks are a quarter of what is gathered later.
+            if 4 * size >= GATHER:
+                yield from settle()
+                size = 0
+        yield from settle()
+        yield rows(-1, np.zeros(1, np.uint64), np.array([total]), np.zeros(1, bool))
+
+    found = texts.mapInArrow(run, "kind int, key long, n long, more boolean")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("more").alias("more"))
+
+
 def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """Word spans (row, start, stop) of `numbered` texts that windows cover whose words also start earlier; they may overlap.
 
     Earlier is a smaller id, a smaller row number of the same id, or an earlier start in the same row. Words are
-    compared unchanged. `window` is 8 to 16 or at least 17 and at most 20 words.
+    compared unchanged. `window` is 8 to 20 words.
     """
     if not 8 <= window <= 20:
         raise ValueError("window must be 8 to 20 words")
     spark = rows.sparkSession
     texts = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "row", "text")
+    counted = cut(_counts(texts, window).where("kind <> 0 OR more OR n > 1"), "suffix-counts")
+    shared = spark.sparkContext.broadcast(collect_bitmap(counted.where("kind = 0").select("key"), "key"))
+    total = counted.where("kind = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Prefixes with so large a share are few, whatever the size of the input: under GATHER / LARGE for each length.
+    share = max(LARGE, 4 * LARGE * total // GATHER)
+    large: dict[int, list[int]] = {}
+    for r in counted.where((F.col("kind") > 0) & (F.col("n") >= share)).select("kind", "key").toLocalIterator():
+        large.setdefault(r["kind"], []).append(r["key"])
+    split = spark.sparkContext.broadcast([(k, np.sort(np.array(v, np.int64)).view(np.uint64)) for k, v in sorted(large.items())])
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            *_, anchor, fresh = _windows(batch["text"], window)
-            keys, n = np.unique(anchor[fresh].view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n > 1)], ["key", "more"])
-
-    counted = texts.mapInArrow(anchors, "key long, more boolean").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
-    repeated = cut(counted.where("more OR n > 1").select("key"), "repeated-anchors")
-    shared = spark.sparkContext.broadcast(collect_bitmap(repeated, "key"))
+    def groups(w: Windows, keep: np.ndarray) -> np.ndarray:
+        """The group of each kept window: a hash of the shortest prefix that is not too large, of the window at most."""
+        key, open_ = w.prefix(4)[keep], np.arange(int(keep.sum()))
+        lengths = [k for k in LENGTHS if k < window]
+        for i, k in enumerate(lengths):
+            known = dict(split.value).get(k)
+            if known is None or not len(open_):
+                break
+            known = np.sort(known)
+            here = key[open_]
+            at = np.minimum(np.searchsorted(known, here), len(known) - 1)
+            open_ = open_[known[at] == here]
+            longer = lengths[i + 1] if i + 1 < len(lengths) else window
+            key[open_] = w.prefix(longer)[keep][open_]
+        return key
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -108,30 +202,32 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         def settle() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            key, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            group, path, whole, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((start, row, doc, key))
-            key, doc, row, start = key[order], doc[order], row[order], start[order]
-            later = np.zeros(len(key), bool)
-            later[1:] = key[1:] == key[:-1]
-            yield leaf(key[~later], doc[~later], row[~later], start[~later], start[~later])
+            order = np.lexsort((start, row, doc, whole))
+            later = np.zeros(len(order), bool)
+            later[1:] = whole[order[1:]] == whole[order[:-1]]
+            first, later = order[~later], order[later]
+            yield leaf(group[first], path[first], whole[first].view(np.int64), doc[first], row[first], start[first], start[first])
             row, start = row[later], start[later]
             order = np.lexsort((start, row))
             row, start, stop = _spans(row[order], start[order], window)
             # Spans settled here travel with the leaves, spread by their own hash.
-            yield leaf(join(row.view(np.uint64), start.astype(np.uint64)).view(np.int64), row, row, start, stop)
+            none = np.zeros(len(row), np.int64)
+            yield leaf(join(row.view(np.uint64), start.astype(np.uint64)), none, none, none, row, start, stop)
 
-        def leaf(key, doc, row, start, stop) -> pa.RecordBatch:  # noqa: ANN001
-            columns = [pa.array(key), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "row", "start", "stop"])
+        def leaf(group, path, whole, doc, row, start, stop) -> pa.RecordBatch:  # noqa: ANN001
+            columns = [*map(pa.array, (group.view(np.int64), path, whole, doc, row)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["group", "path", "whole", "doc_id", "row", "start", "stop"])
 
         n = 0
         for batch in blocks(batches, "text"):
-            owner, start, whole, anchor, _ = _windows(batch["text"], window)
-            keep = hits(shared.value, anchor)
-            held.append((whole[keep].view(np.int64), batch["doc_id"].to_numpy()[owner[keep]], batch["row"].to_numpy()[owner[keep]], start[keep]))
+            w = Windows(batch["text"], window)
+            keep = hits(shared.value, w.anchors()[0])
+            doc, row = (batch[c].to_numpy()[w.owner[keep]] for c in ("doc_id", "row"))
+            held.append((groups(w, keep), w.path()[keep], w.prefix(window)[keep], doc, row, w.start[keep]))
             n += int(keep.sum())
-            if n >= GATHER:
+            if n >= GATHER // 2:
                 yield from settle()
                 n = 0
         yield from settle()
@@ -139,20 +235,23 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            key, row, start, stop = (batch[k].to_numpy() for k in ("key", "row", "start", "stop"))
+            group, path, whole, row, start, stop = (batch[k].to_numpy() for k in ("group", "path", "whole", "row", "start", "stop"))
             settled = stop > start
-            k, d, s = key[~settled], row[~settled], start[~settled]
-            later = np.zeros(len(k), bool)
-            if len(k):
-                later[1:] = k[1:] == k[:-1]
-                later[0] = k[0] == last
-                last = k[-1]
-            d = np.concatenate([d[later], row[settled]])
-            s, e = np.concatenate([s[later], start[settled]]), np.concatenate([s[later] + window, stop[settled]])
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["row", "start", "stop"])
-
-    leaves = texts.mapInArrow(suffixes, "key long, doc_id long, row long, start int, stop int")
-    leaves = leaves.repartition(task_count(spark), "key").sortWithinPartitions("key", "doc_id", "row", "start")
+            g, p, w, r, s = (x[~settled] for x in (group, path, whole, row, start))
+            deep = np.zeros(len(g), bool)
+            if len(g):
+                # Depth of the node that joins a suffix with the one before it in its group.
+                depth = np.minimum(ANCHOR + 2 * common_symbols(p), window - 1)
+                depth[1:][(w[1:] == w[:-1]) & (p[1:] == p[:-1])] = window
+                deep[1:] = (g[1:] == g[:-1]) & (depth[1:] >= window)
+                deep[0] = (g[0], p[0], w[0]) == last
+                last = (g[-1], p[-1], w[-1])
+            r, s = np.concatenate([r[deep], row[settled]]), np.concatenate([s[deep], start[settled]])
+            e = np.concatenate([s[: int(deep.sum())] + window, stop[settled]])
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["row", "start", "stop"])
+
+    leaves = texts.mapInArrow(suffixes, "group long, path long, whole long, doc_id long, row long, start int, stop int")
+    leaves = leaves.repartition(task_count(spark), "group").sortWithinPartitions("group", "path", "whole", "doc_id", "row", "start")
     return leaves.mapInArrow(subtrees, SPANS)
 
 

@@ -89,6 +89,15 @@ def test_exact_dedup_odd(spark, odd, none):
     assert exact_dedup(none, fresh_index(spark)).count() == 0
 
 
+def test_hot_digest_is_no_task_of_its_own(spark):
+    """Two thirds of all rows are equal: their class is broadcast, and the join by digest sees the others only."""
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "the same").otherwise(F.col("id").cast("string")).alias("text"))
+    found = exact_dedup(rows, fresh_index(spark))
+    assert found.where("group_size = 20000 AND keep_id = 1").count() == 20_000 and found.where("kept").count() == 10_001
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
 def test_index_persists(spark, odd):
     index = fresh_index(spark)
     first = {(r.doc_id, r.keep_id) for r in exact_dedup(odd.where("doc_id < 9"), index).collect()}
@@ -291,6 +300,33 @@ def test_substring_dedup_by_brute_force(docs, odd, none):
     assert substring_dedup(odd).count() == len(ODD) and substring_dedup(none).count() == 0
 
 
+def test_large_prefixes_are_split(spark, monkeypatch):
+    """Texts from few words share long prefixes: groups are split to every length and results stay."""
+    from piecework.llm import substring_dedup as sub
+
+    rng = np.random.default_rng(21)
+    phrases = [" ".join(f"v{x}" for x in rng.integers(0, 9, n)) for n in (3, 5, 9, 13, 17, 26)]
+    rows = [(k, " ".join(phrases[j] for j in rng.integers(0, 6, 12))) for k in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(sub, "LARGE", 4)
+    monkeypatch.setattr(sub, "GATHER", 4_000)
+    counted = sub._counts(sub.numbered(frame), 20).where("kind > 0").groupBy("kind").count().collect()
+    assert {r["kind"] for r in counted} == set(sub.LENGTHS)
+    for window in (8, 14, 20):
+        got = substring_dedup(frame, window).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s")).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.s) for r in got} == brute_substring(rows, window)
+
+
+def test_common_symbols_of_paths():
+    from piecework.llm.substring_dedup import common_symbols
+
+    rng = np.random.default_rng(1)
+    paths = sorted(bytes(rng.integers(0, 2, 8, dtype=np.uint8).tolist()) for _ in range(300))
+    got = common_symbols(np.frombuffer(b"".join(paths), ">i8").astype(np.int64))
+    for k in range(1, len(paths)):
+        assert got[k] == next((i for i in range(8) if paths[k][i] != paths[k - 1][i]), 8)
+
+
 def test_substring_dedup_tells_rows_of_one_id_apart(spark):
     own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     twice = own("p", 30)
