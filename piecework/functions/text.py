@@ -6,13 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The 40 delimiters, and the 29 code points that separate words.
-DELIMITERS = "".join(
-    chr(int(x, 16))
-    for x in (
-        "0020 3002 FF0C FF1F FF01 FF1B FF1A 3001 FF08 FF09 300C 300D 201C 201D 2018 2019 300A 300B 3010 3011 2026 2014 FF5E "
-        "002E 002C 003F 0021 003B 003A 0028 0029 0022 0027 003C 003E 005B 005D 007E 000A 0009"
-    ).split()
-)
+DELIMITERS = " 。，？！；：、（）「」“”‘’《》【】…—～.,?!;:()\"'<>[]~\n\t"
 WORD_SPACE = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )

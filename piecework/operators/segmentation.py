@@ -1,15 +1,24 @@
-"""Segmenting text with a vocabulary (token, freq): longest match either way, both, and by merges."""
+"""Segmenting text with a vocabulary (token, freq): longest match either way, both, and by merges; ids of words and back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+import re
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from piecework.functions import text as X
+from piecework.operators.training import WordModel
+
 Tokens = Callable[[str, dict[str, int], int], list[str]]
+#: The largest vocabulary that is broadcast; about 100 bytes a token.
+MOST_TOKENS = 1_000_000
+#: Distinct runs a task remembers before it starts anew, and the longest that it remembers.
+MEMO, LONG = 100_000, 200
 
 
 def forward(text: str, vocab: dict[str, int], longest: int) -> list[str]:
@@ -30,59 +39,177 @@ def backward(text: str, vocab: dict[str, int], longest: int) -> list[str]:
     return out[::-1]
 
 
-def bidirectional(text: str, vocab: dict[str, int], longest: int) -> list[str]:
-    """Line by line the way with fewer tokens, then fewer single characters, else backward; line breaks are tokens."""
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        cost = lambda x: (len(x), sum(len(t) == 1 for t in x))
-        one, two = forward(line, vocab, longest), backward(line, vocab, longest)
-        out += ["\n"] * (i > 0) + (one if cost(one) < cost(two) else two)
-    return out
-
-
-def by_merges(text: str, vocab: dict[str, int], longest: int) -> list[str]:
+def merge_by_rank(tokens: list, rank: Callable[[Hashable, Hashable], tuple | None], join: Callable, from_right: bool) -> list:
+    """Joins all neighbours of the least rank, again and again; equal neighbours from the right or the left.
+
+    `rank(a, b)` is unique to a pair, None where it must not be joined. A heap of places and links between them keep
+    the cost near the number of tokens.
+    """
+    tokens, n = list(tokens), len(tokens)
+    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+    heap: list[tuple] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] >= 0 and (r := rank(tokens[i], tokens[after[i]])) is not None:
+            heapq.heappush(heap, (r, -i if from_right else i))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        best = heap[0][0]
+        places = []
+        while heap and heap[0][0] == best:
+            places.append(abs(heapq.heappop(heap)[1]))
+        for i in places:
+            j = after[i]
+            if tokens[i] is None or j < 0 or rank(tokens[i], tokens[j]) != best:
+                continue
+            tokens[i], tokens[j], after[i] = join(tokens[i], tokens[j]), None, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            offer(before[i])
+            offer(i)
+    return [t for t in tokens if t is not None]
+
+
+def by_merges(text: str, vocab: dict[str, int], longest: int) -> list[str]:  # noqa: ARG001
     """Joins, again and again, the neighbours whose concatenation is the most frequent token; equal neighbours from the right."""
-    tokens = list(text)
-    while True:
-        best = min(((-vocab[a + b], a, b) for a, b in zip(tokens, tokens[1:], strict=False) if a + b in vocab), default=None)
-        if best is None:
-            return tokens
-        _, a, b = best
-        tokens = _joined(tokens[::-1], b, a, b + a, True) if a == b else _joined(tokens, a, b, a + b, False)
 
-
-def _joined(tokens: list[str], a: str, b: str, new: str, turned: bool) -> list[str]:
-    out, i = [], 0
-    while i < len(tokens):
-        hit = i + 1 < len(tokens) and tokens[i] == a and tokens[i + 1] == b
-        out.append(new if hit else tokens[i])
-        i += 1 + hit
-    return out[::-1] if turned else out
-
-
-METHODS: dict[str, Tokens] = {"forward": forward, "backward": backward, "bidirectional": bidirectional, "merges": by_merges}
+    def rank(a: str, b: str) -> tuple | None:
+        freq = vocab.get(a + b)
+        return None if freq is None else (-freq, a, b)
+
+    return merge_by_rank(list(text), rank, str.__add__, True)
+
+
+WAYS: dict[str, Tokens] = {"forward": forward, "backward": backward, "merges": by_merges}
+METHODS = [*WAYS, "bidirectional"]
+
+
+class Cutter:
+    """Cuts texts by a vocabulary. No token reaches over a character that no longer token has, so the runs between
+    such characters are cut on their own, and each distinct run once as long as it is remembered."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.vocab = vocab
+        self.longest = max(map(len, vocab), default=1)
+        letters = "".join(sorted({re.escape(c) for t in vocab if len(t) > 1 for c in t}))
+        self.runs = re.compile(f"[{letters}]+|." if letters else ".", re.DOTALL)
+        self.known: dict[str, dict[str, list[str]]] = {k: {} for k in WAYS}
+
+    def cut(self, text: str, way: str) -> list[str]:
+        known, out = self.known[way], []
+        for run in self.runs.findall(text):
+            if len(run) == 1:
+                out.append(run)
+            elif (found := known.get(run)) is not None:
+                out += found
+            else:
+                found = WAYS[way](run, self.vocab, self.longest)
+                if len(run) <= LONG:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    known[run] = found
+                out += found
+        return out
+
+    def bidirectional(self, text: str) -> list[str]:
+        """Line by line the way with fewer tokens, then fewer single characters, else backward; line breaks are tokens."""
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            cost = lambda x: (len(x), sum(len(t) == 1 for t in x))
+            one, two = self.cut(line, "forward"), self.cut(line, "backward")
+            out += ["\n"] * (i > 0) + (one if cost(one) < cost(two) else two)
+        return out
+
+    def tokens(self, text: str, method: str) -> list[str]:
+        return self.bidirectional(text) if method == "bidirectional" else self.cut(text, method)
+
+
+def _model(vocab: DataFrame) -> dict[str, int]:
+    """The vocabulary on the driver, if it is small enough to be broadcast."""
+    rows = vocab.select("token", "freq").limit(MOST_TOKENS + 1).collect()
+    if len(rows) > MOST_TOKENS:
+        raise ValueError(f"the vocabulary has more than {MOST_TOKENS} tokens")
+    return {r["token"]: r["freq"] for r in rows}
 
 
 def segment(docs: DataFrame, vocab: DataFrame, method: str, text: str = "text") -> DataFrame:
-    """`docs` with `tokens`. The vocabulary is a model of bounded size; each distinct text is cut where it stands."""
-    model = docs.sparkSession.sparkContext.broadcast({r["token"]: r["freq"] for r in vocab.select("token", "freq").collect()})
-    cut = METHODS[method]
+    """`docs` with `tokens`; null texts have none. `method` is one of METHODS."""
+    model = docs.sparkSession.sparkContext.broadcast(_model(vocab))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = max(map(len, model.value), default=1)
+        cutter = Cutter(model.value)
         for batch in batches:
-            tokens = [cut(x.as_py() or "", model.value, longest) for x in batch[text]]
+            tokens = [cutter.tokens(x.as_py() or "", method) for x in batch[text]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string()))], [*batch.schema.names, "tokens"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
 
 
+def segment_all(docs: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, method, tokens: each text cut in every way."""
+    parts = [segment(docs.select(*keys, text), vocab, m, text).select(*keys, F.lit(m).alias("method"), "tokens") for m in METHODS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 def encode_words(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
-    """word, tokens: the merges applied in the order they were learned; native, one replacement for each merge."""
-    from piecework.operators.training import WORDS, merged, start_state, tokens_of
-
-    state = start_state(words.select(F.col("word").alias("seg"), F.col("word").alias("w")), WORDS.mark)
-    column = F.col("state")
-    for a, b, _ in merges:
-        column = merged(column, a, b, WORDS)
-    return state.select(F.col("w").alias("word"), tokens_of(column, WORDS.mark).alias("tokens"))
+    """word, tokens: the merges applied in the order they were learned, to each distinct word, from the left."""
+    ranks = words.sparkSession.sparkContext.broadcast({(a, b): (k,) for k, (a, b, _) in enumerate(merges)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [merge_by_rank(list(x.as_py() or ""), lambda a, b: ranks.value.get((a, b)), str.__add__, False) for x in batch["word"]]
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(tokens, pa.list_(pa.string()))], ["word", "tokens"])
+
+    return words.select("word").mapInArrow(run, "word string, tokens array<string>")
+
+
+def encode_ids(words: DataFrame, model: WordModel) -> DataFrame:
+    """word, ids: the model ids of each word; characters that the model lacks are -1."""
+    spark = words.sparkSession
+    letters = {r["c"]: r["id"] for r in model.alphabet.collect()}
+    base = {r["tagged"]: r["id"] for r in model.base.collect()}
+    merges = {(r["x"], r["y"]): ((r["rank"],), r["new"]) for r in model.merges.collect()}
+    begin, end = model.options.continuing_subword_prefix != "", model.options.end_of_word_suffix != ""
+    shared = spark.sparkContext.broadcast((letters, base, merges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, base, merges = shared.value
+        rank = lambda a, b: merges[a, b][0] if (a, b) in merges else None
+        for batch in batches:
+            found = []
+            for x in batch["word"]:
+                word = x.as_py() or ""
+                tags = [(X.BEGIN if begin and i == 0 else 0) | (X.END if end and i == len(word) - 1 else 0) for i in range(len(word))]
+                ids = [base.get(letters[c] | t, -1) if c in letters else -1 for c, t in zip(word, tags, strict=True)]
+                found.append(merge_by_rank(ids, rank, lambda a, b: merges[a, b][1], False))
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(found, pa.list_(pa.int64()))], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<bigint>")
+
+
+def decode_ids(encoded: DataFrame, model: WordModel) -> DataFrame:
+    """`encoded` with `text`: the tokens of `ids` joined, prefixes and suffixes taken off; unknown ids show as <UNK>."""
+    prefix, suffix = model.options.continuing_subword_prefix, model.options.end_of_word_suffix
+    tokens = encoded.sparkSession.sparkContext.broadcast({r["id"]: r["token"] for r in model.vocab.collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for ids in batch["ids"].to_pylist():
+                shown = [tokens.value.get(i, "<UNK>") for i in ids or []]
+                shown = [t.removeprefix(prefix) if k else t for k, t in enumerate(shown)]
+                texts.append("".join(t.removesuffix(suffix) if k == len(shown) - 1 else t for k, t in enumerate(shown)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
+
+
+def known_characters(tokens: list[str], text: str, unknown: str = "<UNK>") -> list[str]:
+    """Tokens of another tool with each unknown one replaced by the character of the text that stands there."""
+    out, at = [], 0
+    for t in tokens:
+        out.append(text[at : at + 1] if t == unknown else t)
+        at += 1 if t == unknown else len(t)
+    return out

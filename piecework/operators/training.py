@@ -1,19 +1,22 @@
 """Learning byte-pair style merges: a loop over DataFrames, several merges a round where that changes nothing.
 
 A segment's state is its tokens, each between two marks that no segment contains: `#t##h##e#`. Merging (a, b)
-replaces `#a##b#` by `#ab#`. Only the best pairs of a round and the vocabulary reach the driver.
+replaces `#a##b#` by `#ab#`. The counts of pairs are kept as a table: a round adds what the segments that it
+touches lose and gain. Only the best pairs of a round and the vocabulary reach the driver.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piecework.operators.counts import pair_counts
+from piecework.functions import text as T
+from piecework.operators.counts import PAD, UNK, alphabet, char_counts, pair_counts, tagged_ids, weighted_segments
+from piecework.operators.store import Written
 
 
 @dataclass(frozen=True)
@@ -31,29 +34,25 @@ CHARACTERS = Policy("#", True, True, False)
 WORDS = Policy(" ", False, False, True)
 
 
-def _written(df: DataFrame, spark: SparkSession) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="piecework-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/merges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def start_state(segments: DataFrame, mark: str) -> DataFrame:
     """state, w from (seg, w)."""
-    wrapped = F.concat(F.lit(mark), F.array_join(F.filter(F.split("seg", ""), lambda x: x != ""), mark * 2), F.lit(mark))
-    return segments.select(wrapped.alias("state"), "w")
+    return segments.select(wrapped(T.chars(F.col("seg")), mark).alias("state"), "w")
+
+
+def wrapped(tokens: Column, mark: str) -> Column:
+    return F.concat(F.lit(mark), F.array_join(tokens, mark * 2), F.lit(mark))
 
 
 def tokens_of(state: Column, mark: str) -> Column:
     return F.split(F.substring(state, F.lit(2), F.length(state) - 2), mark * 2)
 
 
-def merged(state: Column, a: str, b: str, policy: Policy) -> Column:
-    m = policy.mark
-    old, new = f"{m}{a}{m}{m}{b}{m}", f"{m}{a}{b}{m}"
+def pattern(a: str, b: str, mark: str) -> str:
+    return f"{mark}{a}{mark}{mark}{b}{mark}"
+
+
+def merged(state: Column, a: str, b: str, policy: Policy, name: str | None = None) -> Column:
+    old, new = pattern(a, b, policy.mark), f"{policy.mark}{a + b if name is None else name}{policy.mark}"
     if a == b and policy.from_right:
         return F.reverse(F.replace(F.reverse(state), F.lit(old[::-1]), F.lit(new[::-1])))
     return F.replace(state, F.lit(old), F.lit(new))
@@ -77,42 +76,63 @@ def independent(ranked: list[tuple[str, str, int]]) -> int:
     return len(taken)
 
 
-def learn_merges(
-    segments: DataFrame, merges: int, min_freq: int = 0, policy: Policy = CHARACTERS, batch: int = 16, ids: list[str] | None = None, longest: int = 0
+def learn(
+    state: DataFrame, merges: int, min_freq: int, policy: Policy, batch: int, rank: list[Column], allowed: Column, name: Callable[[str, str], str]
 ) -> tuple[list[tuple[str, str, int]], DataFrame]:
-    """The merges (a, b, frequency) in order and the final (state, w). `segments`: (seg, w).
+    """The merges (a, b, frequency) in order and the final (state, w).
 
-    `ids` lists the tokens in order where the policy goes by ids; `longest` bounds a token's code points.
+    `rank` orders pairs (a, b) of one frequency, `allowed` says which may be merged, `name` gives the merged token.
     """
-    spark = segments.sparkSession
-    state = _written(start_state(segments, policy.mark), spark)
+    tokens = lambda column: tokens_of(F.col(column), policy.mark)
+    now = Written(state, "merge-state")
+    pairs = Written(pair_counts(now.table, tokens=tokens("state")), "pair-counts")
+    enough = F.col("freq") > min_freq if policy.strict else F.col("freq") >= max(1, min_freq)
     found: list[tuple[str, str, int]] = []
-    order = list(ids or [])
     while len(found) < merges:
-        pairs = pair_counts(state, tokens=tokens_of(F.col("state"), policy.mark))
-        pairs = pairs.where(F.col("freq") > min_freq if policy.strict else F.col("freq") >= max(1, min_freq))
-        if longest:
-            pairs = pairs.where(F.length("a") + F.length("b") <= longest)
-        rank = ["a", "b"]
-        if policy.by_id:
-            known = spark.createDataFrame([(t, i) for i, t in enumerate(order)], "t string, i long")
-            for side in "ab":
-                pairs = pairs.join(F.broadcast(known.withColumnsRenamed({"t": side, "i": f"id_{side}"})), side)
-            rank = ["id_a", "id_b"]
-        ranked = [(r["a"], r["b"], r["freq"]) for r in pairs.orderBy(F.desc("freq"), *rank).limit(4 * batch + 1).collect()]
+        best = pairs.table.where(enough & allowed).orderBy(F.desc("freq"), *rank).limit(4 * batch + 1)
+        ranked = [(r["a"], r["b"], r["freq"]) for r in best.collect()]
         if not ranked:
             break
         # Pairs below the list are no more frequent than its last; only pairs above that are known to be safe.
         safe = ranked if len(ranked) <= 4 * batch else [r for r in ranked if r[2] > ranked[-1][2]] or ranked[:1]
         take = safe[: min(independent(safe), batch, merges - len(found))]
         column = F.col("state")
-        for a, b, n in take:
-            column = merged(column, a, b, policy)
-            found.append((a, b, n))
-            if a + b not in order:
-                order.append(a + b)
-        state = _written(state.select(column.alias("state"), "w"), spark)
-    return found, state
+        for a, b, _ in take:
+            column = merged(column, a, b, policy, name(a, b))
+        found += take
+        touched = reduce(Column.__or__, [F.contains(F.col("state"), F.lit(pattern(a, b, policy.mark))) for a, b, _ in take])
+        changed = now.table.where(touched).select("state", column.alias("new"), "w")
+        gained = pair_counts(changed.select("new", "w"), tokens=tokens("new"))
+        lost = pair_counts(changed.select("state", (-F.col("w")).alias("w")), tokens=tokens("state"))
+        counts = pairs.table.unionByName(gained).unionByName(lost).groupBy("a", "b").agg(F.sum("freq").alias("freq"))
+        old = now, pairs
+        pairs = Written(counts.where("freq > 0"), "pair-counts")
+        now = Written(now.table.select(column.alias("state"), "w"), "merge-state")
+        for x in old:
+            x.remove()
+    pairs.remove()
+    return found, now.table
+
+
+def learn_merges(
+    segments: DataFrame, merges: int, min_freq: int = 0, policy: Policy = CHARACTERS, batch: int = 16, ids: list[str] | None = None, longest: int = 0
+) -> tuple[list[tuple[str, str, int]], DataFrame]:
+    """The merges (a, b, frequency) in order and the final (state, w). `segments`: (seg, w).
+
+    `ids` lists the tokens in order where the policy goes by ids; `longest` bounds a token's code points.
+    """
+    if policy.by_id:
+        # Untagged words, in terms of strings.
+        words = segments.select(F.col("seg").alias("word"), F.col("w").alias("freq"))
+        order = [PAD, UNK, *(x for x in ids or [] if x not in (PAD, UNK))]
+        table = segments.sparkSession.createDataFrame(list(enumerate(order)), "id long, c string")
+        learner = WordLearner(words, table, False, False)
+        found, state = learner.run(merges, min_freq, longest, batch)
+        strings = [(learner.text(a), learner.text(b), n) for a, b, n in found]
+        shown = learner.shown(state, "", "").select(wrapped(F.col("tokens"), policy.mark).alias("state"), "w")
+        return strings, shown
+    allowed = F.length("a") + F.length("b") <= longest if longest else F.lit(True)
+    return learn(start_state(segments, policy.mark), merges, min_freq, policy, batch, [F.col("a"), F.col("b")], allowed, lambda a, b: a + b)
 
 
 def vocabulary(spark: SparkSession, merges: list[tuple[str, str, int]]) -> DataFrame:
@@ -123,3 +143,154 @@ def vocabulary(spark: SparkSession, merges: list[tuple[str, str, int]]) -> DataF
 def token_usage(state: DataFrame, policy: Policy = CHARACTERS) -> DataFrame:
     tokens = state.select(F.explode(tokens_of(F.col("state"), policy.mark)).alias("token"), "w")
     return tokens.groupBy("token").agg(F.sum("w").alias("n"))
+
+
+# ---- segments of text to a vocabulary of strings ----
+
+
+@dataclass(frozen=True)
+class TextOptions:
+    """Options of the trainer over segments. With `single_char` single characters are in the vocabulary and count for
+    its size; a pair is merged if it is found more than `min_freq` times. `compress_threshold` changes no result."""
+
+    vocab_size: int
+    min_freq: int = 10
+    compress_threshold: float = 0.0
+    single_char: bool = True
+
+    def __post_init__(self) -> None:
+        if self.vocab_size < 0 or self.min_freq < 0:
+            raise ValueError("vocab_size and min_freq must not be negative")
+
+
+def train_texts(docs: DataFrame, options: TextOptions, text: str = "text", batch: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary (rank, token, freq) of a table of texts, single characters first if asked for, and the final (state, w)."""
+    segments = Written(weighted_segments(docs, text), "segments").table
+    spark = docs.sparkSession
+    chars = char_counts(segments).orderBy(F.desc("freq"), "c").collect() if options.single_char else []
+    merges, state = learn_merges(segments, max(0, options.vocab_size - len(chars)), options.min_freq, batch=batch)
+    # A character stays where a merge could not be: merged tokens are longer.
+    rows = [(r["c"], r["freq"]) for r in chars] + [(a + b, n) for a, b, n in merges]
+    return spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(rows)], "rank long, token string, freq long"), state
+
+
+# ---- words to a model of ids ----
+
+
+@dataclass(frozen=True)
+class WordOptions:
+    """Options of the trainer over words; `min_frequency` is 1 at least, an empty prefix or suffix sets no tag."""
+
+    vocab_size: int
+    min_frequency: int = 1
+    special_tokens: list[str] = field(default_factory=list)
+    limit_alphabet: int = 0
+    initial_alphabet: list[str] = field(default_factory=list)
+    continuing_subword_prefix: str | None = ""
+    end_of_word_suffix: str | None = ""
+    show_progress: bool = True
+    max_piece_length: int = 1 << 30
+
+    def __post_init__(self) -> None:
+        if self.show_progress is not True:
+            raise ValueError("show_progress must be True")
+        if self.max_piece_length <= 1:
+            raise ValueError("max_piece_length must be greater than 1")
+        object.__setattr__(self, "min_frequency", max(1, self.min_frequency))
+        for name in ("continuing_subword_prefix", "end_of_word_suffix"):
+            object.__setattr__(self, name, getattr(self, name) or "")
+
+
+RAW = T.END - 1
+
+
+class WordLearner:
+    """Merges over tagged ids. In the state a token is `id/length`, so order and length need no lookup."""
+
+    def __init__(self, words: DataFrame, alphabet: DataFrame, begin: bool, end: bool):
+        self.strings = [r["c"] for r in alphabet.orderBy("id").collect()]
+        self.raw = {s: i for i, s in enumerate(self.strings)}
+        found = tagged_ids(words, alphabet, begin, end)
+        tokens = F.transform("ids", lambda x: F.concat(x.cast("string"), F.lit("/1")))
+        self.start = found.select(wrapped(tokens, WORDS.mark).alias("state"), F.col("freq").alias("w"))
+
+    def text(self, token: str) -> str:
+        return self.strings[int(token.split("/")[0]) & RAW]
+
+    def name(self, a: str, b: str) -> str:
+        """The merged token: the id of its string, a new one if it has none, with the tags of both parts."""
+        (x, m), (y, n) = ((int(k) for k in t.split("/")) for t in (a, b))
+        string = self.text(a) + self.text(b)
+        if string not in self.raw:
+            self.raw[string] = len(self.strings)
+            self.strings.append(string)
+        return f"{self.raw[string] | (x & ~RAW) | (y & ~RAW)}/{m + n}"
+
+    def run(self, merges: int, min_freq: int, longest: int, batch: int = 16) -> tuple[list[tuple[str, str, int]], DataFrame]:
+        number = lambda c: F.substring_index(c, "/", 1).cast("long")
+        length = lambda c: F.substring_index(c, "/", -1).cast("long")
+        known = lambda c: number(c).bitwiseAND(F.lit(RAW)) >= 2
+        allowed = known("a") & known("b")
+        if longest:
+            allowed &= length("a") + length("b") <= longest
+        return learn(self.start, merges, min_freq, WORDS, batch, [number("a"), number("b")], allowed, self.name)
+
+    def shown(self, state: DataFrame, prefix: str, suffix: str) -> DataFrame:
+        """tokens (as displayed), w of a state. The strings are the model's, a bounded number, and broadcast."""
+        spark = state.sparkSession
+        names = spark.createDataFrame(list(enumerate(self.strings)), "raw long, string string")
+        tokens = F.transform(tokens_of(F.col("state"), WORDS.mark), lambda t: F.substring_index(t, "/", 1).cast("long"))
+        rows = state.withColumn("row", F.monotonically_increasing_id()).select("row", "w", F.posexplode(tokens).alias("i", "id"))
+        rows = rows.withColumn("raw", F.col("id").bitwiseAND(F.lit(RAW))).join(F.broadcast(names), "raw", "left")
+        each = F.struct("i", T.display(F.col("string"), F.col("id"), prefix, suffix).alias("t")).alias("x")
+        placed = rows.select("row", "w", each).groupBy("row", "w").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        return placed.select(F.transform("x", lambda x: x["t"]).alias("tokens"), "w")
+
+
+@dataclass
+class WordModel:
+    """vocab (id, token), merges (rank, x, y, new, freq) with model ids, base (tagged, id: model ids of characters),
+    alphabet (id, c), and the final corpus (tokens as displayed, w)."""
+
+    vocab: DataFrame
+    merges: DataFrame
+    base: DataFrame
+    alphabet: DataFrame
+    corpus: DataFrame
+    options: WordOptions
+
+
+def train_words(words: DataFrame, options: WordOptions, batch: int = 16) -> WordModel:
+    """A model from words (word, freq). Model ids: alphabet ids from 2 on, then tagged characters in order, then merges."""
+    spark = words.sparkSession
+    words = Written(words, "words").table
+    letters = alphabet(words, options.initial_alphabet, options.special_tokens, options.limit_alphabet)
+    letters = spark.createDataFrame(letters.orderBy("id").collect(), "id long, c string")
+    begin, end = options.continuing_subword_prefix != "", options.end_of_word_suffix != ""
+    learner = WordLearner(words, letters, begin, end)
+    n = len(learner.strings)
+    used = learner.start.select(F.explode(tokens_of(F.col("state"), WORDS.mark)).alias("t")).distinct()
+    seen = {0, *(int(r["t"].split("/")[0]) for r in used.collect())} if begin or end else set(range(n))
+    base = [*range(2, n), *sorted(seen - set(range(n)))]
+    found, state = learner.run(max(0, options.vocab_size + 2 - len(seen)), options.min_frequency, options.max_piece_length, batch)
+    to_model = {t: i for i, t in enumerate(base)}
+    show = lambda t: shown(learner.strings[t & RAW], t, options.continuing_subword_prefix, options.end_of_word_suffix)
+    tokens, merges = [show(t) for t in base], []
+    for k, (a, b, freq) in enumerate(found):
+        x, y, new = (int(t.split("/")[0]) for t in (a, b, learner.name(a, b)))
+        merges.append((k, to_model[x], to_model[y], len(tokens), freq))
+        to_model[new] = len(tokens)
+        tokens.append(show(new))
+    return WordModel(
+        spark.createDataFrame(list(enumerate(tokens)), "id long, token string"),
+        spark.createDataFrame(merges, "rank long, x long, y long, new long, freq long"),
+        spark.createDataFrame([(t, i) for i, t in enumerate(base)], "tagged long, id long"),
+        letters,
+        learner.shown(state, options.continuing_subword_prefix, options.end_of_word_suffix),
+        options,
+    )
+
+
+def shown(string: str, tagged: int, prefix: str, suffix: str) -> str:
+    """What `display` shows of a tagged token."""
+    return ("" if tagged & T.BEGIN else prefix) + string + (suffix if tagged & T.END else "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from piecework.functions import text as T
 from piecework.operators import counts, evaluation, segmentation, training
+from piecework.sources import files
 
 MERGES = 6
 SPECIAL, INITIAL, LIMIT = ["<S>"], ["z"], 40
@@ -139,6 +140,62 @@ def bpe_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "seg_no", F.array_join("tokens", " ").alias("tokens"))
 
 
+#: Size of the vocabulary that is learned where no SQL form has to follow, and how often a pair must be found.
+VOCABULARY, LEAST = 500, 1
+#: Options of the model of words: tags as in word-end models, pieces of at most 12 characters.
+MODEL = training.WordOptions(vocab_size=VOCABULARY, min_frequency=2, special_tokens=SPECIAL, continuing_subword_prefix="##", end_of_word_suffix="</w>", max_piece_length=12)
+
+
+#: What a session has learned from a folder of tables, which do not change: queries that use a model share it.
+_LEARNED_BY: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, learn):  # noqa: ANN001, ANN202
+    key = spark.sparkContext.applicationId, sf_dir, learn.__name__
+    if key not in _LEARNED_BY:
+        _LEARNED_BY[key] = learn(spark, sf_dir)
+    return _LEARNED_BY[key]
+
+
+def _learned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = training.TextOptions(VOCABULARY, LEAST, single_char=False)
+    return training.train_texts(_docs(spark, sf_dir), options, batch=64)[0]
+
+
+def _learned_words(spark: SparkSession, sf_dir: str) -> training.WordModel:
+    return training.train_words(_words(spark, sf_dir), MODEL, batch=64)
+
+
+def train_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rank, token, freq of a vocabulary of VOCABULARY tokens of two characters and more, from all documents."""
+    return _once(spark, sf_dir, _learned_texts)
+
+
+def segment_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, method, n_tokens, n_single: all documents, without spaces, cut four ways by the learned vocabulary."""
+    found = segmentation.segment_all(files.without_spaces(_docs(spark, sf_dir)), train_vocabulary(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", "method", F.size("tokens").alias("n_tokens"), T.single_count(F.col("tokens")).alias("n_single"))
+
+
+def f1_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of the four ways against each other over all documents."""
+    found = segmentation.segment_all(files.without_spaces(_docs(spark, sf_dir)), train_vocabulary(spark, sf_dir), ["doc_id"])
+    return evaluation.f1_matrix(evaluation.spans(found.withColumnRenamed("doc_id", "doc"), ["doc", "method"]))
+
+
+def word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of words as one table: id, token, and x, y, freq where a merge gave the token."""
+    model = _once(spark, sf_dir, _learned_words)
+    return model.vocab.join(model.merges.select(F.col("new").alias("id"), "x", "y", "freq"), "id", "left")
+
+
+def word_model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, n_ids, ids, text: every distinct word as ids of the model and back."""
+    model = _once(spark, sf_dir, _learned_words)
+    found = segmentation.decode_ids(segmentation.encode_ids(_words(spark, sf_dir), model), model)
+    return found.select("word", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), "text")
+
+
 def split_with_puncs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark(spark, sf_dir).select("item_id", F.posexplode(T.with_delimiters(F.col("text"))).alias("pos", "token"))
 
@@ -168,7 +225,7 @@ QUERIES = {
     for f in (
         normalize_segments, line_dup_ratio, char_freq, pair_freq_init, pair_freq_pruned, top_pairs, word_counts, alphabet_ids, alphabet_limited,
         encode_words_ids, weighted_pairs_v2, train_merges_v1, train_merges_v2, token_usage, vocab_dump, encode_words_merges, display_tokens,
-        bpe_tokenize, split_with_puncs, nmt_parse, spans, f1_matrix,
+        bpe_tokenize, train_vocabulary, segment_methods, f1_methods, word_model, word_model_round_trip, split_with_puncs, nmt_parse, spans, f1_matrix,
     )
 } | {f"decode_{m}": _segmented(m) for m in ("forward", "backward", "bidirectional")}
 
@@ -273,4 +330,23 @@ ORACLES = {
             UNION ALL SELECT w.item_id, text, back + 1, w.e - coalesce(b.l, 1) FROM walk w LEFT JOIN best b ON b.item_id = w.item_id AND b.e = w.e WHERE w.e - coalesce(b.l, 1) >= 1)
         SELECT w.item_id, (max(back) OVER (PARTITION BY w.item_id) - back)::INTEGER AS pos, substring(text, w.e - coalesce(b.l, 1) + 1, coalesce(b.l, 1)) AS token
         FROM walk w LEFT JOIN best b ON b.item_id = w.item_id AND b.e = w.e""",
+    "decode_bidirectional": f"""WITH RECURSIVE {_VOCAB},
+        lines AS (SELECT item_id, unnest(range(0, len(x))) AS line, unnest(x) AS text FROM (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark)),
+        places AS (SELECT item_id, line, s, l FROM (SELECT item_id, line, text, unnest(range(1, length(text) + 1)) AS s FROM lines),
+            (SELECT DISTINCT length(word) AS l FROM vocab) WHERE s + l - 1 <= length(text) AND substring(text, s, l) IN (SELECT word FROM vocab)),
+        fbest AS (SELECT item_id, line, s, max(l) AS l FROM places GROUP BY ALL), bbest AS (SELECT item_id, line, s + l - 1 AS e, max(l) AS l FROM places GROUP BY ALL),
+        fwalk AS (SELECT item_id, line, text, 0 AS pos, 1::BIGINT AS s FROM lines WHERE text <> ''
+            UNION ALL SELECT w.item_id, w.line, text, pos + 1, w.s + coalesce(b.l, 1) FROM fwalk w LEFT JOIN fbest b ON b.item_id = w.item_id AND b.line = w.line AND b.s = w.s
+            WHERE w.s + coalesce(b.l, 1) <= length(text)),
+        bwalk AS (SELECT item_id, line, text, 0 AS pos, length(text)::BIGINT AS e FROM lines WHERE text <> ''
+            UNION ALL SELECT w.item_id, w.line, text, pos - 1, w.e - coalesce(b.l, 1) FROM bwalk w LEFT JOIN bbest b ON b.item_id = w.item_id AND b.line = w.line AND b.e = w.e
+            WHERE w.e - coalesce(b.l, 1) >= 1),
+        cut AS (SELECT w.item_id, w.line, 'f' AS way, pos, substring(text, w.s, coalesce(b.l, 1)) AS token FROM fwalk w LEFT JOIN fbest b ON b.item_id = w.item_id AND b.line = w.line AND b.s = w.s
+            UNION ALL SELECT w.item_id, w.line, 'b', pos, substring(text, w.e - coalesce(b.l, 1) + 1, coalesce(b.l, 1)) FROM bwalk w LEFT JOIN bbest b ON b.item_id = w.item_id AND b.line = w.line AND b.e = w.e),
+        cost AS (SELECT item_id, line, way, count(*) AS n, count(*) FILTER (length(token) = 1) AS ones FROM cut GROUP BY ALL),
+        best AS (SELECT f.item_id, f.line, CASE WHEN (f.n, f.ones) < (b.n, b.ones) THEN 'f' ELSE 'b' END AS way
+            FROM cost f JOIN cost b ON f.item_id = b.item_id AND f.line = b.line WHERE f.way = 'f' AND b.way = 'b'),
+        tokens AS (SELECT c.item_id, c.line, c.pos, c.token FROM cut c JOIN best USING (item_id, line, way)
+            UNION ALL SELECT item_id, line, -1000000000, chr(10) FROM lines WHERE line > 0)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY line, pos) - 1)::INTEGER AS pos, token FROM tokens""",
 }

@@ -24,3 +24,18 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def write_tokens(segmented: DataFrame, path: str) -> None:
     """Text lines of tokens joined by a space."""
     segmented.select(F.array_join("tokens", " ").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_token_list(vocab: DataFrame, path: str) -> None:
+    """Text lines of the tokens alone, in the order they were learned."""
+    vocab.orderBy("rank").select(F.col("token").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def without_spaces(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Test texts as evaluation takes them: ASCII spaces removed, line breaks kept."""
+    return texts.withColumn(text, F.replace(F.col(text), F.lit(" "), F.lit("")))
+
+
+def corpus_lines(corpus: DataFrame) -> DataFrame:
+    """line, w: each distinct segment or word of a trained corpus as its tokens, joined by a space."""
+    return corpus.select(F.array_join("tokens", " ").alias("line"), "w")

@@ -1,7 +1,9 @@
 """The subword engine: golden cases, SQL forms, and brute-force versions where SQL has none."""
 
+import re
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from piecework.functions import text as T
 from piecework.operators import counts, evaluation, segmentation, training
+from piecework.plans import queries
 from piecework.plans.queries import ORACLES, QUERIES
 from piecework.sources import files
 from piecework.streaming.counts import streaming_word_counts
@@ -122,6 +125,207 @@ def test_merging_query_by_brute_force(spark):
         assert r.tokens == " ".join(tokens)
 
 
+# ---- learning and models, against plain versions ----
+
+
+def brute_texts(segments, size, least):
+    """One merge a round over all segments: the most frequent pair, then the least strings; equal ones from the right."""
+    state, vocab = {s: list(s) for s in segments}, []
+    while len(vocab) < size:
+        counts = Counter()
+        for s, tokens in state.items():
+            for p in zip(tokens, tokens[1:]):
+                counts[p] += segments[s]
+        best = min(((-n, p) for p, n in counts.items()), default=(0, None))
+        if -best[0] <= least:
+            break
+        a, b = best[1]
+        vocab.append((a + b, -best[0]))
+        for s, tokens in state.items():
+            out, i = [], len(tokens) - 1
+            while i >= 0:
+                hit = i > 0 and (tokens[i - 1], tokens[i]) == (a, b)
+                out.append(a + b if hit else tokens[i])
+                i -= 1 + hit
+            state[s] = out[::-1]
+    return vocab
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder with a few whole documents."""
+    folder = tmp_path_factory.mktemp("few")
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 1500").orderBy("doc_id").limit(25)
+    rows = rows.select("doc_id", "text").union(frame(spark, ["aaaa aaaaa aaa", "abababab abab", "", None]).withColumn("doc_id", F.col("doc_id") + 10**6))
+    rows.coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    return str(folder), [r.text or "" for r in rows.collect()]
+
+
+def test_vocabulary_of_500_by_brute_force(spark, small):
+    folder, texts = small
+    segments = Counter(x for t in texts for x in re.split("[" + re.escape(T.DELIMITERS + "#") + "]", t) if x)
+    got = [(r.token, r.freq) for r in QUERIES["train_vocabulary"](spark, folder).orderBy("rank").collect()]
+    assert got == brute_texts(segments, queries.VOCABULARY, queries.LEAST) and len(got) == 500
+
+
+def test_single_characters_count_for_the_size(spark):
+    vocab, _ = training.train_texts(frame(spark, ["abab ab", "abc"]), training.TextOptions(10, 1))
+    assert [(r.token, r.freq) for r in vocab.orderBy("rank").collect()] == [("a", 4), ("b", 4), ("c", 1), ("ab", 4)]
+    vocab, _ = training.train_texts(frame(spark, ["abab ab", "abc"]), training.TextOptions(3, 1))
+    assert {r.token for r in vocab.collect()} == {"a", "b", "c"}
+    assert training.train_texts(frame(spark, []), training.TextOptions(3))[0].count() == 0
+
+
+def test_options_are_checked():
+    for bad in ({"min_freq": -1}, {"vocab_size": -1}):
+        with pytest.raises(ValueError):
+            training.TextOptions(**{"vocab_size": 5} | bad)
+    for bad in ({"max_piece_length": 1}, {"show_progress": False}):
+        with pytest.raises(ValueError):
+            training.WordOptions(**{"vocab_size": 5} | bad)
+    options = training.WordOptions(5, min_frequency=-3, continuing_subword_prefix=None)
+    assert (options.min_frequency, options.continuing_subword_prefix) == (1, "")
+
+
+def brute_words(words, options):
+    """Vocabulary, merges and the pieces of each word, one merge a round over tagged ids."""
+    big = {"<PAD>": 2**60, "<UNK>": 2**59} | dict.fromkeys(options.initial_alphabet, 2**50) | dict.fromkeys(options.special_tokens, 2**51)
+    for w, n in words.items():
+        for c in w:
+            big[c] = big.get(c, 0) + n
+    strings = sorted(big, key=lambda c: (-big[c], c))
+    strings = strings[: options.limit_alphabet + 2] if options.limit_alphabet else strings
+    n_base, raw = len(strings), {c: i for i, c in enumerate(strings)}
+    pre, suf = options.continuing_subword_prefix, options.end_of_word_suffix
+    begin, end, mask = (1 << 31 if pre else 0), (1 << 30 if suf else 0), (1 << 30) - 1
+    state = {w: [raw.get(c, 1) | (begin if i == 0 else 0) | (end if i == len(w) - 1 else 0) for i, c in enumerate(w)] for w in words}
+    seen = {0, *(t for x in state.values() for t in x)} if pre or suf else set(range(n_base))
+    base = [*range(2, n_base), *sorted(seen - set(range(n_base)))]
+    length = lambda t: 1 if t & mask < n_base else len(strings[t & mask])
+    show = lambda t: ("" if t & 1 << 31 else pre) + strings[t & mask] + (suf if t & 1 << 30 else "")
+    ids, vocab, merges = {t: i for i, t in enumerate(base)}, [show(t) for t in base], []
+    while len(seen) < options.vocab_size + 2:
+        counts = Counter()
+        for w, x in state.items():
+            for a, b in zip(x, x[1:]):
+                if a & mask >= 2 and b & mask >= 2 and length(a) + length(b) <= options.max_piece_length:
+                    counts[a, b] += words[w]
+        best = min(((-n, p) for p, n in counts.items()), default=(0, None))
+        if best[1] is None or -best[0] < options.min_frequency:
+            break
+        a, b = best[1]
+        string = strings[a & mask] + strings[b & mask]
+        if string not in raw:
+            raw[string] = len(strings)
+            strings.append(string)
+        new = raw[string] | (a & ~mask) | (b & ~mask)
+        seen.add(new)
+        merges.append((ids[a], ids[b], len(vocab), -best[0]))
+        ids[new] = len(vocab)
+        vocab.append(show(new))
+        for w, x in state.items():
+            out, i = [], 0
+            while i < len(x):
+                hit = x[i : i + 2] == [a, b]
+                out.append(new if hit else x[i])
+                i += 1 + hit
+            state[w] = out
+    return vocab, merges, {w: [ids.get(t, -1) for t in x] for w, x in state.items()}
+
+
+def test_word_model_by_brute_force(spark, small):
+    words = Counter(w for t in small[1] for w in t.split())
+    table = spark.createDataFrame(list(words.items()), "word string, freq long")
+    plain = training.WordOptions(90, 2, ["<S>"], 30, ["z"], "", "", max_piece_length=6)
+    for options in (training.WordOptions(330, 2, ["<S>"], 0, ["z"], "##", "</w>", max_piece_length=12), plain):
+        model = training.train_words(table, options)
+        vocab, merges, pieces = brute_words(words, options)
+        assert [r.token for r in model.vocab.orderBy("id").collect()] == vocab
+        assert [tuple(r)[1:] for r in model.merges.orderBy("rank").collect()] == merges and len(merges) > 20
+        found = segmentation.encode_ids(table, model)
+        assert {r.word: r.ids for r in found.collect()} == pieces
+        for r in segmentation.decode_ids(found, model).collect():
+            assert r.text == r.word or -1 in r.ids
+        lines = Counter(r.line for r in files.corpus_lines(model.corpus).collect())
+        shown = Counter(" ".join(vocab[i] for i in x) for x in pieces.values() if -1 not in x)
+        assert all(lines[k] >= 1 for k in shown)
+
+
+def test_word_model_queries(spark, small):
+    model = QUERIES["word_model"](spark, small[0]).collect()
+    assert len(model) >= queries.VOCABULARY and sum(r.x is not None for r in model) > 100
+    assert all(r.text == r.word for r in QUERIES["word_model_round_trip"](spark, small[0]).collect())
+
+
+def test_golden_words(spark):
+    words = spark.createDataFrame([("aaa", 1)], "word string, freq long")
+    model = training.train_words(words, training.WordOptions(10, 1))
+    assert [r.token for r in model.vocab.orderBy("id").collect()] == ["a", "aa", "aaa"]
+    assert [(r.x, r.y, r.new) for r in model.merges.orderBy("rank").collect()] == [(0, 0, 1), (1, 0, 2)]
+
+
+def plain_cut(text, vocab, method):
+    if method == "bidirectional":
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            one, two = plain_cut(line, vocab, "forward"), plain_cut(line, vocab, "backward")
+            cost = lambda x: (len(x), sum(len(t) == 1 for t in x))
+            out += ["\n"] * (i > 0) + (one if cost(one) < cost(two) else two)
+        return out
+    if method == "merges":
+        tokens = list(text)
+        while pairs := [(-vocab[a + b], a, b) for a, b in zip(tokens, tokens[1:]) if a + b in vocab]:
+            _, a, b = min(pairs)
+            tokens, out = (tokens[::-1] if a == b else tokens), []
+            while tokens:
+                hit = tokens[:2] == [a, b]
+                out.append(a + b if hit else tokens[0])
+                tokens = tokens[1 + hit :]
+            tokens = out[::-1] if a == b else out
+        return tokens
+    return segmentation.WAYS[method](text, vocab, max(map(len, vocab)))
+
+
+def test_segment_methods_by_brute_force(spark, small):
+    folder, texts = small
+    vocab = {r.token: r.freq for r in QUERIES["train_vocabulary"](spark, folder).collect()}
+    rows = {(r.doc_id, r.method): (r.n_tokens, r.n_single) for r in QUERIES["segment_methods"](spark, folder).collect()}
+    docs = {r.doc_id: (r.text or "").replace(" ", "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert len(rows) == 4 * len(docs)
+    for (d, method), got in rows.items():
+        tokens = plain_cut(docs[d], vocab, method)
+        assert "".join(tokens) == docs[d] and got == (len(tokens), sum(len(t) == 1 for t in tokens))
+    f1 = {(r.pred, r.true): r.f1 for r in QUERIES["f1_methods"](spark, folder).collect()}
+    assert len(f1) == 16 and all(f1[a, a] == 1 and f1[a, b] == f1[b, a] for a, b in f1)
+
+
+def test_long_runs_are_merged_fast():
+    found = segmentation.by_merges("ab" * 100_000 + "a" * 50_001, {"ab": 9, "aa": 5, "abab": 3}, 4)
+    assert found == ["abab"] * 50_000 + ["a"] + ["aa"] * 25_000
+
+
+def test_vocabularies_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(segmentation, "MOST_TOKENS", 2)
+    with pytest.raises(ValueError):
+        segmented(spark, "abc", dict.fromkeys(["ab", "bc", "abc"], 1), "forward")
+
+
+def test_other_tools_tokens():
+    assert segmentation.known_characters(["ab", "<UNK>", "c"], "abxc") == ["ab", "x", "c"]
+
+
+def test_token_files(spark, tmp_path):
+    rows = frame(spark, ["ab"]).select(F.array(F.lit("a"), F.lit("b")).alias("tokens"))
+    files.write_tokens(rows, str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).first()[0] == "a b"
+    files.write_token_list(spark.createDataFrame([(1, "b"), (0, "ab")], "rank long, token string"), str(tmp_path / "v"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "v")).collect()] == ["ab", "b"]
+    assert files.without_spaces(frame(spark, ["a b\nc "])).first()["text"] == "ab\nc"
+    (tmp_path / "a.txt").write_text("abab ab\nabc")
+    vocab, _ = training.train_texts(files.read_texts(spark, [str(tmp_path / "a.txt")]), training.TextOptions(10, 1))
+    assert {r.token for r in vocab.collect()} == {"a", "b", "c", "ab"}
+
+
 def test_spans_and_f1(spark):
     rows = spark.createDataFrame([(1, "p", ["ab", "c"]), (1, "t", ["a", "b", "c"])], "doc int, method string, tokens array<string>")
     spans = evaluation.spans(rows, ["doc", "method"])
