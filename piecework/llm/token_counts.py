@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ class Vocabulary:
     def __init__(self, scores: dict[str, float]):
         self.scores = {p: float(s) for p, s in scores.items() if p}
         self.unknown = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
+        import ahocorasick  # here, so that the other operators do not need it
+
         self.automaton = ahocorasick.Automaton()
         for piece, score in self.scores.items():
             self.automaton.add_word(piece, (len(piece), score))

@@ -565,6 +565,33 @@ def test_pipeline_dedup_stages_by_brute_force(spark, docs):
     assert kept == {min(v)[1] for v in classes.values()}
 
 
+def test_near_stage_tells_rows_of_one_id_apart(spark):
+    """An unrelated text that shares its id with a near copy stays; so do both rows of no id that are unlike."""
+    rng = np.random.default_rng(17)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    text = own(200)
+    rows = [(4, text), (4, own(100)), (5, text + " x"), (None, own(50)), (None, own(60)), (6, None), (7, " ")]
+    kept = corpus_pipeline.ngram_join_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SMALL).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted((d or -1, t or "") for d, t in rows if t != text)
+
+
+def test_toxicity_and_mixing_stages_by_their_scores(spark, docs, odd):
+    """The stages keep what the operators' own scores and rates say, row by row, over the same labels."""
+    from piecework.llm.toxicity import fit_toxicity, held_out
+
+    for frame in (docs, odd):
+        labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+        scored = fit_toxicity(frame, labels.where(~held_out(5))).score(frame.select("doc_id", "text")).collect()
+        assert all(0 <= r._score <= 1 for r in scored)
+        want = Counter((r.doc_id, r.text) for r in scored if r._score < 0.5)
+        assert Counter((r.doc_id, r.text) for r in corpus_pipeline.toxicity_stage(spark, frame, SMALL).collect()) == want
+        domains = mixing.label_domains(labels).where(F.col("domain").isin(list(corpus_pipeline.TARGETS)))
+        rated = mixing.mix(frame.select("doc_id", "text"), domains, corpus_pipeline.TARGETS).withColumn("k", mixing.repeats()).collect()
+        want = Counter({}) + sum((Counter({(r.doc_id, r.text): r.k}) for r in rated), Counter())
+        assert Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, frame, SMALL).collect()) == want
+        assert all(abs(r.k - r._rate) < 1 for r in rated)
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and all(r.offset + r.length <= 2048 for r in rows)
