@@ -14,8 +14,7 @@ the symbols of the words behind it:
    of the internal node that joins them; runs joined at `window` words or deeper are the leaves of a deep node. Of
    such a run the earliest leaf stays. Spans of leaves that touch merge to the maximal repeats.
 
-A suffix travels as the hash of its group's prefix, its path (a byte for every two words behind the first four)
-and a 64-bit hash of all `window` words, which alone tells a deep node: windows of different words share it with a
+A suffix travels as 32 bits of its group's prefix, its path (a byte for every four words behind the first four) and a 64-bit hash of all `window` words, which alone tells a deep node: windows of different words share it with a
 chance of about 2**-64 a pair. The depths of shallower nodes may come out too large by a chance of 1 in 256.
 """
 
@@ -72,11 +71,11 @@ class Windows:
         return join(h, self.four[self.at + length - 4]) if length % 4 else h
 
     def path(self) -> np.ndarray:
-        """The words behind the first four, a byte for every two, the first in the highest byte of an integer."""
+        """The words behind the first four, a byte for every four, the first in the highest of 32 bits."""
         out = np.zeros(len(self.at), np.uint64)
-        for i in range((self.window - 4) // 2):
-            out |= (self.two[self.at + 4 + 2 * i] >> np.uint64(56)) << np.uint64(56 - 8 * i)
-        return out.view(np.int64)
+        for i in range((self.window - 4) // 4):
+            out |= (self.four[self.at + 4 + 4 * i] >> np.uint64(56)) << np.uint64(24 - 8 * i)
+        return out
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The anchor of each window, and whether it stands at another place than that of the window before."""
@@ -202,30 +201,31 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         def settle() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            group, path, whole, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, whole, doc, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((start, row, doc, whole))
             later = np.zeros(len(order), bool)
             later[1:] = whole[order[1:]] == whole[order[:-1]]
             first, later = order[~later], order[later]
-            yield leaf(group[first], path[first], whole[first].view(np.int64), doc[first], row[first], start[first], start[first])
+            yield leaf(key[first], whole[first].view(np.int64), doc[first], row[first], start[first], start[first])
             row, start = row[later], start[later]
             order = np.lexsort((start, row))
             row, start, stop = _spans(row[order], start[order], window)
             # Spans settled here travel with the leaves, spread by their own hash.
             none = np.zeros(len(row), np.int64)
-            yield leaf(join(row.view(np.uint64), start.astype(np.uint64)), none, none, none, row, start, stop)
+            yield leaf(join(row.view(np.uint64), start.astype(np.uint64)), none, none, row, start, stop)
 
-        def leaf(group, path, whole, doc, row, start, stop) -> pa.RecordBatch:  # noqa: ANN001
-            columns = [*map(pa.array, (group.view(np.int64), path, whole, doc, row)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, ["group", "path", "whole", "doc_id", "row", "start", "stop"])
+        def leaf(key, whole, doc, row, start, stop) -> pa.RecordBatch:  # noqa: ANN001
+            columns = [*map(pa.array, (key.view(np.int64), whole, doc, row)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "whole", "doc_id", "row", "start", "stop"])
 
         n = 0
         for batch in blocks(batches, "text"):
             w = Windows(batch["text"], window)
             keep = hits(shared.value, w.anchors()[0])
             doc, row = (batch[c].to_numpy()[w.owner[keep]] for c in ("doc_id", "row"))
-            held.append((groups(w, keep), w.path()[keep], w.prefix(window)[keep], doc, row, w.start[keep]))
+            key = (groups(w, keep) >> np.uint64(32) << np.uint64(32)) | w.path()[keep]
+            held.append((key, w.prefix(window)[keep], doc, row, w.start[keep]))
             n += int(keep.sum())
             if n >= GATHER // 2:
                 yield from settle()
@@ -235,23 +235,24 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            group, path, whole, row, start, stop = (batch[k].to_numpy() for k in ("group", "path", "whole", "row", "start", "stop"))
+            key, whole, row, start, stop = (batch[k].to_numpy() for k in ("key", "whole", "row", "start", "stop"))
             settled = stop > start
-            g, p, w, r, s = (x[~settled] for x in (group, path, whole, row, start))
+            g, w, r, s = (x[~settled] for x in (key, whole, row, start))
             deep = np.zeros(len(g), bool)
             if len(g):
-                # Depth of the node that joins a suffix with the one before it in its group.
-                depth = np.minimum(ANCHOR + 2 * common_symbols(p), window - 1)
-                depth[1:][(w[1:] == w[:-1]) & (p[1:] == p[:-1])] = window
-                deep[1:] = (g[1:] == g[:-1]) & (depth[1:] >= window)
-                deep[0] = (g[0], p[0], w[0]) == last
-                last = (g[-1], p[-1], w[-1])
+                # Depth of the node that joins a suffix with the one before it; the first four symbols are the group's.
+                same = common_symbols(g)
+                depth = np.where(same < 4, 0, np.minimum(ANCHOR + 4 * (same - 4), window - 1))
+                depth[1:][(w[1:] == w[:-1]) & (g[1:] == g[:-1])] = window
+                deep = depth >= window
+                deep[0] = (g[0], w[0]) == last
+                last = (g[-1], w[-1])
             r, s = np.concatenate([r[deep], row[settled]]), np.concatenate([s[deep], start[settled]])
             e = np.concatenate([s[: int(deep.sum())] + window, stop[settled]])
             yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["row", "start", "stop"])
 
-    leaves = texts.mapInArrow(suffixes, "group long, path long, whole long, doc_id long, row long, start int, stop int")
-    leaves = leaves.repartition(task_count(spark), "group").sortWithinPartitions("group", "path", "whole", "doc_id", "row", "start")
+    leaves = texts.mapInArrow(suffixes, "key long, whole long, doc_id long, row long, start int, stop int")
+    leaves = leaves.repartition(task_count(spark), F.shiftright("key", 32)).sortWithinPartitions("key", "whole", "doc_id", "row", "start")
     return leaves.mapInArrow(subtrees, SPANS)
 
 
