@@ -11,6 +11,7 @@ from piecework.sources import files
 
 MERGES = 6
 SPECIAL, INITIAL, LIMIT = ["<S>"], ["z"], 40
+FREQUENT = 20_000
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +31,12 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed vocabulary of 200 frequent words, for the segmenters."""
-    words = _words(spark, sf_dir).where(F.length("word") >= 2).orderBy(F.desc("freq"), "word").limit(200)
-    return words.select(F.col("word").alias("token"), "freq")
+    """The words of two characters or more that are a FREQUENTth of all words or more: never over FREQUENT, whatever the size."""
+    words = _words(spark, sf_dir)
+    total = words.agg(F.sum("freq").alias("total"))
+    # One row of a global aggregate.
+    frequent = words.where(F.length("word") >= 2).crossJoin(F.broadcast(total)).where(F.col("freq") * FREQUENT >= F.col("total"))
+    return frequent.select(F.col("word").alias("token"), "freq")
 
 
 def normalize_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +289,7 @@ _SPANS = f"""toks AS (
   each_ AS (SELECT doc, method, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM toks),
   spans AS (SELECT doc, method, ("end" - n)::BIGINT AS start, "end" FROM (
     SELECT doc, method, length(token) AS n, sum(length(token)) OVER (PARTITION BY doc, method ORDER BY pos)::BIGINT AS "end" FROM each_))"""
-_VOCAB = f"{_WORD}, vocab AS (SELECT word FROM words WHERE length(word) >= 2 ORDER BY freq DESC, word LIMIT 200)"
+_VOCAB = f"{_WORD}, vocab AS (SELECT word FROM words WHERE length(word) >= 2 AND freq * {FREQUENT} >= (SELECT sum(freq) FROM words))"
 _PLACES = """places AS (SELECT item_id, s, l FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS s FROM benchmark),
     (SELECT DISTINCT length(word) AS l FROM vocab) WHERE s + l - 1 <= length(text) AND substring(text, s, l) IN (SELECT word FROM vocab))"""
 
