@@ -29,13 +29,14 @@ SEARCH = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{16,}", "hex": r"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 LEAST_BITS = {"hex": 2.9, "letters and digits": 3.5, "base64": 3.9}
-# Candidates that are no secrets. UUIDs, dates, words joined by hyphens or slashes, digits only, fillers.
+# Candidates that are no secrets. UUIDs, dates, digits only, fillers.
 ALLOWED = [
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9/_=+-]+",
-    r"[A-Za-z/_=+-]+",
     r".*(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{6}|0123456789|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]).*",
 ]
+# A candidate that consists of these parts alone is joined words: lower-case, capitalised or in capitals, and what joins them.
+WORDS = r"[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[/_=+-]++"
 
 _NONE = "array<struct<start:int,end:int,kind:int,found:string,key:string>>"
 
@@ -108,7 +109,7 @@ def _high(found: Column) -> Column:
         .when(found.rlike(r"^[A-Za-z0-9]+$"), LEAST_BITS["letters and digits"])
         .otherwise(LEAST_BITS["base64"])
     )
-    allowed = found.rlike("^(?:" + "|".join(ALLOWED) + ")$")
+    allowed = found.rlike("^(?:" + "|".join(ALLOWED) + ")$") | (F.regexp_replace(found, WORDS, "") == "")
     return F.when(allowed, F.lit(False)).otherwise(bits >= least)
 
 
@@ -117,13 +118,12 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind counts KINDS; spans are code points, end exclusive. Base spans come kind by kind; `added` holds
     candidate strings of high entropy that touch no base span. Null texts count as empty and have no spans;
-    other columns are not read.
+    repeated rows each get a row, an empty table gives none; other columns are not read.
     """
     text = F.col("_text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("_text"))
     base = [_matches(text, k, *BASE[kind], SEARCH[kind]) for k, kind in enumerate(BASE)]
-    # An allow-listed or plain-word candidate needs no positions: ask for a digit before the costly part.
-    wide = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])" + CANDIDATE
+    wide = r"(?<![A-Za-z0-9+/_=-])" + CANDIDATE
     added = _matches(text, len(BASE), wide, 0, WINDOW, wide)
     rows = rows.select("doc_id", F.concat(*base).alias("base"), added.alias("candidates"))
     clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
