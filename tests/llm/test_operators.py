@@ -265,6 +265,26 @@ def test_rates_reach_the_least_squares(spark):
     assert (w >= 0).all() and np.abs((w * n) @ p / n.sum() - [0.6, 0.3, 0.1]).max() < 2 * mixing.CLOSE
 
 
+@pytest.mark.parametrize(("spread", "targets"), [(1.0, [0.6, 0.3, 0.1]), (4.0, [0.02, 0.03, 0.95])])
+def test_rates_by_another_solver(spark, spread, targets):
+    """Plain descent over all rates, to its end. The second targets are out of reach: the posteriors hardly differ."""
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet([spread] * 3, 300), rng.integers(1, 300, 300)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n long, p array<double>")
+    w, share = mixing.rates(p, mixing.fit_rates(table, targets), 1.0), n / n.sum()
+    scale = np.linalg.pinv((p * share[:, None]).T @ p)
+
+    def cost(w):
+        r = (w * share) @ p - targets
+        return r @ scale @ r / 2 + mixing.RIDGE / 2 * share @ (w - 1) ** 2
+
+    best = np.ones(len(p))
+    for _ in range(50_000):
+        best = np.maximum(0.0, best - 0.9 * (p @ (scale @ ((best * share) @ p - targets)) + mixing.RIDGE * (best - 1)))
+    gap, gain = cost(w) - cost(best), cost(np.ones(len(p))) - cost(best)
+    assert (w >= 0).all() and gap <= 2e-3 * gain and (spread > 1 or gap <= 0.02 * cost(best))
+
+
 def test_mixing_meets_targets_or_the_nearest(spark, docs, labels, odd, none):
     rows = mixing.mixing_rates(docs, labels, {"good": 0.7, "poor": 0.3}).toPandas()
     n, p, w = rows.n_tokens.to_numpy(), rows[["p_good", "p_poor"]].to_numpy(), rows.rate.to_numpy()
@@ -345,15 +365,41 @@ KINDS = {
 }
 
 
-def test_secrets_by_brute_force(docs, odd, none):
-    for frame in (docs, odd):
+STRINGS = [
+    "key kVbRtZqXwLmNpQsDfGhJ end", "getUserNameFromDatabaseConnection", "some_snake_case_name_of_a_function", "INTERNATIONALIZATION and internationalization",
+    "see docs/guide/getting-started/Installation", "a_b_c_d_e_f_g_h_i_j_k_l", "x" * 25, "550e8400-e29b-41d4-a716-446655440000", "2024-01-01-2024-12-31-000", "secret: qWpZxLkVbRtYmNcHdGsF",
+    "aB3xY9kLmN0pQ7rS2tUvEXAMPLE", "é aB3xY9kLmN0pQ7rS2tUv aB3xY9kLmN0pQ7rS2tUz", "ab_" * 20_000, "Qz" * 20_000,
+]
+
+
+def candidates(text):
+    """Spans of whole runs of 20 characters or more."""
+    return [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]+", text) if len(m.group()) >= 20]
+
+
+def dense(s):
+    if re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9/_=+-]+", s) or re.search("example|placeholder|x{6}|0123456789", s, re.I):
+        return False
+    if all(re.fullmatch("[A-Z]?[a-z]{2,}|[A-Z]{2,}", x) for x in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]+|[0-9]+", s)):
+        return False
+    h = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+    return h >= (2.9 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else 3.5 if s.isalnum() else 3.9)
+
+
+def test_secrets_by_brute_force(spark, docs, odd, none):
+    more = spark.createDataFrame([(k, x) for k, x in enumerate(STRINGS)], "doc_id long, text string")
+    for frame in (docs, odd, more):
         rows = secret_scan.secret_digest(frame).collect()
-        want = []
+        want, listed = [], []
         for d, t in texts_of(frame):
             spans = [(m.start(), k, m.end(), name) for k, (name, (x, g, n)) in enumerate(KINDS.items()) for m in x.finditer(t) if len(m.group(g)) >= n]
             count = Counter(s[3] for s in spans)
             want.append((d or -1, *(count[k] for k in KINDS), sha(",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(spans)))))
+            rest = [(a, b) for a, b in candidates(t) if all(a >= e or b <= s for s, _, e, _ in spans)]
+            spans += [(a, len(KINDS), b, "entropy") for a, b in rest if dense(t[a:b])]
+            listed.append((d or -1, ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(spans))))
         assert sorted((r.doc_id or -1, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows) == sorted(want)
+        assert sorted((r.doc_id or -1, r.spans) for r in rows) == sorted(listed)
     found = next(r for r in secret_scan.secret_digest(odd).collect() if r.doc_id == 13)
     assert "entropy:" in found.spans and (found.n_assign, found.n_access, found.n_hex) == (1, 1, 1)
     assert secret_scan.secret_digest(none).count() == 0
@@ -469,7 +515,13 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     wins = np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good])
     assert bad and wins > 0.85 and np.mean([r.predicted == r.toxic for r in rows]) > 0.9
     few = spark.createDataFrame([(1, 0, 0), (11, 0, 1), (None, 1, 1), (13, 1, None)], "doc_id long, quality int, toxic int")
-    assert toxicity(odd, few).count() == len(ODD) and toxicity(odd, few.limit(0)).count() == len(ODD)
+    for taught in (few, few.limit(0)):
+        found = toxicity(odd, taught).collect()
+        assert sorted(map(str, (r.doc_id for r in found))) == sorted(str(d) for d, _ in ODD)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found if r.doc_id is not None)
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+        # Equal texts score alike: null and empty, and the repeated rows.
+        assert len({r.score for r in found if r.doc_id in (2, 3)}) == 1 and len({r.score for r in found if r.doc_id == 4}) == 1
     assert toxicity(none, few).count() == 0
 
 
