@@ -207,17 +207,19 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             later = np.zeros(len(order), bool)
             later[1:] = whole[order[1:]] == whole[order[:-1]]
             first, later = order[~later], order[later]
-            yield leaf(key[first], whole[first].view(np.int64), doc[first], row[first], start[first], start[first])
+            yield leaf(key[first], whole[first].view(np.int64), doc[first], row[first], start[first], np.zeros(len(first), np.int64))
             row, start = row[later], start[later]
             order = np.lexsort((start, row))
             row, start, stop = _spans(row[order], start[order], window)
             # Spans settled here travel with the leaves, spread by their own hash.
             none = np.zeros(len(row), np.int64)
-            yield leaf(join(row.view(np.uint64), start.astype(np.uint64)), none, none, row, start, stop)
+            yield leaf(join(row.view(np.uint64), start.astype(np.uint64)), none, none, row, start, stop - start)
 
-        def leaf(key, whole, doc, row, start, stop) -> pa.RecordBatch:  # noqa: ANN001
-            columns = [*map(pa.array, (key.view(np.int64), whole, doc, row)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, ["key", "whole", "doc_id", "row", "start", "stop"])
+        def leaf(key, whole, doc, row, start, length) -> pa.RecordBatch:  # noqa: ANN001
+            # Start and length in one integer, which sorts as the start; a leaf has the length 0, a settled span its own.
+            span = (start.astype(np.int64) << 32) | length
+            columns = [*map(pa.array, (key.view(np.int64), whole, doc, row, span))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "whole", "doc_id", "row", "span"])
 
         n = 0
         for batch in blocks(batches, "text"):
@@ -235,7 +237,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            key, whole, row, start, stop = (batch[k].to_numpy() for k in ("key", "whole", "row", "start", "stop"))
+            key, whole, row, span = (batch[k].to_numpy() for k in ("key", "whole", "row", "span"))
+            start, stop = span >> 32, (span >> 32) + (span & 0xFFFFFFFF)
             settled = stop > start
             g, w, r, s = (x[~settled] for x in (key, whole, row, start))
             deep = np.zeros(len(g), bool)
@@ -251,8 +254,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             e = np.concatenate([s[: int(deep.sum())] + window, stop[settled]])
             yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["row", "start", "stop"])
 
-    leaves = texts.mapInArrow(suffixes, "key long, whole long, doc_id long, row long, start int, stop int")
-    leaves = leaves.repartition(task_count(spark), F.shiftright("key", 32)).sortWithinPartitions("key", "whole", "doc_id", "row", "start")
+    leaves = texts.mapInArrow(suffixes, "key long, whole long, doc_id long, row long, span long")
+    leaves = leaves.repartition(task_count(spark), F.shiftright("key", 32)).sortWithinPartitions("key", "whole", "doc_id", "row", "span")
     return leaves.mapInArrow(subtrees, SPANS)
 
 
