@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from piecework.llm.clustering import centroid_clusters
 from piecework.llm.common import documents, labels
 from piecework.llm.exact_dedup import exact_dedup, fresh_index
+from piecework.llm.manifest import merkle_manifest
 from piecework.llm.mixing import mixing_rates
 from piecework.llm.ngram_join import ngram_classes
 from piecework.llm.packing import pack_documents
@@ -69,6 +71,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("class_jsd", "word_jsd")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(documents(spark, sf_dir), fanout=2)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ppm_scores": op2_ppm_scores,
@@ -80,9 +90,29 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
+def _rounds(k: int = 16, rounds: int = 3) -> str:
+    """Unrolled rounds over components: distances to all centroids, the nearest, floored means."""
+    parts = [f"""kept AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+            AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+        x AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::HUGEINT)) AS v FROM kept),
+        c0 AS MATERIALIZED (SELECT n - 1 AS c, i, v FROM x JOIN (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) AS n FROM kept) USING (r) WHERE n <= {k})"""]
+    for j in range(rounds + 1):
+        parts.append(f"""d{j} AS MATERIALIZED (SELECT r, c, sum((x.v - y.v) * (x.v - y.v)) AS d FROM x JOIN c{j} y USING (i) GROUP BY r, c),
+        a{j} AS MATERIALIZED (SELECT r, c, d FROM d{j} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if j < rounds:
+            parts.append(f"""s{j} AS (SELECT c, i, sum(v) AS s, count(*)::HUGEINT AS n FROM a{j} JOIN x USING (r) GROUP BY c, i),
+        c{j + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS v FROM c{j} LEFT JOIN s{j} USING (c, i))""")
+    return f"""WITH {", ".join(parts)}, names AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN names USING (c)"""
+
+
 ORACLES = {
+    "op12_centroid_clusters": _rounds(),
     "op1_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
