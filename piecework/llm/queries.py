@@ -13,6 +13,7 @@ from piecework.llm.mixing import mixing_rates
 from piecework.llm.ngram_join import ngram_classes
 from piecework.llm.packing import pack_documents
 from piecework.llm.ppm import ppm_digest
+from piecework.llm.quality_model import quality_scores
 from piecework.llm.quality_rules import quality_rules
 from piecework.llm.secret_scan import secret_digest
 from piecework.llm.substring_dedup import substring_digest
@@ -79,6 +80,10 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3)
 
 
+def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ppm_scores": op2_ppm_scores,
@@ -92,6 +97,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_quality_scores": op13_quality_scores,
 }
 
 def _rounds(k: int = 16, rounds: int = 3) -> str:
@@ -111,7 +117,35 @@ def _rounds(k: int = 16, rounds: int = 3) -> str:
         FROM a{rounds} JOIN kept USING (r) JOIN names USING (c)"""
 
 
+# Recursive rounds make the levels (1000 and more: those over the subroots), the steps of every row and the folds; 3988292384 is the polynomial of crc32.
+_MANIFEST = """
+        WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT) AS bytes,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+            c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda x, b: list_reduce(list_concat([xor(x, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT) % 7 = 0 AS hit FROM d),
+            m AS (SELECT *, CASE WHEN hit THEN n_chars + 1 ELSE n_chars END AS more FROM c),
+            leaves AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                sha256(head || coalesce(strlen(more::VARCHAR) || ':' || more, '-') || tail) AS other FROM m),
+            low AS (SELECT lang, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+                UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY lang, level, i // 2, n),
+            tops AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM low WHERE n = 1),
+            high AS (SELECT 0 AS level, i, node, count(*) OVER () AS n FROM tops
+                UNION ALL SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, i // 2, n),
+            ways AS (SELECT l.doc_id, s.level, (l.i >> s.level) & 1 AS odd, b.node AS sibling FROM leaves l JOIN (SELECT DISTINCT lang, level FROM low WHERE n > 1) s ON l.lang IS NOT DISTINCT FROM s.lang
+                    LEFT JOIN low b ON b.lang IS NOT DISTINCT FROM l.lang AND b.level = s.level AND b.i = xor(l.i >> s.level, 1)
+                UNION ALL SELECT l.doc_id, 1000 + s.level, (t.i >> s.level) & 1, b.node FROM leaves l JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang, (SELECT DISTINCT level FROM high WHERE n > 1) s
+                    LEFT JOIN high b ON b.level = s.level AND b.i = xor(t.i >> s.level, 1)),
+            steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k FROM ways),
+            proofs AS (SELECT doc_id, sha256(coalesce(string_agg(sibling, '' ORDER BY k), '')) AS proof FROM steps GROUP BY doc_id),
+            folds AS (SELECT doc_id, 0::BIGINT AS k, other AS node FROM leaves
+                UNION ALL SELECT f.doc_id, s.k, sha256(CASE WHEN odd = 1 THEN coalesce(sibling, '') || node ELSE node || coalesce(sibling, '') END) FROM folds f JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
+            ends AS (SELECT doc_id, arg_max(node, k) AS folded FROM folds GROUP BY doc_id)
+        SELECT doc_id, leaf, t.node AS subroot, h.node AS root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = h.node AS verified
+        FROM leaves l JOIN tops t ON l.lang IS NOT DISTINCT FROM t.lang JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), (SELECT node FROM high WHERE n = 1) h"""
+
 ORACLES = {
+    "op11_merkle_manifest": _MANIFEST,
     "op12_centroid_clusters": _rounds(),
     "op1_exact_dedup": r"""
         WITH d AS (

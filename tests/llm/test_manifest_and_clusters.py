@@ -165,3 +165,7 @@ def test_products_are_exact_up_to_the_bound(most):
         assert (d, n) == (min(want), want.index(min(want)))
     limit = clustering.small_limit(64)
     assert 4 * 64 * limit**2 < 2**53 <= 4 * 64 * (2 * limit) ** 2
+
+
+def test_manifest_equals_sql(same):
+    same(Q.QUERIES["op11_merkle_manifest"], Q.ORACLES["op11_merkle_manifest"])
