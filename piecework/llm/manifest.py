@@ -13,10 +13,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,8 +199,42 @@ def chunk_tree(chunk: int, nodes: list[str], fanout: int, levels: int) -> list[l
     return layers(nodes, None if chunk == 0 else levels, fanout)
 
 
+def by_chunk(rows: DataFrame, work: Callable[[str, int, dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """What `work(g, chunk, columns)` makes of each chunk's rows in the order of `rank`.
+
+    Sorted partitions stream through large Arrow batches; a task holds one chunk and one batch at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def made(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
+            columns, out = table.to_pydict(), {}
+            for a, b in pairwise(edges):
+                part = {c: v[a:b] for c, v in columns.items()}
+                for c, v in work(part["g"][0], part["chunk"][0], part).items():
+                    out.setdefault(c, []).extend(v)
+            if out:
+                yield from pa.table(out).cast(target).to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            g, chunk = pc.index_in(table["g"], pc.unique(table["g"])).to_numpy(), table["chunk"].to_numpy()
+            edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
+            # The last chunk may go on in the next batch.
+            held = table.slice(edges[-1])
+            yield from made(table.slice(0, edges[-1]), edges)
+        if held is not None and held.num_rows:
+            yield from made(held, [0, held.num_rows])
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    target = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+    return rows.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "rank").mapInArrow(run, schema)
+
+
 class Tree:
-    """Trees of any number of groups over nodes (g, rank, node), several levels a round."""
+    """Trees of any number of groups over nodes (g, rank, node, and columns that go along), several levels a round."""
 
     def __init__(self, nodes: DataFrame, shape: Shape):
         self.shape, self.rounds = shape, [nodes]
@@ -208,38 +246,38 @@ class Tree:
     def _up(self, nodes: DataFrame) -> DataFrame:
         fanout, levels = self.shape.fanout, self.shape.levels
 
-        def run(key: tuple, table: pa.Table) -> pa.Table:
-            table = table.sort_by("rank")
-            g, chunk = key[0].as_py(), key[1].as_py()
-            top = chunk_tree(chunk, table["node"].to_pylist(), fanout, levels)[-1][0]
-            return pa.table({"g": [g], "rank": pa.array([chunk], pa.int64()), "node": [top]})
+        def run(g: str, chunk: int, rows: dict[str, list]) -> dict[str, list]:
+            return {"g": [g], "rank": [chunk], "node": [chunk_tree(chunk, rows["node"], fanout, levels)[-1][0]]}
 
-        chunks = self.shape.chunked(nodes.select("g", "rank", "node"))
-        return chunks.groupBy("g", "chunk").applyInArrow(run, "g string, rank long, node string")
+        return by_chunk(self.shape.chunked(nodes.select("g", "rank", "node")), run, "g string, rank long, node string")
 
-    def down(self, above: DataFrame) -> DataFrame:
-        """The lowest nodes' chunks with what is above them: g, chunk, steps, and the other columns of `above`.
+    def _under(self, nodes: DataFrame, above: DataFrame) -> DataFrame:
+        """The nodes of a round and, as the first of each chunk (rank -1), the row of `above` (g, chunk, steps, subroot)."""
+        return self.shape.chunked(nodes).unionByName(above.withColumn("rank", F.lit(-1).cast("long")), allowMissingColumns=True)
 
-        `above` (g, steps, ...) has the path over each group's root.
+    def paths(self, above: DataFrame, work: Callable, schema: str) -> DataFrame:
+        """Rows of `schema` that `work(columns, paths, steps above, subroot above)` makes of each chunk of the lowest nodes.
+
+        `above` (g, steps, subroot) has what stands over each group's root. Round by round it is handed down to chunks.
         """
         fanout, levels = self.shape.fanout, self.shape.levels
-        extra = [c for c in above.columns if c not in ("g", "steps")]
-        kinds = dict(above.dtypes)
-        schema = ", ".join(["g string", "chunk long", "steps string", *(f"{c} {kinds[c]}" for c in extra)])
-
-        def run(key: tuple, nodes: pa.Table, over: pa.Table) -> pa.Table:
-            nodes = nodes.sort_by("rank")
-            tree = chunk_tree(key[1].as_py(), nodes["node"].to_pylist(), fanout, levels)
-            top = over["steps"][0].as_py()
-            steps = [packed_steps(path(tree, i, fanout)) + top for i in range(len(tree[0]))]
-            found = {"g": [key[0].as_py()] * len(steps), "chunk": nodes["rank"], "steps": steps}
-            return pa.table(found | {c: [over[c][0].as_py()] * len(steps) for c in extra})
+
+        def at_chunk(g: str, chunk: int, rows: dict[str, list], then: Callable) -> dict[str, list]:
+            top, subroot = rows["steps"][0], rows["subroot"][0]
+            rows = {c: v[1:] for c, v in rows.items()}
+            tree = chunk_tree(chunk, rows["node"], fanout, levels)
+            return then(rows, [path(tree, i, fanout) for i in range(len(tree[0]))], top, subroot)
+
+        def hand_down(rows: dict[str, list], own: list, top: str, subroot: str | None) -> dict[str, list]:
+            # A node is the root of the chunk of its rank one round below.
+            return {"g": rows["g"], "chunk": rows["rank"], "steps": [packed_steps(x) + top for x in own], "subroot": [subroot] * len(own)}
 
         now = above.withColumn("chunk", F.lit(0).cast("long"))
-        # The last round's nodes are the roots themselves. A node is the root of the chunk of its rank one round below.
+        # The last round's nodes are the roots themselves.
         for nodes in self.rounds[-2:0:-1]:
-            now = cut(self.shape.chunked(nodes).groupBy("g", "chunk").cogroup(now.groupBy("g", "chunk")).applyInArrow(run, schema), "tree-paths")
-        return now
+            found = by_chunk(self._under(nodes, now), lambda *x: at_chunk(*x, hand_down), "g string, chunk long, steps string, subroot string")
+            now = cut(found, "tree-paths")
+        return by_chunk(self._under(self.rounds[0], now), lambda *x: at_chunk(*x, work), schema)
 
 
 def ordered_groups(roots: DataFrame) -> DataFrame:
@@ -268,39 +306,27 @@ def merkle_manifest(docs: DataFrame, fanout: int = 2) -> DataFrame:
     columns = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     rows = cut(ranked(leaves(docs)).select("g", "rank", "doc_id", F.lower(F.hex("leaf")).alias("node"), F.lower(F.hex("other")).alias("other")), "ranked-leaves")
     shape = Shape(fanout)
-    levels = shape.levels
     groups = Tree(rows, shape)
     places = cut(ordered_groups(groups.roots.select("g", F.col("node").alias("subroot"))), "subroots")
-    top = Tree(places.select(F.lit("").alias("g"), F.col("place").alias("rank"), F.col("subroot").alias("node")), shape)
+    top = Tree(places.select(F.lit("").alias("g"), F.col("place").alias("rank"), F.col("subroot").alias("node"), F.col("g").alias("own")), shape)
     found = top.roots.first()
     if found is None:
         return docs.sparkSession.createDataFrame([], columns)
     root = found["node"]
-    # The path over each subroot: the chunks of the upper tree, then the nodes of a chunk.
-    over = top.down(docs.sparkSession.createDataFrame([("", "")], "g string, steps string"))
-
-    def subroots(key: tuple, nodes: pa.Table, over: pa.Table) -> pa.Table:
-        nodes = nodes.sort_by("rank")
-        tree = chunk_tree(key[1].as_py(), nodes["node"].to_pylist(), fanout, levels)
-        steps = [packed_steps(path(tree, i, fanout)) + over["steps"][0].as_py() for i in range(len(tree[0]))]
-        return pa.table({"g": nodes["own"], "steps": steps, "subroot": nodes["node"]})
-
-    lowest = shape.chunked(places.select(F.lit("").alias("g"), F.col("place").alias("rank"), F.col("subroot").alias("node"), F.col("g").alias("own")))
-    above = lowest.groupBy("g", "chunk").cogroup(over.groupBy("g", "chunk")).applyInArrow(subroots, "g string, steps string, subroot string")
-    chunks = groups.down(cut(above, "subroot-paths"))
-
-    def proofs(key: tuple, nodes: pa.Table, over: pa.Table) -> pa.Table:
-        nodes = nodes.sort_by("rank")
-        own, changed = nodes["node"].to_pylist(), nodes["other"].to_pylist()
-        tree = chunk_tree(key[1].as_py(), own, fanout, levels)
-        high = unpacked_steps(over["steps"][0].as_py())
-        proof, folded = [], []
-        for i, (x, y) in enumerate(zip(own, changed, strict=True)):
-            steps = path(tree, i, fanout) + high
+    # What stands over the root of all is nothing; over each subroot stands its path in the upper tree.
+    nothing = docs.sparkSession.createDataFrame([("", "", None)], "g string, steps string, subroot string")
+
+    def over_subroot(rows: dict[str, list], own: list, top: str, _: str | None) -> dict[str, list]:
+        return {"g": rows["own"], "steps": [packed_steps(x) + top for x in own], "subroot": rows["node"]}
+
+    def proofs(rows: dict[str, list], own: list, top: str, subroot: str) -> dict[str, list]:
+        high, proof, folded = unpacked_steps(top), [], []
+        for x, y, steps in zip(rows["node"], rows["other"], own, strict=True):
+            steps = steps + high
             proof.append(digest([s for _, siblings in steps for s in siblings]))
             folded.append(fold(x if y is None else y, steps))
-        n = len(own)
-        out = {"doc_id": nodes["doc_id"], "leaf": nodes["node"], "subroot": [over["subroot"][0].as_py()] * n, "root": [root] * n}
-        return pa.table(out | {"proof_sha256": proof, "folded_root": folded, "verified": [f == root for f in folded]})
+        out = {"doc_id": rows["doc_id"], "leaf": rows["node"], "subroot": [subroot] * len(own), "root": [root] * len(own)}
+        return out | {"proof_sha256": proof, "folded_root": folded, "verified": [f == root for f in folded]}
 
-    return shape.chunked(rows).groupBy("g", "chunk").cogroup(chunks.groupBy("g", "chunk")).applyInArrow(proofs, columns)
+    above = cut(top.paths(nothing, over_subroot, "g string, steps string, subroot string"), "subroot-paths")
+    return groups.paths(above, proofs, columns)
