@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piecework.functions import text as X
+from piecework.operators.merging import merge_by_rank
 from piecework.operators.training import WordModel
 
 Tokens = Callable[[str, dict[str, int], int], list[str]]
@@ -39,39 +39,6 @@ def backward(text: str, vocab: dict[str, int], longest: int) -> list[str]:
     return out[::-1]
 
 
-def merge_by_rank(tokens: list, rank: Callable[[Hashable, Hashable], tuple | None], join: Callable, from_right: bool) -> list:
-    """Joins all neighbours of the least rank, again and again; equal neighbours from the right or the left.
-
-    `rank(a, b)` is unique to a pair, None where it must not be joined. A heap of places and links between them keep
-    the cost near the number of tokens.
-    """
-    tokens, n = list(tokens), len(tokens)
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap: list[tuple] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and after[i] >= 0 and (r := rank(tokens[i], tokens[after[i]])) is not None:
-            heapq.heappush(heap, (r, -i if from_right else i))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        best = heap[0][0]
-        places = []
-        while heap and heap[0][0] == best:
-            places.append(abs(heapq.heappop(heap)[1]))
-        for i in places:
-            j = after[i]
-            if tokens[i] is None or j < 0 or rank(tokens[i], tokens[j]) != best:
-                continue
-            tokens[i], tokens[j], after[i] = join(tokens[i], tokens[j]), None, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-    return [t for t in tokens if t is not None]
-
-
 def by_merges(text: str, vocab: dict[str, int], longest: int) -> list[str]:  # noqa: ARG001
     """Joins, again and again, the neighbours whose concatenation is the most frequent token; equal neighbours from the right."""
 

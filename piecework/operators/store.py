@@ -22,10 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 class Written:
     """A table in the shared folder, with a way to remove it once nothing reads it."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: list[str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, partitionBy=by)
         self.table = self.spark.read.schema(df.schema).parquet(self.path)
 
     def remove(self) -> None:

@@ -1,23 +1,50 @@
-"""Learning byte-pair style merges: a loop over DataFrames, several merges a round where that changes nothing.
+"""Learning byte-pair style merges: rounds over the segments that a few merges touch.
 
-A segment's state is its tokens, each between two marks that no segment contains: `#t##h##e#`. Merging (a, b)
-replaces `#a##b#` by `#ab#`. The counts of pairs are kept as a table: a round adds what the segments that it
-touches lose and gain. Only the best pairs of a round and the vocabulary reach the driver.
+Merges are global, so a segment's tokens follow from its text and the merges so far: no state of segments is kept, only
+the distinct segments themselves and an index of their grams, both written once. A round
+
+1. guesses the merges to come from the best pairs, which the driver holds (`pairs.BestPairs`);
+2. looks up the segments that contain a merged string, brings them up to date and plays the guessed merges
+   through on them, in order; what each merge adds to and takes from the counts of pairs is summed in the cluster;
+3. follows the guess as long as the exact counts agree with it. The rest of the guess is dropped.
+
+So every merge is the best pair by exact counts, as if one merge were made a round. All pairs are counted anew only when
+no held pair is certain to be the best one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piecework.functions import text as T
-from piecework.operators.counts import PAD, UNK, alphabet, char_counts, pair_counts, tagged_ids, weighted_segments
+from piecework.operators.counts import PAD, UNK, alphabet, char_counts, weighted_segments
+from piecework.operators.merging import merge_in_order, stepwise
+from piecework.operators.pairs import BestPairs, Pair
 from piecework.operators.store import Written
 
+#: Pairs that the driver holds; the fewer, the more often all pairs are counted anew.
+HELD = 50_000
+#: Segments of at most so many characters are found by the grams of these lengths, longer ones are always looked through.
+SHORT, GRAMS = 48, (2, 3)
+#: Rows of a bucket of the index, and the most buckets.
+BUCKET_ROWS, BUCKETS = 1 << 16, 4_096
+#: Learning fewer merges does without the index.
+INDEX_FROM = 64
+#: The most frequent grams, which are looked up only where a string has no rarer one.
+COMMON_GRAMS = 10_000
+#: Merges that a round guesses at least.
+AHEAD = 32
+#: Pairs that a task counts before it passes their counts on.
+FLUSH = 500_000
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -34,11 +61,6 @@ CHARACTERS = Policy("#", True, True, False)
 WORDS = Policy(" ", False, False, True)
 
 
-def start_state(segments: DataFrame, mark: str) -> DataFrame:
-    """state, w from (seg, w)."""
-    return segments.select(wrapped(T.chars(F.col("seg")), mark).alias("state"), "w")
-
-
 def wrapped(tokens: Column, mark: str) -> Column:
     return F.concat(F.lit(mark), F.array_join(tokens, mark * 2), F.lit(mark))
 
@@ -47,75 +69,274 @@ def tokens_of(state: Column, mark: str) -> Column:
     return F.split(F.substring(state, F.lit(2), F.length(state) - 2), mark * 2)
 
 
-def pattern(a: str, b: str, mark: str) -> str:
-    return f"{mark}{a}{mark}{mark}{b}{mark}"
+@dataclass
+class Merges:
+    """What tasks need to bring a segment up to date: its first tokens, and the merges in order."""
+
+    start: Callable[[str], list]
+    from_right: bool
+    ranks: dict[Pair, tuple[int, Hashable]] = field(default_factory=dict)
+
+    def tokens(self, segment: str) -> list:
+        return merge_in_order(self.start(segment), self.ranks, self.from_right)
 
 
-def merged(state: Column, a: str, b: str, policy: Policy, name: str | None = None) -> Column:
-    old, new = pattern(a, b, policy.mark), f"{policy.mark}{a + b if name is None else name}{policy.mark}"
-    if a == b and policy.from_right:
-        return F.reverse(F.replace(F.reverse(state), F.lit(old[::-1]), F.lit(new[::-1])))
-    return F.replace(state, F.lit(old), F.lit(new))
+@dataclass
+class Changes:
+    """Of each merge of a guess, by its number: the changes of pairs; and which merges touch tokens that an earlier one made."""
+
+    by_step: dict[int, dict[Pair, int]] = field(default_factory=lambda: defaultdict(dict))
+    meet: set[tuple[int, int]] = field(default_factory=set)
+
+    def commute(self, guess: list[tuple[Pair, Hashable]], i: int, j: int) -> bool:
+        """Whether merge j, played after the earlier i, never stood beside i or shared a token with it."""
+        return (i, j) not in self.meet and guess[j][0] not in self.by_step[i] and guess[i][0] not in self.by_step[j]
+
+
+class Segments:
+    """Distinct segments (seg, w), written, and an index of the grams of short ones."""
+
+    def __init__(self, segments: DataFrame, indexed: bool):
+        self.spark, self.parts = segments.sparkSession, [Written(segments.select("seg", "w"), "segments")]
+        self.table, self.index, self.common = self.parts[0].table, None, {}
+        if indexed:
+            self._build()
+
+    def _build(self) -> None:
+        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(g, s, w) for s, w in zip(batch["seg"].to_pylist(), batch["w"].to_pylist(), strict=True) for g in {s[i : i + k] for k in GRAMS for i in range(len(s) - k + 1)}]
+                columns = zip(*found, strict=True) if found else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["gram", "seg", "w"])
+
+        short = self.table.where(F.length("seg") <= SHORT)
+        rows = short.mapInArrow(grams, "gram string, seg string, w long")
+        # Each character begins at most as many grams as there are lengths of them.
+        expected = short.agg(F.coalesce(F.sum(F.length("seg")), F.lit(0))).first()[0] * len(GRAMS)
+        self.buckets = max(1, min(BUCKETS, expected // BUCKET_ROWS))
+        # A gram may stand in most segments, so its bucket is spread over several files.
+        spread = F.pmod(F.hash("seg"), F.lit(max(1, expected // (self.buckets * BUCKET_ROWS))))
+        rows = rows.withColumn("bucket", F.crc32(F.col("gram").cast("binary")) % self.buckets).repartition("bucket", spread).sortWithinPartitions("bucket", "gram")
+        self.parts.append(Written(rows, "segment-grams", by=["bucket"]))
+        self.index = self.parts[-1].table
+        counts = self.index.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(COMMON_GRAMS)
+        self.common = {r["gram"]: r["count"] for r in counts.collect()}
+
+    def touched(self, strings: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+        """Rows (gram, seg, w) among which is every segment that contains one of `strings`, and the gram to find each by."""
+        scanned = self.table.where(reduce(Column.__or__, [F.contains(F.col("seg"), F.lit(s)) for s in strings]))
+        scanned = scanned.select(F.lit(None).cast("string").alias("gram"), "seg", "w")
+        if self.index is None:
+            return scanned, [(s, "") for s in strings]
+        found = []
+        for s in strings:
+            k = min(len(s), GRAMS[-1])
+            found.append((s, min((s[i : i + k] for i in range(len(s) - k + 1)), key=lambda g: (self.common.get(g, 0), g))))
+        grams = sorted({g for _, g in found})
+        buckets = sorted({zlib.crc32(g.encode()) % self.buckets for g in grams})
+        short = self.index.where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams)).select("gram", "seg", "w")
+        return short.unionByName(scanned.where(F.length("seg") > SHORT)), found
+
+    def tokens(self, merges: Merges, show: Callable[[Hashable], str] = str) -> DataFrame:
+        """tokens, w: each segment's tokens as they stand and are shown."""
+        shared = self.spark.sparkContext.broadcast((merges, show))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            merges, show = shared.value
+            for batch in batches:
+                found = [[show(t) for t in merges.tokens(s)] for s in batch["seg"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch["w"]], ["tokens", "w"])
+
+        return self.table.mapInArrow(run, "tokens array<string>, w long")
+
+    def pair_counts(self, merges: Merges) -> DataFrame:
+        """a, b, freq of all pairs as they stand."""
+        shared = self.spark.sparkContext.broadcast(merges)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: dict[Pair, int] = defaultdict(int)
+
+            def flushed() -> pa.RecordBatch:
+                names = zip(*counts, strict=True) if counts else ([], [])
+                columns = [*(pa.array(c, pa.string()) for c in names), pa.array(counts.values(), pa.int64())]
+                counts.clear()
+                return pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
+
+            for batch in batches:
+                for s, w in zip(batch["seg"].to_pylist(), batch["w"].to_pylist(), strict=True):
+                    tokens = shared.value.tokens(s)
+                    for p in zip(tokens, tokens[1:], strict=False):
+                        counts[p] += w
+                    if len(counts) >= FLUSH:
+                        yield flushed()
+            yield flushed()
+
+        return self.table.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("freq"))
+
+    def changes(self, merges: Merges, guess: list[tuple[Pair, Hashable]], strings: list[str], beside: set[Pair], least: float) -> Changes:
+        """What each merge of the guess, played through in order, adds to the counts of pairs.
+
+        Of pairs without a token that the guess makes those in `beside` are told, of others those that gain `least`.
+        """
+        rows, finds = self.touched(strings)
+        steps = {pair: (k, new) for k, (pair, new) in enumerate(guess)}
+        shared = self.spark.sparkContext.broadcast((merges, finds, steps, beside, {new: k for k, (_, new) in enumerate(guess)}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            merges, finds, steps, beside, fresh = shared.value
+            counts: dict[tuple, int] = defaultdict(int)
+
+            def flushed() -> pa.RecordBatch:
+                columns = zip(*((a, b, k, n) for ((a, b), k), n in counts.items()), strict=True) if counts else ([], [], [], [])
+                kinds = pa.string(), pa.string(), pa.int32(), pa.int64()
+                out = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                counts.clear()
+                return pa.RecordBatch.from_arrays(out, ["a", "b", "step", "n"])
+
+            for batch in batches:
+                for gram, s, w in zip(*(batch[c].to_pylist() for c in ("gram", "seg", "w")), strict=True):
+                    # Several strings may lead to a segment: it counts where the first of them does.
+                    first = next((g for x, g in finds if x in s), None)
+                    if first is None or (gram is not None and gram != first):
+                        continue
+                    for number, change in stepwise(merges.tokens(s), steps, merges.from_right):
+                        for pair, n in change.items():
+                            x, y = fresh.get(pair[0]), fresh.get(pair[1])
+                            if n and (x is not None or y is not None or pair in beside):
+                                counts[pair, number] += n * w
+                                if n < 0:
+                                    for k in (x, y):
+                                        if k is not None:
+                                            counts[(str(k), None), number] = 1
+                if len(counts) >= FLUSH:
+                    yield flushed()
+            yield flushed()
+
+        found = rows.mapInArrow(run, "a string, b string, step int, n long").groupBy("a", "b", "step").agg(F.sum("n").alias("n"))
+        found = found.groupBy("a", "b").agg(F.collect_list(F.struct("step", "n")).alias("x"))
+        gains = F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + F.greatest(x["n"], F.lit(0)))
+        # A pair of old tokens only loses; it is there because it is held. Rows without b tell which merges meet.
+        out = Changes()
+        for r in found.where(F.col("b").isNull() | (gains == 0) | (gains >= least)).collect():
+            for x in r["x"]:
+                if r["b"] is None:
+                    out.meet.add((int(r["a"]), x["step"]))
+                else:
+                    out.by_step[x["step"]][r["a"], r["b"]] = x["n"]
+        return out
+
+    def remove(self) -> None:
+        """Removes the index; the segments stay, as tables that were returned read them."""
+        for part in self.parts[1:]:
+            part.remove()
+
+
+class Strings:
+    """Tokens as strings: names of merged ones, order and text."""
+
+    def name(self, pair: Pair) -> str:
+        return pair[0] + pair[1]
+
+    def order(self, pair: Pair) -> tuple:
+        return pair
 
+    def text(self, token: str) -> str:
+        return token
 
-def independent(ranked: list[tuple[str, str, int]]) -> int:
-    """How many of the best pairs may be merged in one round with the outcome of one merge a round.
+    def size(self) -> int:
+        return 0
 
-    No pair may end with what another begins with; a self pair only comes last; and whatever follows an earlier
-    pair's right token must be rarer than the pair, so that no new pair can come before it.
-    """
-    taken: list[tuple[str, str, int]] = []
-    follows: dict[str, int] = {}
-    for a, _, n in ranked:
-        follows[a] = max(follows.get(a, 0), n)
-    for a, b, n in ranked:
-        clash = any(b == c or d == a for c, d, _ in taken) or any(follows.get(d, 0) >= n for _, d, _ in taken)
-        if taken and (clash or taken[-1][0] == taken[-1][1]):
-            break
-        taken.append((a, b, n))
-    return len(taken)
+    def forget(self, size: int) -> None:
+        """Drops the names that were given after `size()` was this."""
 
 
 def learn(
-    state: DataFrame, merges: int, min_freq: int, policy: Policy, batch: int, rank: list[Column], allowed: Column, name: Callable[[str, str], str]
-) -> tuple[list[tuple[str, str, int]], DataFrame]:
-    """The merges (a, b, frequency) in order and the final (state, w).
-
-    `rank` orders pairs (a, b) of one frequency, `allowed` says which may be merged, `name` gives the merged token.
-    """
-    tokens = lambda column: tokens_of(F.col(column), policy.mark)
-    now = Written(state, "merge-state")
-    pairs = Written(pair_counts(now.table, tokens=tokens("state")), "pair-counts")
-    enough = F.col("freq") > min_freq if policy.strict else F.col("freq") >= max(1, min_freq)
-    found: list[tuple[str, str, int]] = []
+    segments: Segments, merges: int, min_freq: int, policy: Policy, batch: int, names: Strings, start: Callable[[str], list], allowed: Callable[[Pair], bool], rank: list[Column], only: Column
+) -> tuple[list[tuple[str, str, int]], Merges]:
+    """The merges (a, b, frequency) in order. `allowed` and `only` say which pairs may be merged, on the driver and in tables."""
+    done, found = Merges(start, policy.from_right), []
+    least = min_freq + 1 if policy.strict else max(1, min_freq)
+
+    def counted() -> BestPairs:
+        rows = segments.pair_counts(done).where((F.col("freq") >= least) & only).orderBy(F.desc("freq"), *rank).limit(HELD + 1).collect()
+        held = BestPairs(names.order)
+        for r in rows[:HELD]:
+            held.add((r["a"], r["b"]), r["freq"])
+        if len(rows) > HELD:
+            held.bound = held.rank((rows[HELD]["a"], rows[HELD]["b"]), rows[HELD]["freq"])
+        return held
+
+    # What the merges of a guess that were not taken would have changed, tokens of other such merges as the pairs they join.
+    hints: dict[Pair, list[tuple[tuple, int]]] = {}
+
+    def hint(pair: Pair, made: dict[Pair, Hashable]) -> list[tuple[Pair, int]] | None:
+        def token(t: Hashable) -> Hashable | None:
+            return t if not isinstance(t, tuple) else made[t] if t in made else done.ranks[t][1] if t in done.ranks else None
+
+        if pair not in hints:
+            return None
+        found = [((token(x), token(y)), n) for (x, y), n in hints[pair]]
+        return [(p, n) for p, n in found if None not in p]
+
+    held, ahead = counted(), min(batch, AHEAD)
     while len(found) < merges:
-        best = pairs.table.where(enough & allowed).orderBy(F.desc("freq"), *rank).limit(4 * batch + 1)
-        ranked = [(r["a"], r["b"], r["freq"]) for r in best.collect()]
-        if not ranked:
-            break
-        # Pairs below the list are no more frequent than its last; only pairs above that are known to be safe.
-        safe = ranked if len(ranked) <= 4 * batch else [r for r in ranked if r[2] > ranked[-1][2]] or ranked[:1]
-        take = safe[: min(independent(safe), batch, merges - len(found))]
-        column = F.col("state")
-        for a, b, _ in take:
-            column = merged(column, a, b, policy, name(a, b))
-        found += take
-        touched = reduce(Column.__or__, [F.contains(F.col("state"), F.lit(pattern(a, b, policy.mark))) for a, b, _ in take])
-        changed = now.table.where(touched).select("state", column.alias("new"), "w")
-        gained = pair_counts(changed.select("new", "w"), tokens=tokens("new"))
-        lost = pair_counts(changed.select("state", (-F.col("w")).alias("w")), tokens=tokens("state"))
-        counts = pairs.table.unionByName(gained).unionByName(lost).groupBy("a", "b").agg(F.sum("freq").alias("freq"))
-        old = now, pairs
-        pairs = Written(counts.where("freq > 0"), "pair-counts")
-        now = Written(now.table.select(column.alias("state"), "w"), "merge-state")
-        for x in old:
-            x.remove()
-    pairs.remove()
-    return found, now.table
+        best = held.best()
+        if best is None or best[1] < least:
+            if held.bound is None or (best is not None and best[1] < least):
+                break
+            held = counted()
+            if held.best() is None:
+                break
+            continue
+        size = names.size()
+        guess = held.guess(min(ahead, merges - len(found)), least, names.name, allowed, hint)
+        # A merge of a token that the guess makes touches only segments that the making of this token touches.
+        made = {new for _, new in guess}
+        strings = [names.text(a) + names.text(b) for (a, b), _ in guess if a not in made and b not in made]
+        beside = set().union(*(held.beside(pair) for pair, _ in guess))
+        floor = least if held.bound is None else max(least, -held.bound[0])
+        changes = segments.changes(done, guess, strings, beside, floor)
+        names.forget(size)
+        # The names of merges in the guess, and those that they have in the order in which they are taken.
+        named, rest = {}, list(range(len(guess)))
+
+        def now_named(pair: Pair) -> Pair:
+            return tuple(named.get(t) if t in made else t for t in pair)
+
+        while len(found) < merges and (now := held.best()) is not None and now[1] >= least:
+            j = next((k for k in rest if now_named(guess[k][0]) == now[0]), None)
+            if j is None or not all(changes.commute(guess, i, j) for i in rest if i < j):
+                break
+            rest.remove(j)
+            new = named[guess[j][1]] = names.name(now[0])
+            done.ranks[now[0]] = len(found), new
+            found.append((*now[0], int(now[1])))
+            for pair, n in changes.by_step[j].items():
+                other = now_named(pair)
+                if None not in other and (other in held.counts or (n >= least and allowed(other))):
+                    held.add(other, n)
+        left = {guess[k][1]: now_named(guess[k][0]) for k in rest}
+        token = lambda t: left[t] if t in left else named.get(t, t)  # noqa: B023, E731
+        for k in rest:
+            pair = guess[k][0]
+            if not any(t in left for t in pair):
+                hints[now_named(pair)] = [((token(x), token(y)), n) for (x, y), n in changes.by_step[k].items()]
+        ahead = min(batch, max(AHEAD, 3 * (len(guess) - len(rest))))
+    return found, done
+
+
+def learn_strings(segments: DataFrame, merges: int, min_freq: int, policy: Policy, batch: int, longest: int = 0) -> tuple[list[tuple[str, str, int]], DataFrame]:
+    """The merges (a, b, frequency) over tokens as strings, and tokens, w."""
+    table = Segments(segments, merges >= INDEX_FROM)
+    allowed = lambda p: not longest or len(p[0]) + len(p[1]) <= longest
+    only = F.length("a") + F.length("b") <= longest if longest else F.lit(True)
+    found, done = learn(table, merges, min_freq, policy, batch, Strings(), list, allowed, [F.col("a"), F.col("b")], only)
+    table.remove()
+    return found, table.tokens(done)
 
 
 def learn_merges(
-    segments: DataFrame, merges: int, min_freq: int = 0, policy: Policy = CHARACTERS, batch: int = 16, ids: list[str] | None = None, longest: int = 0
+    segments: DataFrame, merges: int, min_freq: int = 0, policy: Policy = CHARACTERS, batch: int = 256, ids: list[str] | None = None, longest: int = 0
 ) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """The merges (a, b, frequency) in order and the final (state, w). `segments`: (seg, w).
 
@@ -123,16 +344,14 @@ def learn_merges(
     """
     if policy.by_id:
         # Untagged words, in terms of strings.
-        words = segments.select(F.col("seg").alias("word"), F.col("w").alias("freq"))
         order = [PAD, UNK, *(x for x in ids or [] if x not in (PAD, UNK))]
-        table = segments.sparkSession.createDataFrame(list(enumerate(order)), "id long, c string")
-        learner = WordLearner(words, table, False, False)
-        found, state = learner.run(merges, min_freq, longest, batch)
-        strings = [(learner.text(a), learner.text(b), n) for a, b, n in found]
-        shown = learner.shown(state, "", "").select(wrapped(F.col("tokens"), policy.mark).alias("state"), "w")
-        return strings, shown
-    allowed = F.length("a") + F.length("b") <= longest if longest else F.lit(True)
-    return learn(start_state(segments, policy.mark), merges, min_freq, policy, batch, [F.col("a"), F.col("b")], allowed, lambda a, b: a + b)
+        learner = WordLearner(segments, order, False, False, merges >= INDEX_FROM)
+        found, done = learner.run(merges, min_freq, longest, batch)
+        tokens = learner.segments.tokens(done, Shown(learner.strings, "", ""))
+        found = [(learner.text(a), learner.text(b), n) for a, b, n in found]
+    else:
+        found, tokens = learn_strings(segments, merges, min_freq, policy, batch, longest)
+    return found, tokens.select(wrapped(F.col("tokens"), policy.mark).alias("state"), "w")
 
 
 def vocabulary(spark: SparkSession, merges: list[tuple[str, str, int]]) -> DataFrame:
@@ -163,7 +382,7 @@ class TextOptions:
             raise ValueError("vocab_size and min_freq must not be negative")
 
 
-def train_texts(docs: DataFrame, options: TextOptions, text: str = "text", batch: int = 16) -> tuple[DataFrame, DataFrame]:
+def train_texts(docs: DataFrame, options: TextOptions, text: str = "text", batch: int = 256) -> tuple[DataFrame, DataFrame]:
     """The vocabulary (rank, token, freq) of a table of texts, single characters first if asked for, and the final (state, w)."""
     segments = Written(weighted_segments(docs, text), "segments").table
     spark = docs.sparkSession
@@ -204,47 +423,85 @@ class WordOptions:
 RAW = T.END - 1
 
 
-class WordLearner:
-    """Merges over tagged ids. In the state a token is `id/length`, so order and length need no lookup."""
+def number(token: str) -> int:
+    return int(token.split("/")[0])
+
 
-    def __init__(self, words: DataFrame, alphabet: DataFrame, begin: bool, end: bool):
-        self.strings = [r["c"] for r in alphabet.orderBy("id").collect()]
+@dataclass(frozen=True)
+class TaggedCharacters:
+    """The first tokens of a word: `id/1` of its characters, with bits on the first and last if asked for."""
+
+    ids: dict[str, int]
+    begin: bool
+    end: bool
+
+    def __call__(self, word: str) -> list[str]:
+        found = [self.ids.get(c, 1) for c in word]
+        if self.begin and found:
+            found[0] |= T.BEGIN
+        if self.end and found:
+            found[-1] |= T.END
+        return [f"{i}/1" for i in found]
+
+
+@dataclass(frozen=True)
+class Shown:
+    """A token as displayed; the strings are the model's, a bounded number."""
+
+    strings: list[str]
+    prefix: str
+    suffix: str
+
+    def __call__(self, token: str) -> str:
+        tagged = number(token)
+        return (PAD, UNK)[tagged] if tagged < 2 else shown(self.strings[tagged & RAW], tagged, self.prefix, self.suffix)
+
+
+class WordLearner(Strings):
+    """Merges over tagged ids. A token is `id/length`, so order and length need no lookup."""
+
+    def __init__(self, words: DataFrame, alphabet: list[str], begin: bool, end: bool, indexed: bool):
+        self.strings = list(alphabet)
         self.raw = {s: i for i, s in enumerate(self.strings)}
-        found = tagged_ids(words, alphabet, begin, end)
-        tokens = F.transform("ids", lambda x: F.concat(x.cast("string"), F.lit("/1")))
-        self.start = found.select(wrapped(tokens, WORDS.mark).alias("state"), F.col("freq").alias("w"))
+        self.start = TaggedCharacters(dict(self.raw), begin, end)
+        self.segments = Segments(words, indexed)
 
     def text(self, token: str) -> str:
-        return self.strings[int(token.split("/")[0]) & RAW]
+        return self.strings[number(token) & RAW]
 
-    def name(self, a: str, b: str) -> str:
+    def name(self, pair: Pair) -> str:
         """The merged token: the id of its string, a new one if it has none, with the tags of both parts."""
-        (x, m), (y, n) = ((int(k) for k in t.split("/")) for t in (a, b))
-        string = self.text(a) + self.text(b)
+        (x, m), (y, n) = ((int(k) for k in t.split("/")) for t in pair)
+        string = self.strings[x & RAW] + self.strings[y & RAW]
         if string not in self.raw:
             self.raw[string] = len(self.strings)
             self.strings.append(string)
         return f"{self.raw[string] | (x & ~RAW) | (y & ~RAW)}/{m + n}"
 
-    def run(self, merges: int, min_freq: int, longest: int, batch: int = 16) -> tuple[list[tuple[str, str, int]], DataFrame]:
-        number = lambda c: F.substring_index(c, "/", 1).cast("long")
-        length = lambda c: F.substring_index(c, "/", -1).cast("long")
-        known = lambda c: number(c).bitwiseAND(F.lit(RAW)) >= 2
-        allowed = known("a") & known("b")
-        if longest:
-            allowed &= length("a") + length("b") <= longest
-        return learn(self.start, merges, min_freq, WORDS, batch, [number("a"), number("b")], allowed, self.name)
-
-    def shown(self, state: DataFrame, prefix: str, suffix: str) -> DataFrame:
-        """tokens (as displayed), w of a state. The strings are the model's, a bounded number, and broadcast."""
-        spark = state.sparkSession
-        names = spark.createDataFrame(list(enumerate(self.strings)), "raw long, string string")
-        tokens = F.transform(tokens_of(F.col("state"), WORDS.mark), lambda t: F.substring_index(t, "/", 1).cast("long"))
-        rows = state.withColumn("row", F.monotonically_increasing_id()).select("row", "w", F.posexplode(tokens).alias("i", "id"))
-        rows = rows.withColumn("raw", F.col("id").bitwiseAND(F.lit(RAW))).join(F.broadcast(names), "raw", "left")
-        each = F.struct("i", T.display(F.col("string"), F.col("id"), prefix, suffix).alias("t")).alias("x")
-        placed = rows.select("row", "w", each).groupBy("row", "w").agg(F.array_sort(F.collect_list("x")).alias("x"))
-        return placed.select(F.transform("x", lambda x: x["t"]).alias("tokens"), "w")
+    def order(self, pair: Pair) -> tuple:
+        return number(pair[0]), number(pair[1])
+
+    def size(self) -> int:
+        return len(self.strings)
+
+    def forget(self, size: int) -> None:
+        for string in self.strings[size:]:
+            del self.raw[string]
+        del self.strings[size:]
+
+    def run(self, merges: int, min_freq: int, longest: int, batch: int = 256) -> tuple[list[tuple[str, str, int]], Merges]:
+        at = lambda c: F.substring_index(c, "/", 1).cast("long")
+        size = lambda c: F.substring_index(c, "/", -1).cast("long")
+        only = (at("a").bitwiseAND(F.lit(RAW)) >= 2) & (at("b").bitwiseAND(F.lit(RAW)) >= 2)
+        only &= size("a") + size("b") <= longest if longest else F.lit(True)
+
+        def allowed(pair: Pair) -> bool:
+            (x, m), (y, n) = ((int(k) for k in t.split("/")) for t in pair)
+            return x & RAW >= 2 and y & RAW >= 2 and (not longest or m + n <= longest)
+
+        out = learn(self.segments, merges, min_freq, WORDS, batch, self, self.start, allowed, [at("a"), at("b")], only)
+        self.segments.remove()
+        return out
 
 
 @dataclass
@@ -260,24 +517,25 @@ class WordModel:
     options: WordOptions
 
 
-def train_words(words: DataFrame, options: WordOptions, batch: int = 16) -> WordModel:
+def train_words(words: DataFrame, options: WordOptions, batch: int = 256) -> WordModel:
     """A model from words (word, freq). Model ids: alphabet ids from 2 on, then tagged characters in order, then merges."""
     spark = words.sparkSession
     words = Written(words, "words").table
     letters = alphabet(words, options.initial_alphabet, options.special_tokens, options.limit_alphabet)
     letters = spark.createDataFrame(letters.orderBy("id").collect(), "id long, c string")
     begin, end = options.continuing_subword_prefix != "", options.end_of_word_suffix != ""
-    learner = WordLearner(words, letters, begin, end)
-    n = len(learner.strings)
-    used = learner.start.select(F.explode(tokens_of(F.col("state"), WORDS.mark)).alias("t")).distinct()
-    seen = {0, *(int(r["t"].split("/")[0]) for r in used.collect())} if begin or end else set(range(n))
+    order = [r["c"] for r in letters.collect()]
+    n = len(order)
+    learner = WordLearner(words.toDF("seg", "w"), order, begin, end, options.vocab_size - n >= INDEX_FROM)
+    used = learner.segments.tokens(Merges(learner.start, False)).select(F.explode("tokens").alias("t")).distinct()
+    seen = {0, *(number(r["t"]) for r in used.collect())} if begin or end else set(range(n))
     base = [*range(2, n), *sorted(seen - set(range(n)))]
-    found, state = learner.run(max(0, options.vocab_size + 2 - len(seen)), options.min_frequency, options.max_piece_length, batch)
+    found, done = learner.run(max(0, options.vocab_size + 2 - len(seen)), options.min_frequency, options.max_piece_length, batch)
     to_model = {t: i for i, t in enumerate(base)}
     show = lambda t: shown(learner.strings[t & RAW], t, options.continuing_subword_prefix, options.end_of_word_suffix)
     tokens, merges = [show(t) for t in base], []
     for k, (a, b, freq) in enumerate(found):
-        x, y, new = (int(t.split("/")[0]) for t in (a, b, learner.name(a, b)))
+        x, y, new = map(number, (a, b, learner.name((a, b))))
         merges.append((k, to_model[x], to_model[y], len(tokens), freq))
         to_model[new] = len(tokens)
         tokens.append(show(new))
@@ -286,7 +544,7 @@ def train_words(words: DataFrame, options: WordOptions, batch: int = 16) -> Word
         spark.createDataFrame(merges, "rank long, x long, y long, new long, freq long"),
         spark.createDataFrame([(t, i) for i, t in enumerate(base)], "tagged long, id long"),
         letters,
-        learner.shown(state, options.continuing_subword_prefix, options.end_of_word_suffix),
+        learner.segments.tokens(done, Shown(learner.strings, options.continuing_subword_prefix, options.end_of_word_suffix)),
         options,
     )
 
