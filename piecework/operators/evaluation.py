@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +31,43 @@ def f1_matrix(found: DataFrame, doc: str = "doc", method: str = "method") -> Dat
     both = every.join(common, ["pred", "true"], "left")
     n = F.coalesce("n_common", F.lit(0).cast("long"))
     return both.select("pred", "true", n.alias("n_common"), F.round(2 * n / (F.col("n_pred") + F.col("n_true")), 10).alias("f1"))
+
+
+def ends_of(tokens: pa.ListArray) -> list[np.ndarray]:
+    """For each list the offsets at which its tokens end, empty tokens left out; a null list has none."""
+    import pyarrow.compute as pc
+
+    sizes = pc.utf8_length(tokens.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    parts = (sizes[a:b] for a, b in zip(edges, edges[1:], strict=False))
+    return [np.cumsum(x[x > 0]) for x in parts]
+
+
+def common_spans(one: np.ndarray, two: np.ndarray) -> int:
+    """Spans that two cuttings of a text share, from bitmaps of their boundaries.
+
+    A span is shared if its two ends are boundaries of both cuttings and neither has a boundary between: neighbours in
+    the union of the bitmaps that both stand in the intersection.
+    """
+    bits = np.zeros((2, 1 + max(one.max(initial=0), two.max(initial=0))), bool)
+    bits[:, 0] = bits[0, one] = bits[1, two] = True
+    both = (bits[0] & bits[1])[bits[0] | bits[1]]
+    return int((both[:-1] & both[1:]).sum())
+
+
+def f1_of_cuttings(cut: DataFrame, methods: list[str]) -> DataFrame:
+    """pred, true, n_common, f1 for every two of the token columns `methods` over all rows; 0 where nothing is shared.
+
+    Each row's cuttings meet in the row itself; sums of a batch are all that is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = {m: ends_of(batch[m]) for m in methods}
+            sizes = {m: sum(map(len, ends[m])) for m in methods}
+            rows = [(a, b, sum(map(common_spans, ends[a], ends[b])), sizes[a] + sizes[b]) for a, b in product(methods, methods)]
+            kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["pred", "true", "n", "sizes"])
+
+    sums = cut.select(*methods).mapInArrow(run, "pred string, true string, n long, sizes long").groupBy("pred", "true").agg(F.sum("n").alias("n_common"), F.sum("sizes").alias("sizes"))
+    return sums.select("pred", "true", "n_common", F.round(F.when(F.col("sizes") > 0, 2 * F.col("n_common") / F.col("sizes")).otherwise(0.0), 10).alias("f1"))

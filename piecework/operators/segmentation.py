@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,32 +14,46 @@ from piecework.functions import text as X
 from piecework.operators.merging import merge_by_rank
 from piecework.operators.training import WordModel
 
-Tokens = Callable[[str, dict[str, int], int], list[str]]
 #: The largest vocabulary that is broadcast; about 100 bytes a token.
 MOST_TOKENS = 1_000_000
 #: Distinct runs a task remembers before it starts anew, and the longest that it remembers.
 MEMO, LONG = 100_000, 200
 
 
-def forward(text: str, vocab: dict[str, int], longest: int) -> list[str]:
-    out, at = [], 0
-    while at < len(text):
-        size = next((k for k in range(min(longest, len(text) - at), 1, -1) if text[at : at + k] in vocab), 1)
-        out.append(text[at : at + size])
-        at += size
-    return out
-
-
-def backward(text: str, vocab: dict[str, int], longest: int) -> list[str]:
-    out, end = [], len(text)
-    while end:
-        size = next((k for k in range(min(longest, end), 1, -1) if text[end - k : end] in vocab), 1)
-        out.append(text[end - size : end])
-        end -= size
-    return out[::-1]
+class Trie:
+    """Longest matches of tokens in one walk: the time goes by the characters that match, not by the longest token."""
+
+    END = ""
+
+    def __init__(self, tokens: Iterable[str]):
+        self.root: dict = {}
+        for token in tokens:
+            node = self.root
+            for c in token:
+                node = node.setdefault(c, {})
+            node[self.END] = True
+
+    def longest(self, text: str, at: int) -> int:
+        """Length of the longest token that begins at `at`; 1 if none does."""
+        node, best = self.root, at + 1
+        for k in range(at, len(text)):
+            node = node.get(text[k])
+            if node is None:
+                break
+            if self.END in node:
+                best = k + 1
+        return max(best - at, 1)
+
+    def cut(self, text: str) -> list[str]:
+        out, at = [], 0
+        while at < len(text):
+            size = self.longest(text, at)
+            out.append(text[at : at + size])
+            at += size
+        return out
 
 
-def by_merges(text: str, vocab: dict[str, int], longest: int) -> list[str]:  # noqa: ARG001
+def by_merges(text: str, vocab: dict[str, int]) -> list[str]:
     """Joins, again and again, the neighbours whose concatenation is the most frequent token; equal neighbours from the right."""
 
     def rank(a: str, b: str) -> tuple | None:
@@ -49,7 +63,7 @@ def by_merges(text: str, vocab: dict[str, int], longest: int) -> list[str]:  # n
     return merge_by_rank(list(text), rank, str.__add__, True)
 
 
-WAYS: dict[str, Tokens] = {"forward": forward, "backward": backward, "merges": by_merges}
+WAYS = ["forward", "backward", "merges"]
 METHODS = [*WAYS, "bidirectional"]
 
 
@@ -58,12 +72,24 @@ class Cutter:
     such characters are cut on their own, and each distinct run once as long as it is remembered."""
 
     def __init__(self, vocab: dict[str, int]):
-        self.vocab = vocab
-        self.longest = max(map(len, vocab), default=1)
+        self.vocab, self.tries = vocab, {}
         letters = "".join(sorted({re.escape(c) for t in vocab if len(t) > 1 for c in t}))
         self.runs = re.compile(f"[{letters}]+|." if letters else ".", re.DOTALL)
         self.known: dict[str, dict[str, list[str]]] = {k: {} for k in WAYS}
 
+    def trie(self, back: bool) -> Trie:
+        """The tokens, or the tokens read backward; made when first asked for."""
+        if back not in self.tries:
+            self.tries[back] = Trie(t[::-1] if back else t for t in self.vocab)
+        return self.tries[back]
+
+    def run(self, run: str, way: str) -> list[str]:
+        if way == "merges":
+            return by_merges(run, self.vocab)
+        if way == "forward":
+            return self.trie(False).cut(run)
+        return [t[::-1] for t in self.trie(True).cut(run[::-1])[::-1]]
+
     def cut(self, text: str, way: str) -> list[str]:
         known, out = self.known[way], []
         for run in self.runs.findall(text):
@@ -72,7 +98,7 @@ class Cutter:
             elif (found := known.get(run)) is not None:
                 out += found
             else:
-                found = WAYS[way](run, self.vocab, self.longest)
+                found = self.run(run, way)
                 if len(run) <= LONG:
                     if len(known) >= MEMO:
                         known.clear()
@@ -115,9 +141,18 @@ def segment(docs: DataFrame, vocab: DataFrame, method: str, text: str = "text")
 
 
 def segment_all(docs: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, method, tokens: each text cut in every way."""
-    parts = [segment(docs.select(*keys, text), vocab, m, text).select(*keys, F.lit(m).alias("method"), "tokens") for m in METHODS]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    """keys and a column of tokens for each of METHODS: the texts are read once and cut in every way."""
+    model = docs.sparkSession.sparkContext.broadcast(_model(vocab))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(model.value)
+        for batch in batches:
+            texts = [x.as_py() or "" for x in batch["_text"]]
+            tokens = [pa.array([cutter.tokens(x, m) for x in texts], pa.list_(pa.string())) for m in METHODS]
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *tokens], [*keys, *METHODS])
+
+    rows = docs.select(*keys, F.col(text).alias("_text"))
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(m, T.ArrayType(T.StringType())) for m in METHODS)]))
 
 
 def encode_words(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
@@ -180,3 +215,20 @@ def known_characters(tokens: list[str], text: str, unknown: str = "<UNK>") -> li
         out.append(text[at : at + 1] if t == unknown else t)
         at += 1 if t == unknown else len(t)
     return out
+
+
+def with_known_characters(rows: DataFrame, tokens: str = "tokens", text: str = "text", unknown: str = "<UNK>") -> DataFrame:
+    """`rows` with unknown tokens of the array `tokens` replaced by the characters of `text`, at a running offset.
+
+    An unknown token stands for one character, and tokens leave nothing out; past the end it becomes an empty string. Null
+    tokens stay null, a null text counts as empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch[tokens].to_pylist(), batch[text].to_pylist(), strict=True)
+            found = [None if t is None else known_characters(t, x or "", unknown) for t, x in pairs]
+            at = batch.schema.get_field_index(tokens)
+            yield batch.set_column(at, batch.schema.field(at).name, pa.array(found, pa.list_(pa.string())))
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(tokens, T.ArrayType(T.StringType())) if f.name == tokens else f for f in rows.schema.fields]))

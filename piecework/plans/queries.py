@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piecework.functions import text as T
-from piecework.operators import counts, evaluation, segmentation, training
-from piecework.sources import files
+from piecework.operators import counts, evaluation, segmentation, store, training
+from piecework.sources import files, models
 
 MERGES = 6
 SPECIAL, INITIAL, LIMIT = ["<S>"], ["z"], 40
@@ -150,56 +152,62 @@ VOCABULARY, LEAST = 500, 1
 MODEL = training.WordOptions(vocab_size=VOCABULARY, min_frequency=2, special_tokens=SPECIAL, continuing_subword_prefix="##", end_of_word_suffix="</w>", max_piece_length=12)
 
 
-#: What a session has learned from a folder of tables, which do not change: queries that use a model share it.
-_LEARNED_BY: dict[tuple, object] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, learn):  # noqa: ANN001, ANN202
-    key = spark.sparkContext.applicationId, sf_dir, learn.__name__
-    if key not in _LEARNED_BY:
-        _LEARNED_BY[key] = learn(spark, sf_dir)
-    return _LEARNED_BY[key]
-
-
 def _learned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = training.TextOptions(VOCABULARY, LEAST, single_char=False)
-    return training.train_texts(_docs(spark, sf_dir), options, batch=64)[0]
+    return training.train_texts(_docs(spark, sf_dir), options)[0]
 
 
 def _learned_words(spark: SparkSession, sf_dir: str) -> training.WordModel:
-    return training.train_words(_words(spark, sf_dir), MODEL, batch=64)
+    return training.train_words(_words(spark, sf_dir), MODEL)
 
 
 def train_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rank, token, freq of a vocabulary of VOCABULARY tokens of two characters and more, from all documents."""
-    return _once(spark, sf_dir, _learned_texts)
+    return _learned_texts(spark, sf_dir)
 
 
 def segment_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, method, n_tokens, n_single: all documents, without spaces, cut four ways by the learned vocabulary."""
     found = segmentation.segment_all(files.without_spaces(_docs(spark, sf_dir)), train_vocabulary(spark, sf_dir), ["doc_id"])
-    return found.select("doc_id", "method", F.size("tokens").alias("n_tokens"), T.single_count(F.col("tokens")).alias("n_single"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.size(m).alias("n_tokens"), T.single_count(F.col(m)).alias("n_single")) for m in segmentation.METHODS)))
+    return found.select("doc_id", each.alias("x")).select("doc_id", "x.*")
 
 
 def f1_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of the four ways against each other over all documents."""
     found = segmentation.segment_all(files.without_spaces(_docs(spark, sf_dir)), train_vocabulary(spark, sf_dir), ["doc_id"])
-    return evaluation.f1_matrix(evaluation.spans(found.withColumnRenamed("doc_id", "doc"), ["doc", "method"]))
+    return evaluation.f1_of_cuttings(found, segmentation.METHODS)
 
 
 def word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model of words as one table: id, token, and x, y, freq where a merge gave the token."""
-    model = _once(spark, sf_dir, _learned_words)
+    model = _learned_words(spark, sf_dir)
     return model.vocab.join(model.merges.select(F.col("new").alias("id"), "x", "y", "freq"), "id", "left")
 
 
 def word_model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word, n_ids, ids, text: every distinct word as ids of the model and back."""
-    model = _once(spark, sf_dir, _learned_words)
+    """word, n_ids, ids, text: every distinct word as ids of the model, saved and loaded again, and back."""
+    path = f"{store.shared_folder(spark)}/word-model-{uuid.uuid4().hex}"
+    models.save_model(_learned_words(spark, sf_dir), path)
+    model = models.load_model(spark, path)
     found = segmentation.decode_ids(segmentation.encode_ids(_words(spark, sf_dir), model), model)
     return found.select("word", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), "text")
 
 
+def known_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens: pieces of all documents as a tool gives them that knows no delimiter, the unknown ones put back."""
+    pieces = F.transform(T.with_delimiters(F.col("text")), lambda t: F.when(F.instr(F.lit(T.DELIMITERS), t) > 0, "<UNK>").otherwise(t))
+    found = segmentation.with_known_characters(_docs(spark, sf_dir).withColumn("tokens", pieces))
+    return found.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", "|").cast("binary")).alias("digest"))
+
+
+def f1_cuttings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of three ways to cut all documents against each other, from boundaries in the row."""
+    text = F.col("text")
+    ways = {"chars": T.chars(text), "puncs": T.with_delimiters(text), "joined": T.joined_pieces(F.replace(text, F.lit("th"), F.lit("t@@ h")))}
+    return evaluation.f1_of_cuttings(_docs(spark, sf_dir).select(*(x.alias(k) for k, x in ways.items())), list(ways))
+
+
 def split_with_puncs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _benchmark(spark, sf_dir).select("item_id", F.posexplode(T.with_delimiters(F.col("text"))).alias("pos", "token"))
 
@@ -229,7 +237,7 @@ QUERIES = {
     for f in (
         normalize_segments, line_dup_ratio, char_freq, pair_freq_init, pair_freq_pruned, top_pairs, word_counts, alphabet_ids, alphabet_limited,
         encode_words_ids, weighted_pairs_v2, train_merges_v1, train_merges_v2, token_usage, vocab_dump, encode_words_merges, display_tokens,
-        bpe_tokenize, train_vocabulary, segment_methods, f1_methods, word_model, word_model_round_trip, split_with_puncs, nmt_parse, spans, f1_matrix,
+        bpe_tokenize, train_vocabulary, segment_methods, f1_methods, word_model, word_model_round_trip, known_characters, f1_cuttings, split_with_puncs, nmt_parse, spans, f1_matrix,
     )
 } | {f"decode_{m}": _segmented(m) for m in ("forward", "backward", "bidirectional")}
 
@@ -318,6 +326,11 @@ ORACLES = {
     "display_tokens": f"""WITH {_WORD}, {_alphabet(INITIAL, SPECIAL, LIMIT)} SELECT id | tag AS tagged,
         CASE WHEN id | tag = 0 THEN '<PAD>' WHEN id | tag = 1 THEN '<UNK>' ELSE (CASE WHEN tag & {T.BEGIN} <> 0 THEN '' ELSE '#' END) || c || (CASE WHEN tag & {T.END} <> 0 THEN '@' ELSE '' END) END AS shown
         FROM alphabet, (VALUES (0::BIGINT), ({T.BEGIN}::BIGINT), ({T.END}::BIGINT), ({T.BEGIN | T.END}::BIGINT)) t(tag) WHERE id >= 2 OR tag = 0""",
+    "known_characters": f"SELECT doc_id, len({_tokens()}) AS n_tokens, md5(array_to_string({_tokens()}, '|')) AS digest FROM documents",
+    "f1_cuttings": f"""WITH {_SPANS.replace("item_id AS doc", "doc_id AS doc").replace("SELECT item_id", "SELECT doc_id").replace("benchmark", "documents")}, sizes AS (SELECT method, count(*) AS n FROM spans GROUP BY 1),
+        common AS (SELECT x.method AS pred, y.method AS "true", count(*) AS n FROM spans x JOIN spans y USING (doc, start, "end") GROUP BY 1, 2)
+        SELECT p.method AS pred, t.method AS "true", coalesce(c.n, 0) AS n_common, round(2 * coalesce(c.n, 0) / (p.n + t.n), 10) AS f1
+        FROM sizes p CROSS JOIN sizes t LEFT JOIN common c ON c.pred = p.method AND c."true" = t.method""",
     "split_with_puncs": _exploded(_tokens()),
     "nmt_parse": _exploded(_JOINED),
     "spans": f"WITH {_SPANS} SELECT * FROM spans",
