@@ -37,7 +37,7 @@ GATHER = 1_000_000
 ORDERS = 3
 #: Bytes of text whose prefixes or sets a task makes at a time.
 BLOCK = 1 << 21
-#: Tokens in more prefixes than this are left to the next order, except in the last.
+#: Documents of two neighbouring size classes under one token that are compared at once; more are left to the next order, except in the last.
 HOT = 64
 
 
@@ -321,17 +321,26 @@ class NgramJoin:
             rows = rows.join(tokens, "token")
             # Tokens that list the same nodes are as one, at the place of the first.
             rows = cut(rows.groupBy("list", "n", "node", "size", "component").agg(F.min("place").alias("place")), "rows-apart")
-            few = rows if k == ORDERS - 1 else rows.where(F.col("n") <= HOT)
-            few = cut(few.join(nodes.select("node", "odd"), "node").withColumn("class", size_class), "rows-apart")
-            other = few.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
-            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("list", "class")]
-            met = few.alias("x").join(other.alias("y"), [*same, fits])
+            rows = rows.withColumn("class", size_class)
+            # A node stands under its own class and, to be met by those, under the next.
+            beside = F.explode(F.array("class", F.col("class") + 1)).alias("under")
+            if k < ORDERS - 1:
+                # Of a list only those classes are left to the next order in which too many would be compared.
+                many = rows.where(F.col("n") > HOT).select("list", "node", "class", beside)
+                own = F.max((F.col("class") == F.col("under")).cast("int"))
+                crowded = many.groupBy("list", "under").agg(F.count(F.lit(1)).alias("m"), own.alias("own")).where((F.col("m") > HOT) & (F.col("own") > 0))
+                crowded = cut(crowded.select("list", "under"), "crowded")
+                hot = cut(many.join(crowded, ["list", "under"], "left_semi").select("node").distinct(), "hot")
+            few = cut(rows.join(nodes.select("node", "odd"), "node"), "rows-apart")
+            own, other = few.withColumn("under", F.col("class")), few.select("*", beside)
+            if k < ORDERS - 1 and not hot.isEmpty():
+                own = own.join(crowded, ["list", "under"], "left_anti")
+            same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("list", "under")]
+            met = own.alias("x").join(other.alias("y"), [*same, fits])
             met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
             pairs = met if pairs is None else pairs.union(met)
-            if k < ORDERS - 1:
-                hot = cut(rows.where(F.col("n") > HOT).select("node").distinct(), "hot")
-                if hot.isEmpty():
-                    break
+            if k < ORDERS - 1 and hot.isEmpty():
+                break
         return cut(pairs.distinct(), "pairs-apart")
 
     def components(self) -> DataFrame:
