@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piecework.llm.common import cut
+from piecework.llm.hashing import blocks
 
 #: Labelled rows that are used at most: those with the least hash of their id.
 SAMPLE = 24_000
@@ -30,7 +31,7 @@ TERMS, LEAST_TEXTS, LEAST_ODDS = 5_000, 4, 2.0
 STEMS = (4, 5)
 NEAR = 4
 #: Words that a task remembers, and their letters, before it starts anew.
-MEMO, LETTERS = 400_000, 20_000_000
+MEMO, LETTERS = 100_000, 4_000_000
 # Second-person words of the languages at hand.
 SECOND = set("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros su tus".split())
 # Digits and signs that stand for letters.
@@ -114,7 +115,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(shared.value)
-        for batch in batches:
+        for batch in blocks(batches, text_col):
             found = [features(x.as_py() or "", known) for x in batch[text_col]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, "_features"])
 
