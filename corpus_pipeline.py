@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piecework.llm.common import cut, documents, labels, packed, text_or_empty
+from piecework.llm.common import cut, documents, labels, packed, text_or_empty, unpacked
 from piecework.llm.exact_dedup import fresh_index, without_copies
 from piecework.llm.mixing import label_domains, mix, repeats
 from piecework.llm.ngram_join import ngram_classes
@@ -29,7 +29,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     learn from nothing goes; an empty table stays empty.
     """
     model = fit_toxicity(docs, labels(spark, sf_dir).where(~held_out(5)))
-    return model.score(packed(docs)).where("_score < 0.5").select("_row.*")
+    return unpacked(model.score(packed(docs)).where("_score < 0.5"), docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     grouped = cut(classes.join(groups, "component_id").join(sizes, "row").select("row", "component_id", "rank"), "near-groups")
     best = grouped.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
     losers = grouped.select("row").join(best, "row", "left_anti")
-    return rows.join(losers, "row", "left_anti").select("_row.*")
+    return unpacked(rows.join(losers, "row", "left_anti"), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     domains = label_domains(labels(spark, sf_dir)).where(F.col("domain").isin(list(TARGETS)))
     rated = mix(packed(docs), domains, TARGETS).withColumn("_repeats", repeats()).where("_repeats > 0")
-    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).select("_row.*")
+    return unpacked(rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,5 +61,10 @@ def lower_ascii(column: Column) -> Column:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and _row, the whole row: helper columns then cannot clash with columns of `docs`; `_row.*` unpacks."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    """doc_id, text and _row, the other columns: helper columns then cannot clash with columns of `docs`, and the text goes along once."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` again, of rows that `packed` made and that may have other columns by now."""
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))

@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piecework.llm.common import WHITE, cut, fresh_path, packed, task_count, text_or_empty
+from piecework.llm.common import WHITE, cut, fresh_path, packed, task_count, text_or_empty, unpacked
 
 
 def normalised(text: str) -> Column:
@@ -106,6 +106,6 @@ def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
 def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of `docs` that stay, with the columns of `docs`. Of rows that repeat id and text one stays."""
     kept = exact_dedup(docs, index).where("kept").select("doc_id", "text_sha256").distinct()
-    keyed = packed(docs).withColumn("text_sha256", F.sha2(normalised("text"), 256)).drop("text")
+    keyed = packed(docs).withColumn("text_sha256", F.sha2(normalised("text"), 256))
     same = [keyed["doc_id"].eqNullSafe(kept["doc_id"]), keyed["text_sha256"] == kept["text_sha256"]]
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select("_row.*")
+    return unpacked(keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]), docs)
