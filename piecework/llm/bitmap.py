@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 SHARE, MOST = 64, 30
 
 
-def collect_bitmap(keys: DataFrame, column: str | Column) -> np.ndarray:
+def collect_bitmap(keys: DataFrame, column: str | Column, share: int = SHARE) -> np.ndarray:
     """A bit for the low bits of each key of a (written) table; parts of 4 KB are built in the cluster.
 
-    The number of bits goes by that of the keys; at most 2**MOST / 8 bytes come here.
+    There are `share` to 2 * `share` bits for each key, of which one in as many is hit by other keys; at most 2**MOST / 8 bytes come here.
     """
-    bits = min(MOST, max(16, (SHARE * keys.count()).bit_length()))
+    bits = min(MOST, max(16, (share * keys.count()).bit_length()))
     key = F.col(column) if isinstance(column, str) else column
     slot = key.bitwiseAND(F.lit((1 << bits) - 1)).cast("long") + 1
     parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))

@@ -37,6 +37,8 @@ GATHER = 1_000_000
 ORDERS = 3
 #: Bytes of text whose prefixes or sets a task makes at a time.
 BLOCK = 1 << 21
+#: Bits of a bitmap for each key: every task that uses one holds it whole.
+SHARE = 16
 #: Documents of two neighbouring size classes under one token that are compared at once; more are left to the next order, except in the last.
 HOT = 64
 
@@ -150,8 +152,8 @@ class NgramJoin:
         #: doc_id, node (null for empty sets), size
         self.members = scanned.where("kind = 0").drop("kind")
         often = cut(scanned.where("kind > 0").select("kind", "node").distinct(), "often")
-        self.common = self.spark.sparkContext.broadcast(collect_bitmap(often.where("kind = 1"), F.expr("shiftrightunsigned(node, 1)")))
-        self.frequent = self.spark.sparkContext.broadcast(collect_bitmap(often.where("kind = 2"), "node"))
+        self.common = self.spark.sparkContext.broadcast(collect_bitmap(often.where("kind = 1"), F.expr("shiftrightunsigned(node, 1)"), share=SHARE))
+        self.frequent = self.spark.sparkContext.broadcast(collect_bitmap(often.where("kind = 2"), "node", share=SHARE))
 
     def _scan(self):  # noqa: ANN202
         """Rows of three kinds: a document's set; a common token (in node); a frequent word (in node)."""
@@ -280,7 +282,7 @@ class NgramJoin:
         wanted = cut(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
         if wanted.isEmpty():
             return near
-        sets = cut(self._sets(collect_bitmap(wanted, "node")), "sets")
+        sets = cut(self._sets(collect_bitmap(wanted, "node", share=SHARE)), "sets")
         # The sets of the b side, central documents, are few in the first round.
         sets_b = sets.join(cut(near.select(F.col("b").alias("node")).distinct(), "wanted"), "node", "left_semi")
         shared = F.size(F.array_intersect("tokensa", "tokensb")).cast("long")
@@ -346,7 +348,7 @@ class NgramJoin:
     def components(self) -> DataFrame:
         """node, component for the nodes that link with another."""
         tokens = self._tokens().groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-        shared = collect_bitmap(cut(tokens.select("token"), "shared-tokens"), F.expr("shiftrightunsigned(token, 1)"))
+        shared = collect_bitmap(cut(tokens.select("token"), "shared-tokens"), F.expr("shiftrightunsigned(token, 1)"), share=SHARE)
         nodes = cut(self._prefixes(shared), "prefixes")
         rows = nodes.select("node", "size", "rare", F.explode(F.arrays_zip("prefix0", "places")).alias("t"))
         rows = rows.select("node", "size", "rare", F.col("t.prefix0").alias("token"), F.col("t.places").cast("int").alias("place"))
