@@ -10,12 +10,10 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +21,10 @@ from pyspark.sql import types as T
 from piecework.llm.common import cut
 from piecework.llm.hashing import blocks
 
+if TYPE_CHECKING:  # Spark ML is imported where the driver uses it: tasks that import this module do without.
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
 #: Labelled rows that are used at most: those with the least hash of their id.
 SAMPLE = 24_000
 #: Terms of the lexicon: at most so many, found in so many toxic texts, with so high a log-odds ratio.
@@ -158,6 +160,8 @@ class ToxicityModel:
         """The rows with _score, 0 to 1; without labels to learn from it is 0."""
         if self.trees is None:
             return docs.withColumn("_score", F.lit(0.0))
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
         rows = self.trees.transform(with_features(docs, self.lexicon, text_col).withColumn("_vector", array_to_vector("_features")))
         rows = rows.withColumn("_raw", F.get(vector_to_array("_probability"), F.lit(1)))
         if self.calibration is None:
@@ -169,6 +173,10 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learns from `docs` (doc_id, text) with `labels` (doc_id, toxic); rows without a label or an id are not used."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(20))
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     # The sample is bounded by `sample`, so it may be broadcast.
