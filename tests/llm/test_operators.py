@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from piecework.llm import exact_dedup as exact
 from piecework.llm import mixing, ppm, quality_rules, secret_scan
 from piecework.llm import queries as Q
 from piecework.llm.exact_dedup import exact_dedup, fresh_index, without_copies
@@ -75,7 +76,10 @@ def test_exact_dedup_equals_sql(same):
     same(Q.QUERIES["op1_exact_dedup"], Q.ORACLES["op1_exact_dedup"])
 
 
-def test_exact_dedup_odd(spark, odd, none):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_exact_dedup_odd(spark, odd, none, hot, monkeypatch):
+    """With 1 no digest is hot and all rows go through the sort-merge join; with 10,000 every repeated one is broadcast."""
+    monkeypatch.setattr(exact, "HOT", hot)
     rows = exact_dedup(odd, fresh_index(spark)).collect()
     want = {}
     for doc, text in texts_of(odd):
