@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from piecework.functions import text as T
+from piecework.functions.register import register_segmenters, register_texts
 from piecework.operators import counts, evaluation, merging, segmentation, training
 from piecework.plans import queries
 from piecework.plans.queries import ORACLES, QUERIES
@@ -465,3 +466,27 @@ def test_entry_stands_without_the_optional_parts(tmp_path):
             to.write_text(f.read_text())
     code = "import __spark_entry__ as e; assert 'top_pairs' in e.queries() and not any(k.startswith('op1') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_functions_from_sql(spark):
+    """The registered functions give what the column functions and `segment` give."""
+    register_texts(spark)
+    every = "x".join(["", *T.WORD_SPACE, ""])
+    texts = ["a,b\nc　d#e “q” ~x", every, "a😀b é", "", None, "abcd abc\nab"]
+    frame(spark, texts).createOrReplaceTempView("some_texts")
+    got = spark.sql("SELECT text_normalised(text), text_segments(text), text_words(text), text_characters(text) FROM some_texts ORDER BY doc_id").collect()
+    text = F.col("text")
+    want = spark.table("some_texts").orderBy("doc_id").select(T.normalised(text), T.segments(text), T.words(text), T.chars(text)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    vocab = spark.createDataFrame([("ab", 9), ("abc", 5), ("cd", 7)], "token string, freq long")
+    register_segmenters(spark, vocab)
+    for method in segmentation.METHODS:
+        got = spark.sql(f"SELECT doc_id, segment_{method}(text) AS tokens FROM some_texts").collect()
+        want = {r.doc_id: r.tokens for r in segmentation.segment(spark.table("some_texts"), vocab, method).collect()}
+        assert {r.doc_id: r.tokens for r in got} == want
+        rows = spark.sql(f"SELECT doc_id, c.* FROM some_texts, LATERAL cut_text(text, '{method}') c ORDER BY doc_id, pos").collect()
+        cut = {}
+        for r in rows:
+            assert texts[r.doc_id][r.start : r.end] == r.token and r.pos == len(cut.setdefault(r.doc_id, []))
+            cut[r.doc_id].append(r.token)
+        assert cut == {d: t for d, t in want.items() if t}
