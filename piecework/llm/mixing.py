@@ -17,8 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +58,10 @@ class DomainModel:
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> DomainModel:
     """Learns from `docs` (doc_id, text) and `labelled` (doc_id, domain); rows of other domains are not used."""
+    # Imported here: tasks that import this module do without Spark ML.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
     chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     # The sample is bounded by `sample`, so it may be broadcast.
     chosen = chosen.select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
