@@ -1,9 +1,14 @@
-"""Segmenting text with a vocabulary (token, freq): longest match either way, both, and by merges; ids of words and back."""
+"""Segmenting text with a vocabulary (token, freq): longest match either way, both, and by merges; ids of words and back.
+
+A vocabulary of at most MOST_TOKENS is broadcast. A larger one stays a table: the distinct runs of the texts are looked up
+in it by joins, and each text is cut by the tokens that stand in it, which gives the same tokens.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,12 +17,15 @@ from pyspark.sql import types as T
 
 from piecework.functions import text as X
 from piecework.operators.merging import merge_by_rank
+from piecework.operators.store import Written
 from piecework.operators.training import WordModel
 
 #: The largest vocabulary that is broadcast; about 100 bytes a token.
 MOST_TOKENS = 1_000_000
 #: Distinct runs a task remembers before it starts anew, and the longest that it remembers.
 MEMO, LONG = 100_000, 200
+#: Rows of a batch that tasks send, and parts that each token and run of a join is dealt to.
+SENT, PARTS = 50_000, 8
 
 
 class Trie:
@@ -67,14 +75,19 @@ WAYS = ["forward", "backward", "merges"]
 METHODS = [*WAYS, "bidirectional"]
 
 
+def run_pattern(letters: Iterable[str]) -> re.Pattern:
+    """Matches runs of `letters`, the characters that tokens of two and more have, and any other character on its own."""
+    some = "".join(sorted(map(re.escape, letters)))
+    return re.compile(f"[{some}]+|." if some else ".", re.DOTALL)
+
+
 class Cutter:
     """Cuts texts by a vocabulary. No token reaches over a character that no longer token has, so the runs between
     such characters are cut on their own, and each distinct run once as long as it is remembered."""
 
-    def __init__(self, vocab: dict[str, int]):
+    def __init__(self, vocab: dict[str, int], runs: re.Pattern | None = None):
         self.vocab, self.tries = vocab, {}
-        letters = "".join(sorted({re.escape(c) for t in vocab if len(t) > 1 for c in t}))
-        self.runs = re.compile(f"[{letters}]+|." if letters else ".", re.DOTALL)
+        self.runs = runs or run_pattern({c for t in vocab if len(t) > 1 for c in t})
         self.known: dict[str, dict[str, list[str]]] = {k: {} for k in WAYS}
 
     def trie(self, back: bool) -> Trie:
@@ -119,40 +132,100 @@ class Cutter:
         return self.bidirectional(text) if method == "bidirectional" else self.cut(text, method)
 
 
-def _model(vocab: DataFrame) -> dict[str, int]:
-    """The vocabulary on the driver, if it is small enough to be broadcast."""
-    rows = vocab.select("token", "freq").limit(MOST_TOKENS + 1).collect()
-    if len(rows) > MOST_TOKENS:
-        raise ValueError(f"the vocabulary has more than {MOST_TOKENS} tokens")
-    return {r["token"]: r["freq"] for r in rows}
+def _model(vocab: DataFrame, most: int) -> dict[str, int] | None:
+    """The vocabulary on the driver; None if it has more than `most` tokens."""
+    rows = vocab.select("token", "freq").limit(most + 1).collect()
+    return {r["token"]: r["freq"] for r in rows} if len(rows) <= most else None
 
 
-def segment(docs: DataFrame, vocab: DataFrame, method: str, text: str = "text") -> DataFrame:
-    """`docs` with `tokens`; null texts have none. `method` is one of METHODS."""
-    model = docs.sparkSession.sparkContext.broadcast(_model(vocab))
+def _letters(vocab: DataFrame) -> re.Pattern:
+    """The pattern of runs; each character comes to the driver once, so they are as few as Unicode has."""
+    return run_pattern(r[0] for r in vocab.where(F.length("token") > 1).select(F.explode(X.chars(F.col("token")))).distinct().toLocalIterator())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(model.value)
+
+def held_tokens(texts: DataFrame, vocab: DataFrame, pattern: re.Pattern) -> DataFrame:
+    """at, held: for each of `texts` (at, text) in which tokens of two characters or more stand these tokens (token, freq).
+
+    Tokens of one character change no cut. The parts of each distinct run that are as long as some token are joined with
+    the vocabulary, and the tokens found go back to the texts that have the run. Runs and tokens that most texts have are
+    dealt to PARTS, by the numbers of the other side.
+    """
+    longer = vocab.where(F.length("token") > 1).select("token", "freq")
+    # One row for each length.
+    sizes = sorted(r[0] for r in longer.select(F.length("token")).distinct().toLocalIterator())
+
+    def sent(pairs: Iterator[tuple[int, str]], names: list[str]) -> Iterator[pa.RecordBatch]:
+        while some := list(islice(pairs, SENT)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*some, strict=True), (pa.int64(), pa.string()), strict=True)], names)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((at, x.as_py()) for batch in batches for at, x in zip(batch["at"].to_pylist(), batch["text"], strict=True))
+        yield from sent(((at, run) for at, x in each for run in {r for r in pattern.findall(x or "") if len(r) > 1}), ["at", "run"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = ((n, x.as_py()) for batch in batches for n, x in zip(batch["id"].to_pylist(), batch["run"], strict=True))
+        # A set of the parts of one length has at most as many as the run has characters.
+        yield from sent(((n, t) for n, x in each for k in sizes if k <= len(x) for t in {x[i : i + k] for i in range(len(x) - k + 1)}), ["id", "token"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("part")
+    placed = Written(texts.mapInArrow(runs, "at long, run string"), "runs").table
+    # A written copy fixes the numbers.
+    distinct = Written(placed.select("run").distinct().select(F.monotonically_increasing_id().alias("id"), "run"), "distinct-runs").table
+    found = distinct.mapInArrow(parts, "id long, token string").select("*", part("id")).join(dealt(longer), ["token", "part"])
+    found = found.groupBy("id").agg(F.collect_list(F.struct("token", "freq")).alias("held")).join(distinct, "id").select("run", "held")
+    found = placed.select("*", part("at")).join(dealt(found), ["run", "part"])
+    return found.groupBy("at").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+
+
+def _with_cuts(docs: DataFrame, vocab: DataFrame, methods: dict[str, str], text: str, most: int) -> DataFrame:
+    """`docs` with a column of tokens for each of `methods` (column to method)."""
+    kinds = [T.StructField(name, T.ArrayType(T.StringType())) for name in methods]
+    schema = T.StructType([*docs.schema.fields, *kinds])
+    vocabulary = _model(vocab, most)
+    if vocabulary is not None:
+        model = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cutter = Cutter(model.value)
+            for batch in batches:
+                texts = [x.as_py() or "" for x in batch[text]]
+                tokens = [pa.array([cutter.tokens(x, m) for x in texts], pa.list_(pa.string())) for m in methods.values()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *tokens], [*batch.schema.names, *methods])
+
+        return docs.mapInArrow(run, schema)
+
+    pattern = _letters(vocab)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    rows = Written(whole.withColumn("at", F.monotonically_increasing_id()), "numbered-texts").table
+    joined = rows.join(held_tokens(rows.select("at", "text"), vocab, pattern), "at", "left").select("row", "text", "held")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [cutter.tokens(x.as_py() or "", method) for x in batch[text]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string()))], [*batch.schema.names, "tokens"])
+            found: list[list[list[str]]] = [[] for _ in methods]
+            for x, tokens in zip(batch["text"], batch["held"], strict=True):
+                cutter = Cutter({t["token"]: t["freq"] for t in tokens.as_py() or []}, pattern)
+                for out, m in zip(found, methods.values(), strict=True):
+                    out.append(cutter.tokens(x.as_py() or "", m))
+            yield pa.RecordBatch.from_arrays([batch["row"], *(pa.array(x, pa.list_(pa.string())) for x in found)], ["row", *methods])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
+    return joined.mapInArrow(cut, T.StructType([rows.schema["row"], *kinds])).select("row.*", *methods)
 
 
-def segment_all(docs: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and a column of tokens for each of METHODS: the texts are read once and cut in every way."""
-    model = docs.sparkSession.sparkContext.broadcast(_model(vocab))
+def segment(docs: DataFrame, vocab: DataFrame, method: str, text: str = "text", most: int = MOST_TOKENS) -> DataFrame:
+    """`docs` with `tokens`; null texts have none. `method` is one of METHODS; `vocab` has each token once.
+
+    A vocabulary of more than `most` tokens is joined, not broadcast; the tokens are the same.
+    """
+    return _with_cuts(docs, vocab, {"tokens": method}, text, most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(model.value)
-        for batch in batches:
-            texts = [x.as_py() or "" for x in batch["_text"]]
-            tokens = [pa.array([cutter.tokens(x, m) for x in texts], pa.list_(pa.string())) for m in METHODS]
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *tokens], [*keys, *METHODS])
 
-    rows = docs.select(*keys, F.col(text).alias("_text"))
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(m, T.ArrayType(T.StringType())) for m in METHODS)]))
+def segment_all(docs: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text", most: int = MOST_TOKENS) -> DataFrame:
+    """keys and a column of tokens for each of METHODS: the texts are read once and cut in every way (see `segment`)."""
+    found = _with_cuts(docs.select(*keys, F.col(text).alias("_text")), vocab, {m: m for m in METHODS}, "_text", most)
+    return found.select(*keys, *METHODS)
 
 
 def encode_words(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:

@@ -93,6 +93,25 @@ def test_longest_matches(spark):
     assert segmented(spark, "aaab", {"ab": 10, "aa": 5}, "merges") == ["aa", "ab"]
 
 
+def test_joined_vocabulary_cuts_as_the_broadcast_one(spark):
+    """Both paths and the plain version on random texts; a very long run, empty and null texts, clashing columns, no long tokens."""
+    rng = random.Random(11)
+    parts = lambda alphabet, n, most: ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, most))) for _ in range(n)]
+    vocab = {t: rng.randint(1, 9) for t in {*parts("abc", 60, 5), *parts("ab \n", 20, 4), "[-^", "ä😀"}}
+    texts = [*parts("abcd \n", 60, 40), "ab" * 2_000 + "c", "x[-^-ä😀]" * 3, "", None, "dd", "abc", "abc"]
+    rows = spark.createDataFrame([(i % 5, t, f"r{i}", i) for i, t in enumerate(texts)], "at long, text string, row string, part int").repartition(4)
+    words = spark.createDataFrame(list(vocab.items()), "token string, freq long")
+    for method in segmentation.METHODS:
+        found = {m: {r.row: r for r in segmentation.segment(rows, words, method, most=m).collect()} for m in (0, 1_000)}
+        assert found[0] == found[1_000] and len(found[0]) == len(texts)
+        assert all(found[0][f"r{i}"].tokens == plain_cut(t or "", vocab, method) for i, t in enumerate(texts) if len(t or "") < 100)
+    joined, sent = ({r.row: r for r in segmentation.segment_all(rows, words, ["row"], most=m).collect()} for m in (0, 1_000))
+    assert joined == sent and len(sent) == len(texts)
+    single = words.where("length(token) = 1")
+    assert all(r.tokens == list(r.text or "") for r in segmentation.segment(rows, single, "forward", most=0).collect())
+    assert segmentation.segment(rows.where("at > 9"), words, "forward", most=0).count() == 0
+
+
 def test_bidirectional_query_takes_one_of_both_ways(spark):
     found = {}
     for way in ("forward", "backward", "bidirectional"):
