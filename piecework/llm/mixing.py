@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piecework.llm.common import cut
+from piecework.llm.hashing import blocks
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hash of their id.
 SAMPLE = 8_000
@@ -137,25 +138,28 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit_domains(texts, labelled, domains))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch[text_col].cast(pa.string()).fill_null("")
-            n = [len(x.as_py().encode("utf-8", "surrogatepass").split()) for x in texts]
-            p = pa.array(model.value.posteriors(texts).tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), p], [*batch.schema.names, "_tokens", "_posteriors"])
-
-    more = [T.StructField("_tokens", T.LongType()), T.StructField("_posteriors", T.ArrayType(T.DoubleType()))]
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
-    small = cut(scored.select(F.col("_tokens").alias("n"), F.col("_posteriors").alias("p")), "posteriors")
+    def posteriors(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+        texts = batch[text_col].cast(pa.string()).fill_null("")
+        n = [len(x.as_py().encode("utf-8", "surrogatepass").split()) for x in texts]
+        return pa.array(n, pa.int64()), model.value.posteriors(texts)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, text_col):
+            n, p = posteriors(batch)
+            yield pa.RecordBatch.from_arrays([n, pa.array(p.tolist(), pa.list_(pa.float64()))], ["n", "p"])
+
+    small = cut(docs.select(text_col).mapInArrow(scored, "n long, p array<double>"), "posteriors")
     residuals = fit_rates(small, list(targets.values()))
 
+    # Scored again with the rates in one go: a task then has one Python worker, and posteriors need not travel with texts.
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch["_posteriors"].flatten().to_numpy().reshape(len(batch), -1)
-            w = rates(p, residuals, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w)], [*batch.schema.names, "_rate"])
+        for batch in blocks(batches, text_col):
+            n, p = posteriors(batch)
+            more = [n, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates(p, residuals, 1.0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_tokens", "_posteriors", "_rate"])
 
-    return scored.mapInArrow(rated, T.StructType([*scored.schema.fields, T.StructField("_rate", T.DoubleType())]))
+    more = [T.StructField("_tokens", T.LongType()), T.StructField("_posteriors", T.ArrayType(T.DoubleType())), T.StructField("_rate", T.DoubleType())]
+    return docs.mapInArrow(rated, T.StructType([*docs.schema.fields, *more]))
 
 
 def repeats(rate: str = "_rate", id_col: str = "doc_id") -> Column:
