@@ -17,7 +17,7 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATS = 20, 30
 #: Documents with fewer words are not judged by histograms.
 GUARD_WORDS = 40
-#: With fewer common words only their share of all words is judged, not which ones they are.
+#: With fewer common words, or fewer than its language has, only their share of all words is judged, not which ones they are.
 GUARD_COMMON = 20
 #: The least distance of a text without common words by which distances of shares are scaled.
 LEAST_SCALE = 0.02
@@ -25,13 +25,12 @@ LEAST_SCALE = 0.02
 LEAST_TEXTS = 10
 #: Most Jensen-Shannon divergence (bits, 0 to 1) from the language's reference.
 MOST_CLASS_JSD, MOST_WORD_JSD = 0.12, 0.5
-# Common words of English, German, French and Spanish.
-COMMON = (
-    "the of and to in is that it "
-    "der die und den das von zu mit "
-    "le les des et une du que est "
-    "el los las de y en con por"
-).split()
+#: A word is common if at least one in so many words of its language's distinct texts is that word; so no language has more of them.
+COMMON_SHARE = 400
+#: Languages with at least one in so many distinct texts stand in for those with too few; so there are no more of them.
+LANGUAGE_SHARE = 1_000
+#: One character for each common word of a language.
+MARKS = "".join(chr(0x100 + k) for k in range(COMMON_SHARE))
 #: Character classes: what each counts; the last holds the rest.
 CLASSES = ["lower", "upper", "digit", "white", "stop", "symbol", "other"]
 
@@ -40,12 +39,17 @@ CLASSES = ["lower", "upper", "digit", "white", "stop", "symbol", "other"]
 PATTERNS = {"upper": "[A-Z]+", "digit": "[0-9]+", "white": r"[\x20\x09-\x0D]+", "stop": r"[.,;:!?'\"()-]+", "symbol": r"[#*$%&|<>]+"}
 
 
+def bound(x: Column, body) -> Column:
+    """`body` of `x`, which is computed once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def window_hashes(words: Column, window: int = WINDOW) -> Column:
     """A hash of every `window` consecutive words, by doubling: of halves, which `window` must allow."""
     half = window // 2
     of = lambda a, n, step: F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.xxhash64(*(F.get(a, i + k) for k in range(0, n, step))))
-    halves = F.transform(F.array(of(words, half, 1)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - half - 1), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + half))))
-    return F.when(F.size(words) >= window, F.get(halves, F.lit(0))).otherwise(F.array().cast("array<bigint>"))
+    halves = bound(of(words, half, 1), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - half - 1), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + half))))
+    return F.when(F.size(words) >= window, halves).otherwise(F.array().cast("array<bigint>"))
 
 
 def covered_words(hashes: Column, window: int = WINDOW) -> Column:
@@ -60,12 +64,11 @@ def covered_words(hashes: Column, window: int = WINDOW) -> Column:
 
     # The sorted array is bound to a lambda variable, so it is made once. Equal windows are neighbours in it.
     placed = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    found = F.get(F.transform(F.array(placed), pick), F.lit(0))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), found).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), bound(placed, pick)).otherwise(F.lit(0).cast("long"))
 
 
 def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, text_hash, the base counts, and classes and common, the two histograms; the last bin of common counts all other words."""
+    """doc_id, lang, text_hash, the base counts, classes (the histogram of characters) and folded, the words in lower case."""
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     copies = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     rows = docs.select(
@@ -83,16 +86,11 @@ def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
         F.get(copies, F.lit(0)).cast("long").alias("n_dup_lines"),
     )
-    found = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(COMMON))
-    # Each common word becomes one character; the histogram then follows from the lengths of short strings.
-    codes = F.create_map(*(F.lit(x) for k, w in enumerate(COMMON) for x in (w, chr(48 + k))))
     rows = rows.select(
         "*",
         *((F.length("rest") - F.length(F.regexp_replace("rest", x, ""))).cast("long").alias(k) for k, x in PATTERNS.items()),
-        F.array_join(F.transform(found, lambda w: F.element_at(codes, w)), "").alias("coded"),
         window_hashes(F.col("words")).alias("hashes"),
     )
-    share = lambda k: F.length("coded") - F.length(F.replace(F.col("coded"), F.lit(chr(48 + k)), F.lit("")))
     known = sum((F.col(k) for k in PATTERNS), F.lit(0))
     classes = {"lower": F.col("n") - F.length("rest"), **{k: F.col(k) for k in PATTERNS}, "other": F.length("rest") - known}
     return rows.select(
@@ -105,7 +103,7 @@ def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "n_dup_lines",
         covered_words(F.col("hashes")).alias("n_repeat_words"),
         F.array(*(classes[k].cast("long") for k in CLASSES)).alias("classes"),
-        F.array(*(share(k).cast("long") for k in range(len(COMMON))), (F.size("words") - F.length("coded")).cast("long")).alias("common"),
+        F.transform("words", lambda w: F.lower(w)).alias("folded"),
     )
 
 
@@ -114,24 +112,52 @@ def base_failed() -> Column:
 
 
 def references(statistics: DataFrame) -> DataFrame:
-    """For each language the sums over its distinct texts that pass the base rules: lang, texts, class_ref, word_ref."""
-    statistics = statistics.where(~base_failed()).dropDuplicates(["lang", "text_hash"])
-    sums = statistics.groupBy("lang").agg(
+    """For each language the sums over its distinct texts that pass the base rules: lang, texts, class_ref, words, word_ref.
+
+    `words` are the language's common words, the most frequent first; `word_ref` counts them and, last, all others.
+    `statistics` must be a written table: its column `row` tells rows apart.
+    """
+    passed = statistics.where(~base_failed())
+    copies = passed.groupBy("lang", "text_hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    losers = passed.select("lang", "text_hash", "row").join(copies, ["lang", "text_hash"]).where("row != first").select("row")
+    texts = passed.join(losers, "row", "left_anti")
+    sums = texts.groupBy("lang").agg(
         F.count(F.lit(1)).alias("texts"),
+        F.sum("n_words").alias("total"),
         *(F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))),
-        *(F.sum(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(len(COMMON) + 1)),
     )
-    return sums.select(
+    sums = cut(sums, "quality-languages")
+    # Summed before the join, so that a language with most of the words comes as one row a word and task.
+    counts = texts.select("lang", F.explode("folded").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.join(sums.where(F.col("texts") >= LEAST_TEXTS).select("lang", "total"), "lang").where(F.col("n") * COMMON_SHARE >= F.col("total"))
+    listed = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("listed"))
+    found = F.coalesce(F.transform("listed", lambda x: -x["n"]), F.array().cast("array<bigint>"))
+    return sums.join(listed, "lang", "left").select(
         "lang",
         "texts",
         F.array(*(f"c{k}" for k in range(len(CLASSES)))).alias("class_ref"),
-        F.array(*(f"w{k}" for k in range(len(COMMON) + 1))).alias("word_ref"),
+        F.coalesce(F.transform("listed", lambda x: x["word"]), F.array().cast("array<string>")).alias("words"),
+        F.concat(found, F.array(F.col("total") - added(found))).alias("word_ref"),
     )
 
 
+def added(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def common_counts(folded: Column, words: Column) -> Column:
+    """How often each of `words` stands in `folded` and, last, all other words: a found word becomes a character, and lengths count those."""
+    marks = F.transform(words, lambda w, i: F.substring(F.lit(MARKS), i + 1, F.lit(1)))
+
+    def of(coded: Column) -> Column:
+        each = F.transform(marks, lambda c: (F.length(coded) - F.length(F.replace(coded, c, F.lit("")))).cast("long"))
+        return F.concat(each, F.array((F.size(folded) - F.length(coded)).cast("long")))
+
+    return bound(F.map_from_arrays(words, marks), lambda codes: bound(F.array_join(F.transform(folded, lambda w: codes[w]), ""), of))
+
+
 def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in bits of two count arrays of equal length; null if either is all zero."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
     def part(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
@@ -142,9 +168,8 @@ def divergence(p: Column, q: Column) -> Column:
         )
         return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
 
-    sums = F.struct(total(p).alias("p"), total(q).alias("q"))
-    once = F.transform(F.array(sums), lambda t: F.when((t["p"] > 0) & (t["q"] > 0), of(t)))
-    return F.get(once, F.lit(0))
+    sums = F.struct(added(p).alias("p"), added(q).alias("q"))
+    return bound(sums, lambda t: F.when((t["p"] > 0) & (t["q"] > 0), of(t)))
 
 
 def word_distance(p: Column, q: Column) -> Column:
@@ -153,35 +178,41 @@ def word_distance(p: Column, q: Column) -> Column:
     One is the divergence of the shares of common and other words, scaled so that a text without common words has
     1; the other is that of the common words among themselves, for texts with enough of them.
     """
-    listed = lambda a: F.slice(a, 1, len(COMMON))
-    total = lambda a: F.aggregate(listed(a), F.lit(0).cast("long"), lambda s, x: s + x)
-    shares = lambda a: F.array(total(a), F.get(a, F.lit(len(COMMON))))
+    size = F.size(p) - 1
+    listed = lambda a: F.slice(a, F.lit(1), size)
+    shares = lambda a: F.array(added(listed(a)), F.get(a, size))
     none = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
     scaled = divergence(shares(p), shares(q)) / F.greatest(divergence(none, shares(q)), F.lit(LEAST_SCALE))
-    return F.greatest(F.least(scaled, F.lit(1.0)), F.when(total(p) >= GUARD_COMMON, divergence(listed(p), listed(q))))
+    enough = added(listed(p)) >= F.greatest(F.lit(GUARD_COMMON), size)
+    return F.greatest(F.least(scaled, F.lit(1.0)), F.when(enough, divergence(listed(p), listed(q))))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> DataFrame:
     """One row for each row of `docs`: the base counts, base_failed, class_jsd, word_jsd, kept.
 
     A document is kept if the base rules pass and neither histogram is further from its language's reference
-    than the limit; too short documents are not judged by histograms. `refs` (lang, class_ref, word_ref) gives
+    than the limit; too short documents are not judged by histograms. `refs` (lang, class_ref, words, word_ref) gives
     references from elsewhere. Without it they are summed over the distinct texts of a language that pass the base
-    rules, less the judged text itself, so copies of a text do not move what it is compared with. Where fewer than
-    LEAST_TEXTS others are left, the nearest of all languages with so many texts is taken; without any the text is
+    rules, less the judged text itself, so copies of a text do not move what it is compared with; the common words
+    are those that one in COMMON_SHARE words of these texts is. Where fewer than LEAST_TEXTS others are left, the
+    nearest of the languages with so many texts, and one in LANGUAGE_SHARE of all, is taken; without any the text is
     not judged. Null texts count as empty (they fail for want of words), null languages are one language of their
     own, other columns are not read.
     """
-    stats = cut(quality_statistics(docs, id_col, text_col, lang_col), "quality-statistics")
-    classes, common, judged = F.col("classes"), F.col("common"), F.col("n_words") >= GUARD_WORDS
-    # References are one row a language; a language may hold most rows, so the join must not shuffle by it
-    # unless there are too many languages for Spark's own broadcast limit.
+    stats = quality_statistics(docs, id_col, text_col, lang_col).withColumn("row", F.monotonically_increasing_id())
+    stats = cut(stats, "quality-statistics")
+    classes, folded, judged = F.col("classes"), F.col("folded"), F.col("n_words") >= GUARD_WORDS
+    # References are one row a language. A language may hold most rows: the join does not shuffle by it unless there
+    # are too many languages for Spark's own broadcast limit, and then a large one is split.
     if refs is not None:
         rows = stats.join(refs, "lang", "left")
-        class_jsd, word_jsd = divergence(classes, F.col("class_ref")), word_distance(common, F.col("word_ref"))
+        class_jsd = divergence(classes, F.col("class_ref"))
+        word_jsd = bound(common_counts(folded, F.col("words")), lambda own: word_distance(own, F.col("word_ref")))
     else:
         refs = cut(references(stats), "quality-references")
-        every = refs.where(F.col("texts") >= LEAST_TEXTS).agg(F.collect_list(F.struct("lang", "class_ref", "word_ref")).alias("every"))
+        large = refs.crossJoin(refs.agg(F.sum("texts").alias("all_texts")))
+        large = large.where((F.col("texts") >= LEAST_TEXTS) & (F.col("texts") * LANGUAGE_SHARE >= F.col("all_texts")))
+        every = large.agg(F.collect_list(F.struct("lang", "class_ref", "words", "word_ref")).alias("every"))
         rows = stats.join(refs, "lang", "left").crossJoin(F.broadcast(every))
         less = lambda ref, own: F.when(base_failed(), F.col(ref)).otherwise(F.zip_with(ref, own, lambda x, y: x - y))
         others = F.coalesce("texts", F.lit(0)) - F.when(base_failed(), 0).otherwise(1)
@@ -189,8 +220,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         strange = F.filter("every", lambda r: r["lang"] != F.col("lang"))
         nearest = lambda distance: F.array_min(F.transform(strange, distance))
         class_jsd = F.when(others >= LEAST_TEXTS, divergence(classes, less("class_ref", classes))).otherwise(nearest(lambda r: divergence(classes, r["class_ref"])))
-        word_jsd = F.when(others >= LEAST_TEXTS, word_distance(common, less("word_ref", common))).otherwise(nearest(lambda r: word_distance(common, r["word_ref"])))
-    rows = rows.select(*stats.columns, F.when(judged, class_jsd).alias("class_jsd"), F.when(judged, word_jsd).alias("word_jsd"))
+        own_words = bound(common_counts(folded, F.col("words")), lambda own: word_distance(own, less("word_ref", own)))
+        other_words = nearest(lambda r: bound(common_counts(folded, r["words"]), lambda own: word_distance(own, r["word_ref"])))
+        word_jsd = F.when(others >= LEAST_TEXTS, own_words).otherwise(other_words)
+    rows = rows.select(*(c for c in stats.columns if c != "folded"), F.when(judged, class_jsd).alias("class_jsd"), F.when(judged, word_jsd).alias("word_jsd"))
     failed = base_failed()
     near = (F.coalesce("class_jsd", F.lit(0.0)) <= MOST_CLASS_JSD) & (F.coalesce("word_jsd", F.lit(0.0)) <= MOST_WORD_JSD)
     return rows.select(
