@@ -550,6 +550,79 @@ def test_quality_by_brute_force(docs, odd, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+CLASS_OF = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "white": " \t\n\x0b\x0c\r", "stop": ".,;:!?'\"()-", "symbol": "#*$%&|<>"}
+
+
+def brute_jsd(p, q):
+    p, q = np.array(p, float), np.array(q, float)
+    if not p.sum() or not q.sum():
+        return None
+    p, q = p / p.sum(), q / q.sum()
+    part = lambda x: float(sum(a * np.log2(a / m) for a, m in zip(x, (p + q) / 2, strict=True) if a > 0))
+    return (part(p) + part(q)) / 2
+
+
+def brute_word_distance(p, q):
+    share = brute_jsd([sum(p[:-1]), p[-1]], [sum(q[:-1]), q[-1]]) / max(brute_jsd([0, 1], [sum(q[:-1]), q[-1]]), quality_rules.LEAST_SCALE)
+    inner = brute_jsd(p[:-1], q[:-1]) if sum(p[:-1]) >= max(quality_rules.GUARD_COMMON, len(p) - 1) else None
+    return max(min(share, 1.0), inner or 0.0)
+
+
+def brute_divergences(rows):
+    """(class_jsd, word_jsd, kept) of each row (lang, text), by counting."""
+    rows = [(lang or "", text or "") for lang, text in rows]
+    words = lambda t: [w.lower() for w in WORD.findall(t)]
+    classes = lambda t: [sum(map(t.count, x)) for x in ("abcdefghijklmnopqrstuvwxyz", *CLASS_OF.values())]
+    classes_all = lambda t: [*classes(t), len(t) - sum(classes(t))]
+    passed = {(lang, t) for lang, t in rows if not brute_quality(t)[-1]}
+    refs = {}
+    for lang in {lang for lang, _ in passed}:
+        texts = [t for k, t in passed if k == lang]
+        counts = Counter(w for t in texts for w in words(t))
+        total = sum(counts.values())
+        listed = sorted((w for w in counts if counts[w] * quality_rules.COMMON_SHARE >= total), key=lambda w: (-counts[w], w))
+        listed = listed if len(texts) >= quality_rules.LEAST_TEXTS else []
+        refs[lang] = len(texts), np.sum([classes_all(t) for t in texts], axis=0), listed, counts, total
+    out = []
+    for lang, t in rows:
+        failed, own = brute_quality(t)[-1], Counter(words(t))
+        n = sum(own.values())
+
+        def distances(ref, less):
+            _, class_ref, listed, counts, total = ref
+            p = [own[w] for w in listed]
+            q = [counts[w] - less * own[w] for w in listed]
+            p, q = [*p, n - sum(p)], [*q, total - less * n - sum(q)]
+            return brute_jsd(classes_all(t), class_ref - less * np.array(classes_all(t))), brute_word_distance(p, q)
+
+        mine = refs.get(lang, (0,))
+        if n < quality_rules.GUARD_WORDS:
+            found = None, None
+        elif mine[0] - (not failed) >= quality_rules.LEAST_TEXTS:
+            found = distances(mine, not failed)
+        else:
+            others = [distances(r, 0) for k, r in refs.items() if k != lang and r[0] >= quality_rules.LEAST_TEXTS]
+            found = tuple(min((o[i] for o in others), default=None) for i in (0, 1))
+        kept = not failed and (found[0] or 0) <= quality_rules.MOST_CLASS_JSD and (found[1] or 0) <= quality_rules.MOST_WORD_JSD
+        out.append((*found, kept))
+    return out
+
+
+def test_divergences_and_verdicts_by_brute_force(spark, docs):
+    # Copies, a rare language, no language, and texts that fail the base rules, beside the documents of two languages.
+    given = docs.where("lang IN ('de', 'en')").select("lang", "text").orderBy("doc_id").limit(260).collect()
+    rows = [(r.lang, r.text) for r in given]
+    rows += [rows[0]] * 40 + [("xx", rows[1][1]), ("xx", "zz# " * 9 + rows[2][1]), (None, rows[3][1]), (None, None), ("de", "a b c d " * 30), ("de", rows[4][1].upper())]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string")
+    got = {r.doc_id: (r.class_jsd, r.word_jsd, r.kept) for r in quality_rules.quality_rules(frame).collect()}
+    expected = brute_divergences(rows)
+    for k, (class_jsd, word_jsd, kept) in enumerate(expected):
+        assert got[k][2] == kept
+        for x, y in ((got[k][0], class_jsd), (got[k][1], word_jsd)):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
+    assert len(got) == len(rows) and {True, False} == {e[2] for e in expected}
+
+
 def prose(rng, common, n=300, share=0.25):
     """Made-up words with a share of common ones, in no order."""
     made = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n)]
