@@ -68,7 +68,7 @@ def covered_words(hashes: Column, window: int = WINDOW) -> Column:
 
 
 def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, text_hash, the base counts, classes (the histogram of characters) and folded, the words in lower case."""
+    """doc_id, lang, text_hash, the base counts, classes (the histogram of characters) and folded, the words in lower case, joined by spaces."""
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     copies = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     rows = docs.select(
@@ -103,7 +103,7 @@ def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "n_dup_lines",
         covered_words(F.col("hashes")).alias("n_repeat_words"),
         F.array(*(classes[k].cast("long") for k in CLASSES)).alias("classes"),
-        F.transform("words", lambda w: F.lower(w)).alias("folded"),
+        F.lower(F.array_join("words", " ")).alias("folded"),
     )
 
 
@@ -120,7 +120,8 @@ def references(statistics: DataFrame) -> DataFrame:
     passed = statistics.where(~base_failed())
     copies = passed.groupBy("lang", "text_hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     losers = passed.select("lang", "text_hash", "row").join(copies, ["lang", "text_hash"]).where("row != first").select("row")
-    texts = passed.join(losers, "row", "left_anti")
+    # Written, so that Spark knows their size: few enough are broadcast and the texts stay where they are.
+    texts = passed.join(cut(losers, "quality-copies"), "row", "left_anti")
     sums = texts.groupBy("lang").agg(
         F.count(F.lit(1)).alias("texts"),
         F.sum("n_words").alias("total"),
@@ -128,7 +129,7 @@ def references(statistics: DataFrame) -> DataFrame:
     )
     sums = cut(sums, "quality-languages")
     # Summed before the join, so that a language with most of the words comes as one row a word and task.
-    counts = texts.select("lang", F.explode("folded").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.select("lang", F.explode(F.split("folded", " ")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     common = counts.join(sums.where(F.col("texts") >= LEAST_TEXTS).select("lang", "total"), "lang").where(F.col("n") * COMMON_SHARE >= F.col("total"))
     listed = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("listed"))
     found = F.coalesce(F.transform("listed", lambda x: -x["n"]), F.array().cast("array<bigint>"))
@@ -146,14 +147,19 @@ def added(counts: Column) -> Column:
 
 
 def common_counts(folded: Column, words: Column) -> Column:
-    """How often each of `words` stands in `folded` and, last, all other words: a found word becomes a character, and lengths count those."""
+    """How often each of `words` stands in `folded` and, last, all other words: a found word becomes a character, and lengths count those.
+
+    `folded` holds words joined by spaces, one at least.
+    """
     marks = F.transform(words, lambda w, i: F.substring(F.lit(MARKS), i + 1, F.lit(1)))
 
-    def of(coded: Column) -> Column:
+    def counted(found: Column, coded: Column) -> Column:
         each = F.transform(marks, lambda c: (F.length(coded) - F.length(F.replace(coded, c, F.lit("")))).cast("long"))
-        return F.concat(each, F.array((F.size(folded) - F.length(coded)).cast("long")))
+        return F.concat(each, F.array((F.size(found) - F.length(coded)).cast("long")))
 
-    return bound(F.map_from_arrays(words, marks), lambda codes: bound(F.array_join(F.transform(folded, lambda w: codes[w]), ""), of))
+    coded = lambda found, codes: F.array_join(F.transform(found, lambda w: codes[w]), "")
+    of = lambda found, codes: bound(coded(found, codes), lambda x: counted(found, x))
+    return bound(F.map_from_arrays(words, marks), lambda codes: bound(F.split(folded, " "), lambda found: of(found, codes)))
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -200,7 +206,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own, other columns are not read.
     """
     stats = quality_statistics(docs, id_col, text_col, lang_col).withColumn("row", F.monotonically_increasing_id())
-    stats = cut(stats, "quality-statistics")
+    stats = cut(stats, "quality-statistics", compression="zstd")
     classes, folded, judged = F.col("classes"), F.col("folded"), F.col("n_words") >= GUARD_WORDS
     # References are one row a language. A language may hold most rows: the join does not shuffle by it unless there
     # are too many languages for Spark's own broadcast limit, and then a large one is split.
