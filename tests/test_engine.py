@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import accumulate
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,3 +510,40 @@ def test_functions_from_sql(spark):
             assert texts[r.doc_id][r.start : r.end] == r.token and r.pos == len(cut.setdefault(r.doc_id, []))
             cut[r.doc_id].append(r.token)
         assert cut == {d: t for d, t in want.items() if t}
+
+
+@pytest.mark.parametrize("from_right", [True, False])
+def test_merges_of_many_segments_at_once(from_right):
+    """Merges on arrays, packed and unpacked between, give the tokens and pairs of merges segment by segment."""
+    from piecework.operators import flat
+    from piecework.operators.merging import merged_once
+
+    rng = random.Random(7)
+    rows = [("".join(rng.choices("ab😀", k=rng.randrange(9))), rng.randrange(1, 5)) for _ in range(300)]
+    want = [list(s) for s, _ in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["seg", "w"])
+    (found,) = flat.FlatSegments.read(iter([batch]), list, from_right)
+    for k, (a, b) in enumerate([("a", "a"), ("a", "b"), ("aa", "aa"), ("b", "b"), ("ab", "a"), ("😀", "😀")]):
+        before = Counter()
+        for t, (_, w) in zip(want, rows):
+            for p in zip(t, t[1:]):
+                before[p] -= w
+        want = [merged_once(t, a, b, a + b, from_right) for t in want]
+        for t, (_, w) in zip(want, rows):
+            for p in zip(t, t[1:]):
+                before[p] += w
+        sums = flat.Sums()
+        for codes, n in found.merge((a, b), a + b, changes=True):
+            sums.add(k, codes, n)
+        got = {(r["a"], r["b"]): r["n"] for r in sums.batch(found.names).to_pylist()} if sums.parts else {}
+        assert got == {p: n for p, n in before.items() if n}
+        (found,) = flat.FlatSegments.read(iter([found.packed()]), list, from_right)
+        assert found.lists(str).to_pylist() == want
+
+
+def test_few_merges_write_no_index(spark, monkeypatch):
+    """An index of grams costs more than all rounds of a few hundred merges; the segments are kept packed instead."""
+    monkeypatch.setattr(training, "REPLAYED", 1)
+    monkeypatch.setattr(training.Segments, "_build", lambda self: pytest.fail("an index was built"))
+    vocab, _ = training.train_texts(frame(spark, ["abab abc abab", "abc bcd abcd"]), training.TextOptions(500, 1, single_char=False))
+    assert [(r.token, r.freq) for r in vocab.orderBy("rank").collect()][:2] == [("ab", 6), ("abab", 2)]
