@@ -71,3 +71,14 @@ def f1_of_cuttings(cut: DataFrame, methods: list[str]) -> DataFrame:
 
     sums = cut.select(*methods).mapInArrow(run, "pred string, true string, n long, sizes long").groupBy("pred", "true").agg(F.sum("n").alias("n_common"), F.sum("sizes").alias("sizes"))
     return sums.select("pred", "true", "n_common", F.round(F.when(F.col("sizes") > 0, 2 * F.col("n_common") / F.col("sizes")).otherwise(0.0), 10).alias("f1"))
+
+
+def f1_of_tallies(tallied: DataFrame, methods: list[str]) -> DataFrame:
+    """pred, true, n_common, f1 for every two of `methods`, from rows of `common`, the spans that every two share, method by method."""
+    n = len(methods)
+    # One row, which is read once; none without texts.
+    sums = tallied.agg(F.array(*(F.sum(F.get("common", F.lit(k))) for k in range(n * n))).alias("n")).where(F.get("n", F.lit(0)).isNotNull())
+    at = lambda k: F.get("n", F.lit(k))
+    each = [F.struct(F.lit(a).alias("pred"), F.lit(b).alias("true"), at(i * n + j).alias("n_common"), (at(i * n + i) + at(j * n + j)).alias("sizes")) for (i, a), (j, b) in product(enumerate(methods), repeat=2)]
+    rows = sums.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    return rows.select("pred", "true", "n_common", F.round(F.when(F.col("sizes") > 0, 2 * F.col("n_common") / F.col("sizes")).otherwise(0.0), 10).alias("f1"))

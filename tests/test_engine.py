@@ -546,4 +546,20 @@ def test_few_merges_write_no_index(spark, monkeypatch):
     monkeypatch.setattr(training, "REPLAYED", 1)
     monkeypatch.setattr(training.Segments, "_build", lambda self: pytest.fail("an index was built"))
     vocab, _ = training.train_texts(frame(spark, ["abab abc abab", "abc bcd abcd"]), training.TextOptions(500, 1, single_char=False))
-    assert [(r.token, r.freq) for r in vocab.orderBy("rank").collect()][:2] == [("ab", 6), ("abab", 2)]
+    assert [(r.token, r.freq) for r in vocab.orderBy("rank").collect()][:2] == [("ab", 7), ("abc", 3)]
+
+
+def test_tallies_are_those_of_the_cuttings(spark):
+    """Counts from bitmaps equal those of the tokens, for ties in frequency, equal neighbours, lines and empty texts."""
+    rng = random.Random(5)
+    vocab = {"".join(rng.choices("abc", k=rng.randrange(1, 6))): rng.randrange(1, 6) for _ in range(40)} | {"aa": 3, "é😀": 2}
+    texts = ["", None, "\n", "\n\na", *("".join(rng.choices("abcé😀x\n", [6, 6, 6, 1, 1, 1, 1], k=rng.randrange(60))) for _ in range(300))]
+    model = spark.createDataFrame(list(vocab.items()), "token string, freq long")
+    found = segmentation.tally_all(frame(spark, texts), model, ["doc_id"]).orderBy("doc_id").collect()
+    want = spark.createDataFrame([(i, *(plain_cut(t or "", vocab, m) for m in segmentation.METHODS)) for i, t in enumerate(texts)], "i long, " + ", ".join(f"{m} array<string>" for m in segmentation.METHODS))
+    assert [r.sizes for r in found] == [[x for m in segmentation.METHODS for x in (len(r[m]), sum(len(t) == 1 for t in r[m]))] for r in want.orderBy("i").collect()]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = evaluation.f1_of_tallies(segmentation.tally_all(frame(spark, texts), model, []), segmentation.METHODS)
+    assert rows(got) == rows(evaluation.f1_of_cuttings(want, segmentation.METHODS))
+    assert evaluation.f1_of_tallies(segmentation.tally_all(frame(spark, []), model, []), segmentation.METHODS).count() == 0
+    assert segmentation.tally_all(frame(spark, texts), model, [], most=3) is None
