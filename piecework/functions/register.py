@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piecework.functions import text as T
-from piecework.operators.segmentation import METHODS, Cutter, _model
+from piecework.operators.segmentation import METHODS, MOST_TOKENS, Cutter, _model
 
 
 def _literal(text: str) -> str:
@@ -36,7 +36,10 @@ def register_segmenters(spark: SparkSession, vocab: DataFrame) -> list[str]:
 
     `vocab` (token, freq) is broadcast within the bound of `segment`. Null texts have no tokens.
     """
-    model = spark.sparkContext.broadcast(_model(vocab))
+    found = _model(vocab, MOST_TOKENS)
+    if found is None:
+        raise ValueError(f"SQL functions take at most {MOST_TOKENS} tokens; segment() joins larger vocabularies")
+    model = spark.sparkContext.broadcast(found)
 
     def segmenter(method: str):  # noqa: ANN202
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
