@@ -9,6 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that a task compares at a time.
+ROWS = 256
 
 
 def spans(segmented: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,43 +37,63 @@ def f1_matrix(found: DataFrame, doc: str = "doc", method: str = "method") -> Dat
     return both.select("pred", "true", n.alias("n_common"), F.round(2 * n / (F.col("n_pred") + F.col("n_true")), 10).alias("f1"))
 
 
-def ends_of(tokens: pa.ListArray) -> list[np.ndarray]:
-    """For each list the offsets at which its tokens end, empty tokens left out; a null list has none."""
+def ends_of(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the offset in it at which each token ends, empty tokens left out; a null list has none."""
     import pyarrow.compute as pc
 
-    sizes = pc.utf8_length(tokens.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
-    edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    parts = (sizes[a:b] for a, b in zip(edges, edges[1:], strict=False))
-    return [np.cumsum(x[x > 0]) for x in parts]
+    flat = tokens.flatten()
+    sizes = (pc.utf8_length(flat) if pa.types.is_string(flat.type) else flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(len(tokens)), counts)
+    ends = np.cumsum(sizes)
+    # What the rows before have.
+    ends -= np.repeat(np.concatenate([[0], ends])[np.cumsum(counts) - counts], counts)
+    return rows[sizes > 0], ends[sizes > 0]
 
 
-def common_spans(one: np.ndarray, two: np.ndarray) -> int:
-    """Spans that two cuttings of a text share, from bitmaps of their boundaries.
+def common_spans(ends: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Spans that every two cuttings of `n` texts share, from bitmaps of their boundaries.
 
     A span is shared if its two ends are boundaries of both cuttings and neither has a boundary between: neighbours in
-    the union of the bitmaps that both stand in the intersection.
+    the union of the bitmaps that both stand in the intersection. Each text has two places more, for its begin, which is
+    a boundary of all, and for one before it that is only in unions.
     """
-    bits = np.zeros((2, 1 + max(one.max(initial=0), two.max(initial=0))), bool)
-    bits[:, 0] = bits[0, one] = bits[1, two] = True
-    both = (bits[0] & bits[1])[bits[0] | bits[1]]
-    return int((both[:-1] & both[1:]).sum())
+    longest = np.zeros(n, np.int64)
+    for rows, at in ends:
+        np.maximum.at(longest, rows, at)
+    begins = np.cumsum(longest + 2) - longest - 1
+    bits = np.zeros((len(ends), int((longest + 2).sum())), bool)
+    apart = np.zeros(bits.shape[1], bool)
+    apart[begins - 1] = True
+    for row, (rows, at) in zip(bits, ends, strict=True):
+        row[begins] = row[begins[rows] + at] = True
+    out = np.diag([len(at) for _, at in ends]).astype(np.int64)
+    for i in range(len(ends)):
+        for j in range(i):
+            both = (bits[i] & bits[j])[bits[i] | bits[j] | apart]
+            out[i, j] = out[j, i] = (both[:-1] & both[1:]).sum()
+    return out
 
 
 def f1_of_cuttings(cut: DataFrame, methods: list[str]) -> DataFrame:
-    """pred, true, n_common, f1 for every two of the token columns `methods` over all rows; 0 where nothing is shared.
+    """pred, true, n_common, f1 for every two of the columns `methods` over all rows, tokens or their lengths; 0 where nothing is shared.
 
     Each row's cuttings meet in the row itself; sums of a batch are all that is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = {m: ends_of(batch[m]) for m in methods}
-            sizes = {m: sum(map(len, ends[m])) for m in methods}
-            rows = [(a, b, sum(map(common_spans, ends[a], ends[b])), sizes[a] + sizes[b]) for a, b in product(methods, methods)]
-            kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["pred", "true", "n", "sizes"])
-
-    sums = cut.select(*methods).mapInArrow(run, "pred string, true string, n long, sizes long").groupBy("pred", "true").agg(F.sum("n").alias("n_common"), F.sum("sizes").alias("sizes"))
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                ends = [ends_of(some[m]) for m in methods]
+                shared, sizes = common_spans(ends, some.num_rows), [len(x) for _, x in ends]
+                rows = [(a, b, int(shared[i, j]), sizes[i] + sizes[j]) for (i, a), (j, b) in product(enumerate(methods), repeat=2)]
+                kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["pred", "true", "n", "sizes"])
+
+    # Tasks get the lengths of tokens, not the tokens.
+    lengths = cut.select(*(F.transform(m, F.char_length).alias(m) if isinstance(cut.schema[m].dataType.elementType, T.StringType) else m for m in methods))
+    sums = lengths.mapInArrow(run, "pred string, true string, n long, sizes long").groupBy("pred", "true").agg(F.sum("n").alias("n_common"), F.sum("sizes").alias("sizes"))
     return sums.select("pred", "true", "n_common", F.round(F.when(F.col("sizes") > 0, 2 * F.col("n_common") / F.col("sizes")).otherwise(0.0), 10).alias("f1"))
 
 
