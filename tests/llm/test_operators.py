@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -449,6 +450,23 @@ def test_token_counts_by_brute_force(docs, odd, none):
     assert token_counts(odd, path).count() == len(ODD) and token_counts(none, path).count() == 0
 
 
+def test_token_counts_of_distinct_parts(monkeypatch):
+    """Parts between characters that no piece joins are counted once, all at a time, as `count` counts whole texts."""
+    rnd, seen = random.Random(7), []
+    one = Vocabulary({"a": -1, "ab": -1, SPACE + "a": -2, "b": -3})
+    monkeypatch.setattr(one, "count_short", lambda parts, count=one.count_short: seen.extend(parts) or count(parts))
+    got = [x.tolist() for x in one.totals(["a\na", "", "ab\nab ab\né"])]
+    assert seen == [SPACE + "a", "\n", "a", SPACE + "ab", "ab", "é"]
+    assert got == [[3, 0, 9], [1, 0, 3], [-16, 0, -50]]
+    for _ in range(60):
+        letters = "ab" + SPACE + "\nß😀 x"
+        v = Vocabulary({"".join(rnd.choices(letters, k=rnd.randint(1, 4))): -rnd.randint(1, 4) for _ in range(rnd.randint(0, 25))})
+        texts = ["".join(rnd.choices(letters, k=rnd.choice((0, 1, 2, 9, 40, 150)))) for _ in range(12)]
+        want = [v.count(SPACE + t.replace(" ", SPACE)) if t else (0, 0, 0.0) for t in texts]
+        for _ in range(2):  # anew, and remembered
+            assert list(zip(*(x.tolist() for x in v.totals(texts)), strict=True)) == want
+
+
 # ---- 8 n-gram join ----
 
 
