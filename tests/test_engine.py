@@ -549,6 +549,36 @@ def test_few_merges_write_no_index(spark, monkeypatch):
     assert [(r.token, r.freq) for r in vocab.orderBy("rank").collect()][:2] == [("ab", 7), ("abc", 3)]
 
 
+def test_words_are_counted_before_they_leave_a_task(spark, monkeypatch):
+    """Tasks pass on words with counts, in parts, not each word of each text; white space is that of WORD_SPACE."""
+    assert {c for c in map(chr, range(0x110000)) if not c.split()} == set(T.WORD_SPACE)
+    texts = frame(spark, ["a b a\u2003é😀", None, "", " \x1c ", "a\x00 b\x85b\ufeff \u200b", "b " * 50, *T.WORD_SPACE])
+    want = {r.word: r.freq for r in texts.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq")).collect()}
+    for most in (1, 3, counts.DISTINCT):
+        monkeypatch.setattr(counts, "DISTINCT", most)
+        found = counts.weighted_words(texts)
+        assert {r.word: r.freq for r in found.collect()} == want and found.count() == len(want)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alphabet_counts_characters(spark):
+    """Characters beyond 16 bits count once, with the weights of their words."""
+    words = spark.createDataFrame([("a😀a", 3), ("", 9), ("é", 5), ("b", 6), (None, 7)], "word string, freq long")
+    assert [r.c for r in counts.alphabet(words).orderBy("id").collect()] == ["<PAD>", "<UNK>", "a", "b", "é", "😀"]
+
+
+def test_segments_are_packed_from_the_start(spark):
+    """Rounds read arrays, not strings, before the first merge too; first tokens are told from what the arrays name."""
+    words = spark.createDataFrame([("ab", 2), ("b", 1), ("", 1), ("abc", 4)], "seg string, w long")
+    start = training.TaggedCharacters({"a": 2, "b": 3}, True, True)
+    segments, (begin, end) = training.Segments(words, False), (T.BEGIN, T.END)
+    assert segments.first_tokens(start) == {f"{i}/1" for i in (2 | begin, 3 | end, 3 | begin | end, 3, 1 | end)}
+    merges = training.Merges(start, False)
+    assert segments.kept(merges).columns == ["tokens", "weights", "names"]
+    pairs = {(r.a, r.b): r.freq for r in segments.pair_counts(merges).collect()}
+    assert pairs == {(f"{2 | begin}/1", f"{3 | end}/1"): 2, (f"{2 | begin}/1", "3/1"): 4, ("3/1", f"{1 | end}/1"): 4}
+
+
 def test_tallies_are_those_of_the_cuttings(spark):
     """Counts from bitmaps equal those of the tokens, for ties in frequency, equal neighbours, lines and empty texts."""
     rng = random.Random(5)
